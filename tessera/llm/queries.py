@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, matroska, quality, secretscan, warc
+from . import bpe, decontam, langid, matroska, quality, secretscan, warc
 
 QUERIES = {
     "op2_langid": langid.op2,
+    "op3_bpe": bpe.op3,
     "op4_warc": warc.op4,
     "op5_decontaminate": decontam.op5,
     "op6_quality": quality.op6,

@@ -63,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def batches(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def batches(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most ``most`` bytes together, or of one longer text."""
     first, held = 0, 0
     for i, t in enumerate(texts):
