@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, matroska, quality, secretscan, warc
+from . import bpe, decontam, langid, matroska, ngramlm, quality, secretscan, warc
 
 QUERIES = {
     "op2_langid": langid.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc": warc.op4,
     "op5_decontaminate": decontam.op5,
     "op6_quality": quality.op6,
+    "op7_ngram_lm": ngramlm.op7,
     "op9_matroska": matroska.op9,
     "op10_secrets": secretscan.op10,
 }
