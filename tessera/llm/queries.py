@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, matroska, ngramlm, quality, secretscan, warc
+from . import bpe, decontam, langid, matroska, neardup, ngramlm, quality, secretscan, warc
 
 QUERIES = {
     "op2_langid": langid.op2,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontaminate": decontam.op5,
     "op6_quality": quality.op6,
     "op7_ngram_lm": ngramlm.op7,
+    "op8_neardup": neardup.op8,
     "op9_matroska": matroska.op9,
     "op10_secrets": secretscan.op10,
 }
