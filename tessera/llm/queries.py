@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, matroska, neardup, ngramlm, quality, secretscan, warc
+from . import bpe, decontam, langid, matroska, neardup, ngramlm, quality, runindex, secretscan, warc
 
 QUERIES = {
+    "op1_substring_dedup": runindex.op1,
     "op2_langid": langid.op2,
     "op3_bpe": bpe.op3,
     "op4_warc": warc.op4,
