@@ -17,12 +17,17 @@ repeat, a row is known by its place in its block.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Text bytes of a block.
+MOST = 4 << 20
 BLOCK = "block long, ids array<long>, lens binary, data binary"
 PIECE = "part int, block long, n int, keys binary, vals binary"
 ANSWER = "block long, part int, kind int, vals binary"
@@ -50,35 +55,61 @@ def unplanes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, most: int = 4 << 20, level: int = 3) -> DataFrame:
-    """Blocks of at most ``most`` text bytes, or of one longer text."""
+def trim() -> None:
+    """Give freed memory back; workers are kept for other tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _formed(batches, most: int):
+    """(block number, ids, texts) of a partition."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            t = t.as_py() or b""
+            if ids and held + len(t) > most:
+                yield number, ids, texts
+                number, ids, texts, held = number + 1, [], [], 0
+            ids.append(i)
+            texts.append(t)
+            held += len(t)
+    if ids:
+        yield number, ids, texts
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        ids, texts, held = [], [], 0
+def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text"))
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, most: int = MOST, level: int = 3) -> DataFrame:
+    """Blocks of at most ``most`` text bytes, or of one longer text, compressed."""
 
-        def close():
+    def run(batches):
+        for number, ids, texts in _formed(batches, most):
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
             row = dict(block=number, ids=ids, lens=planes(lens), data=squeeze(b"".join(texts), level))
-            return pa.RecordBatch.from_pylist([row], _BLOCK_TYPE)
-
-        for batch in batches:
-            new = batch.column(1).cast(pa.large_binary())
-            for i, t in zip(batch.column(0).to_pylist(), new, strict=True):
-                t = t.as_py() or b""
-                if ids and held + len(t) > most:
-                    yield close()
-                    number, ids, texts, held = number + 1, [], [], 0
-                ids.append(i)
-                texts.append(t)
-                held += len(t)
-        if ids:
-            yield close()
+            yield pa.RecordBatch.from_pylist([row], _BLOCK_TYPE)
 
-    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    return docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text")).mapInArrow(run, BLOCK)
+    return _columns(docs, id_col, text_col).mapInArrow(run, BLOCK)
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, emit, most: int = MOST) -> DataFrame:
+    """``emit(ids, texts)`` yields (part, n, keys, vals) for each of the blocks that ``pack`` forms."""
+
+    def run(batches):
+        for number, ids, texts in _formed(batches, most):
+            out = [dict(part=p, block=number, n=n, keys=k, vals=v) for p, n, k, v in emit(ids, texts)]
+            for a in range(0, len(out), 256):
+                yield pa.RecordBatch.from_pylist(out[a : a + 256], _PIECE_TYPE)
+            out = None
+            trim()
+
+    return _columns(docs, id_col, text_col).mapInArrow(run, PIECE)
 
 
 def unpack(row: dict) -> tuple[list, list[bytes]]:
@@ -102,26 +133,16 @@ def parts_of(keys: np.ndarray, bits: int):
             yield int(part[a]), slice(a, b)
 
 
-def pieces(blocks: DataFrame, emit) -> DataFrame:
-    """``emit(ids, texts)`` yields (part, n, keys, vals) for each block."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = [dict(part=p, block=row["block"], n=n, keys=k, vals=v) for p, n, k, v in emit(*unpack(row))]
-                for a in range(0, len(out), 256):
-                    yield pa.RecordBatch.from_pylist(out[a : a + 256], _PIECE_TYPE)
-
-    return blocks.mapInArrow(run, PIECE)
-
-
 def answers(sent: DataFrame, reduce) -> DataFrame:
     """``reduce(pieces)`` gets all pieces of a key range and yields (block, kind, vals)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         part = rows[0]["part"]
-        return pa.Table.from_pylist([dict(block=b, part=part, kind=k, vals=v) for b, k, v in reduce(rows)], _ANSWER_TYPE)
+        out = pa.Table.from_pylist([dict(block=b, part=part, kind=k, vals=v) for b, k, v in reduce(rows)], _ANSWER_TYPE)
+        rows = None
+        trim()
+        return out
 
     return sent.groupBy("part").applyInArrow(run, ANSWER)
 
@@ -134,6 +155,9 @@ def together(blocks: DataFrame, answered: DataFrame, work, schema: str) -> DataF
         for r in given.to_pylist():
             by.setdefault(r["kind"], {})[r["part"]] = r["vals"]
         (row,) = block.to_pylist()
-        return work(*unpack(row), by)
+        out = work(*unpack(row), by)
+        row = by = None
+        trim()
+        return out
 
     return blocks.groupBy("block").cogroup(answered.where("block >= 0").groupBy("block")).applyInArrow(run, schema)

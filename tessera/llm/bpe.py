@@ -25,6 +25,8 @@ from . import blocks as B
 from .runtime import ship
 
 MOST_VOCABULARY_BYTES = 64 << 20
+#: Text bytes of a block.
+MOST = 8 << 20
 
 _encoders: dict[tuple, object] = {}
 
@@ -84,7 +86,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     ship(spark)
     held = spark.sparkContext.broadcast(read_ranks(rank_file))
     bits = min(B.ranges(docs, 2), 16)
-    packed = B.pack(docs, id_col, text_col, 8 << 20)
+    packed = B.pack(docs, id_col, text_col, MOST)
     mask = (1 << bits) - 1
 
     def distinct(texts: list[bytes]) -> dict[int, list[bytes]]:
@@ -135,7 +137,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         tokens = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "token_ids": tokens})
 
-    answered = B.answers(B.pieces(packed, emit), reduce)
+    answered = B.answers(B.pieces(docs, id_col, text_col, emit, MOST), reduce)
     return B.together(packed, answered, work, "doc_id long, token_ids array<int>")
 
 

@@ -177,7 +177,7 @@ class Model:
         self.starts = docs.where(F.coalesce(F.crc32(q) % folds != held_fold, F.lit(True))).count()
         self.packed = B.pack(docs, id_col, text_col)
         bits = min(B.ranges(docs), 24)
-        self.totals = stored(B.answers(B.pieces(self.packed, _emit(folds, held_fold, bits)), _reduce), "ngrams", "uncompressed")
+        self.totals = stored(B.answers(B.pieces(docs, id_col, text_col, _emit(folds, held_fold, bits)), _reduce), "ngrams", "uncompressed")
         sums = [np.frombuffer(r.vals, np.int64) for r in self.totals.where("block < 0").select("vals").toLocalIterator()]
         self.n, self.v = (int(x) for x in np.sum(sums, 0)) if sums else (0, 0)
         self.weights = em(self._histogram(), self.v)

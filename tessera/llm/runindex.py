@@ -414,7 +414,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(docs.sparkSession)
     bits = min(B.ranges(docs), 24)
     packed = B.pack(docs, id_col, text_col)
-    ruled = stored(B.answers(B.pieces(packed, _send_anchors(bits)), _rule_out), "anchors", "uncompressed")
+    ruled = stored(B.answers(B.pieces(docs, id_col, text_col, _send_anchors(bits)), _rule_out), "anchors", "uncompressed")
 
     passages = packed.groupBy("block").cogroup(ruled.groupBy("block"))
     send = _send_passages(bits)
@@ -422,7 +422,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(block: pa.Table, given: pa.Table) -> pa.Table:
         (row,) = block.to_pylist()
         got = send(*B.unpack(row), {0: {r["part"]: r["vals"] for r in given.to_pylist()}})
-        return got.add_column(1, "block", pa.array([row["block"]] * len(got), pa.int64()))
+        got = got.add_column(1, "block", pa.array([row["block"]] * len(got), pa.int64()))
+        B.trim()
+        return got
 
     found = B.answers(passages.applyInArrow(run, B.PIECE), _index)
     schema = RESULT + (", kept binary" if keep_text else "")

@@ -73,8 +73,9 @@ def test_blocks_and_long_texts(spark, tmp_path, monkeypatch):
     spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
     import tessera.llm.blocks as B
 
-    plain = B.pack
-    monkeypatch.setattr(R.B, "pack", lambda d, i, t: plain(d, i, t, 500))
+    pack, pieces = B.pack, B.pieces
+    monkeypatch.setattr(R.B, "pack", lambda d, i, t: pack(d, i, t, 500))
+    monkeypatch.setattr(R.B, "pieces", lambda d, i, t, e: pieces(d, i, t, e, 500))
     got = R.dedup_substrings(spark.read.parquet(str(tmp_path / "d"))).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(docs)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
