@@ -322,7 +322,7 @@ _INPUTS = [("a/b.ome.zarr", 1, 10), ("c.zarr", 1, 10), ("brain.NII.gz", 1, 5), (
 
 @query(f"""WITH i AS (SELECT * FROM (VALUES {_sql_rows(_INPUTS)}) t(path, files, length) UNION ALL SELECT url, 1, 0 FROM pages),
     s AS (SELECT *, lower(regexp_extract(path, '[^/.]((\\.[^./]+)+)$', 1)) AS e FROM i)
-    SELECT path, files, CASE WHEN e IN ('.zarr', '.ome.zarr') THEN 'ngff_zarr' WHEN e IN ('.nii', '.nii.gz') THEN 'nibabel'
+    SELECT path, files, CASE WHEN e IN ('.zarr', '.ome.zarr') THEN 'pyramid_store' WHEN e IN ('.nii', '.nii.gz') THEN 'nibabel'
       WHEN e IN ({', '.join(f"'{x}'" for x in backends.MEDICAL)}) THEN CASE WHEN files = 1 AND length < 2000000000 THEN 'itkwasm_image_io' ELSE 'itk' END
       WHEN e IN ({', '.join(f"'{x}'" for x in backends.TIFF)}) THEN 'tifffile' ELSE 'imageio' END AS backend FROM s""")
 def backend_detect(s: SparkSession, d: str) -> DataFrame:

@@ -178,7 +178,7 @@ def open_input(spark: SparkSession, path: str | Sequence[str], o: Options | None
         image = store.read_array(spark, paths[0])
     else:
         row = spark.range(1).select(backends.detect(F.lit(paths[0].rstrip("/")).alias("path")).alias("b")).first()
-        if row.b == "ngff_zarr":
+        if row.b == "pyramid_store":
             images, _ = read_pyramid(spark, paths[0])
             image = images[o.level]
         elif row.b == "nibabel":

@@ -26,8 +26,8 @@ def detect(path="path", files=1, length=0, has_array=None) -> Column:
     size = F.lit(length) if isinstance(length, int) else F.col(length)
     array = F.lit(False) if has_array is None else F.col(has_array)
     return (
-        F.when(array, "zarr")
-        .when(s.isin(*STORE), "ngff_zarr")
+        F.when(array, "array_store")
+        .when(s.isin(*STORE), "pyramid_store")
         .when(s.isin(*NIFTI), "nibabel")
         .when(s.isin(*MEDICAL) & (n == 1) & (size < WASM_LIMIT), "itkwasm_image_io")
         .when(s.isin(*MEDICAL), "itk")
@@ -47,8 +47,8 @@ def store_size(spark: SparkSession, path: str) -> DataFrame:
 
 def formats(spark: SparkSession) -> DataFrame:
     """backend, suffix, readable: formats by reader, and whether this engine decodes them."""
-    table = {"ngff_zarr": STORE, "zarr": [".zarr"], "nibabel": NIFTI, "itkwasm_image_io": MEDICAL, "itk": MEDICAL, "tifffile": TIFF}
-    rows = [(b, s, b in ("ngff_zarr", "zarr", "nibabel") and s != ".hdr") for b, ss in table.items() for s in ss]
+    table = {"pyramid_store": STORE, "array_store": [".zarr"], "nibabel": NIFTI, "itkwasm_image_io": MEDICAL, "itk": MEDICAL, "tifffile": TIFF}
+    rows = [(b, s, b in ("pyramid_store", "array_store", "nibabel") and s != ".hdr") for b, ss in table.items() for s in ss]
     return spark.createDataFrame(rows, "backend string, suffix string, readable boolean")
 
 

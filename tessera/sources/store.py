@@ -51,7 +51,7 @@ def read_file(path: str) -> bytes | None:
 def write_file(path: str, data: bytes) -> None:
     fs, p = filesystem(path)
     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(p) as f:
+    with fs.open_output_stream(p, compression=None) as f:
         f.write(data)
 
 
