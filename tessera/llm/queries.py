@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, matroska, neardup, ngramlm, quality, runindex, secretscan, warc
+from . import bpe, decontam, langid, matroska, neardup, ngramlm, quality, runindex, secretscan, sql, warc
 
 QUERIES = {
     "op1_substring_dedup": runindex.op1,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_matroska": matroska.op9,
     "op10_secrets": secretscan.op10,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": sql.OP1,
+    "op4_warc": sql.OP4,
+    "op5_decontaminate": sql.OP5,
+    "op8_neardup": sql.OP8,
+}
