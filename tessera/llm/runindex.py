@@ -42,6 +42,7 @@ SPAN, GRAM = 50, 16
 LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 22) - 1)
 _VALUES = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_AGAIN = np.uint64(0xA0761D6478BD642F)
 _BASE = (0xD6E8FEB86659FD93 // 8) * 8 + 5
 
 
@@ -64,6 +65,7 @@ class RunLengthIndex:
         self.starts = self.ends - lens
         self.n = len(self.text)
         order = self._sorted()
+        B.trim()
         before = np.where(order > 0, self.text[order - 1], 0)
         before[np.isin(order, self.starts)] = 0
         new = np.concatenate([[True], before[1:] != before[:-1]])
@@ -84,17 +86,30 @@ class RunLengthIndex:
         self.runs = len(start)
         self.border = self._borders(order)
 
+    def _first_keys(self) -> tuple[np.ndarray, int]:
+        """The first symbols of each suffix as a number, zero from the end mark on, and how many they are."""
+        n = self.n
+        if self.text.max(initial=0) < 256:  # so in UTF-8, which has no byte 255
+            width, bits = 8, 8
+            padded = np.concatenate([self.text.astype(np.uint8), np.zeros(width, np.uint8)])
+            key = np.lib.stride_tricks.sliding_window_view(padded, width)[:n].copy().view(">u8").ravel().astype(np.uint64)
+        else:
+            width, bits = 7, 9
+            padded = np.concatenate([self.text, np.zeros(width, np.int16)]).astype(np.uint64)
+            key = np.zeros(n, np.uint64)
+            for i in range(width):
+                key = key << np.uint64(bits) | padded[i : i + n]
+        for o in range(width):  # o symbols before an end mark
+            at = self.ends[self.ends - o >= self.starts] - o
+            keep = (1 << bits * width) - (1 << bits * (width - o))
+            key[at] &= np.uint64(keep)
+        return key, width
+
     def _sorted(self) -> np.ndarray:
         """All suffixes in order, by doubling; only tied suffixes are sorted again."""
-        n, width = self.n, 7
+        n = self.n
         end = np.repeat(self.ends, self.ends - self.starts + 1)
-        key = np.zeros(n, np.uint64)
-        alive = np.ones(n, bool)
-        padded = np.concatenate([self.text, np.zeros(width, np.int16)]).astype(np.uint64)
-        for i in range(width):
-            sym = np.where(alive, padded[i : i + n], 0)
-            key = key << np.uint64(9) | sym
-            alive &= padded[i : i + n] != 0
+        key, width = self._first_keys()
         order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
@@ -261,7 +276,8 @@ def _anchors(raw: bytes, lens: np.ndarray):
     new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     first = at[new]
     last = at[np.append(new[1:], len(at)) - 1] if len(at) else first
-    return h[own[new]], first, last - first + SPAN
+    # the chosen hashes are small ones; mixed again they spread over all ranges
+    return K.mix(h[own[new]] ^ _AGAIN), first, last - first + SPAN
 
 
 def _docs(ids) -> np.ndarray:
@@ -412,9 +428,10 @@ def _mark(bits: int, keep_text: bool):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """RESULT and, with ``keep_text``, the remaining bytes (``kept``); one row for each document row."""
     ship(docs.sparkSession)
-    bits = min(B.ranges(docs), 24)
     packed = B.pack(docs, id_col, text_col)
-    ruled = stored(B.answers(B.pieces(docs, id_col, text_col, _send_anchors(bits)), _rule_out), "anchors", "uncompressed")
+    ruled = stored(B.answers(B.pieces(docs, id_col, text_col, _send_anchors(min(B.ranges(docs), 24))), _rule_out), "anchors", "uncompressed")
+    # an index takes some hundred bytes for each byte of its passages, so its ranges are smaller
+    bits = min(B.ranges(docs, 16), 24)
 
     passages = packed.groupBy("block").cogroup(ruled.groupBy("block"))
     send = _send_passages(bits)
