@@ -198,9 +198,11 @@ class NearDuplicates:
         """doc_id, n_shingles, component_id, kept; one row for each document row."""
         found = components(self.links)
         rows = self.rows.select("id", "n", "digest")
-        node = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node"))
-        out = rows.join(node, "digest", "left").join(found, "node", "left")
-        own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("id"))
+        # nodes are few for a digest and a node; only the last join meets hot digests, and both
+        # its sides are plain exchanges, which Spark can split
+        known = self.nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+        out = rows.join(known, "digest", "left")
+        own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
         return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
 
 
