@@ -107,7 +107,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top:
     last = Window.partitionBy("lang").orderBy(F.desc("n"), key)
     best = sums.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(64))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= top)
     best = best.withColumn("k", F.row_number().over(last)).where(F.col("k") <= top).select("lang", "gram", "k")
-    n = rows.agg(F.count_distinct("lang")).first()[0]
+    n = docs.agg(F.count_distinct(f"`{lang_col}`")).first()[0]  # without the texts
     if n > MOST_LANGUAGES:
         raise ValueError(f"{n} languages; profiles of at most {MOST_LANGUAGES} are broadcast")
     out: dict[str, list[int]] = {}

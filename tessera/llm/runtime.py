@@ -16,12 +16,16 @@ _scratch_roots: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application.
+    """Give the executors this package, once per application, and fix how files are split.
 
     Functions of the package are pickled by reference, so a Python worker has
     to be able to import it, also on a cluster whose nodes lack the checkout.
     """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # files are else split by the number of cores at hand, which changes when an executor is
+        # lost; operators that read their input twice need the same partitions both times
+        spark.conf.set("spark.sql.files.minPartitionNum", sc.defaultParallelism)
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
