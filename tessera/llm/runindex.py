@@ -57,31 +57,32 @@ class RunLengthIndex:
 
     def __init__(self, strings: list[bytes], depth: int = SPAN):
         self.depth = depth
-        lens = np.fromiter(map(len, strings), np.int64, len(strings))
+        lens = np.fromiter(map(len, strings), np.int32, len(strings))
         self.raw = b"\0".join([*strings, b""])
-        self.text = np.frombuffer(self.raw, np.uint8).astype(np.int16) + 1
-        self.ends = np.cumsum(lens + 1) - 1
+        self.text = np.frombuffer(self.raw, np.uint8).astype(np.int16) + np.int16(1)
+        self.ends = np.cumsum(lens + 1, dtype=np.int32) - np.int32(1)
         self.text[self.ends] = 0
         self.starts = self.ends - lens
         self.n = len(self.text)
         order = self._sorted()
-        B.trim()
-        before = np.where(order > 0, self.text[order - 1], 0)
-        before[np.isin(order, self.starts)] = 0
-        new = np.concatenate([[True], before[1:] != before[:-1]])
-        start = np.flatnonzero(new)
-        head = before[start].astype(np.int64)
+        before = self.text[order - 1]
+        first = np.zeros(self.n, bool)
+        first[self.starts] = True
+        before[first[order]] = 0
+        start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])).astype(np.int32)
+        head = before[start]
         length = np.diff(np.append(start, self.n))
         by = np.argsort(head, kind="stable")  # runs by symbol, then by place
-        self.run_key = head[by] * self.n + start[by]
-        self.run_start = start[by]
-        total = np.cumsum(length[by]) - length[by]
-        per_symbol = np.bincount(self.text, minlength=257)
-        below = np.cumsum(per_symbol) - per_symbol
-        first = np.searchsorted(head[by], np.arange(258))
-        base = np.append(total, total[-1:] + length[by][-1:]) if len(total) else np.zeros(1, np.int64)
-        self.run_rank = total - base[first[head[by]]] + below[head[by]]  # rank in the first column at the run's start
-        self.samples = np.append(start[1:], self.n) - 1
+        head, self.run_start, length = head[by], start[by], length[by]
+        # searching is the hot path: 32 bits where the keys fit
+        self.key_type = np.int32 if 257 * self.n < 1 << 31 else np.int64
+        self.run_key = head.astype(self.key_type) * self.key_type(self.n) + self.run_start
+        total = np.cumsum(length) - length
+        symbols = np.bincount(self.text, minlength=257)
+        below = np.cumsum(symbols) - symbols
+        base = np.append(total, 0)[np.searchsorted(head, np.arange(257))]
+        self.run_rank = (total - base[head] + below[head]).astype(np.int32)  # rank in the first column at the run's start
+        self.samples = np.append(start[1:], self.n).astype(np.int32) - np.int32(1)
         self.sample_at = order[self.samples]
         self.runs = len(start)
         self.border = self._borders(order)
@@ -109,27 +110,25 @@ class RunLengthIndex:
         """All suffixes in order, by doubling; only tied suffixes are sorted again."""
         n = self.n
         end = np.repeat(self.ends, self.ends - self.starts + 1)
-        key, width = self._first_keys()
-        order = np.argsort(key)
+        key, step = self._first_keys()
+        order = np.argsort(key).astype(np.int32)
         ranked = key[order]
-        rank = np.empty(n, np.int64)
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+        rank = np.empty(n, np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])).astype(np.uint32)
+        size = np.diff(np.append(first, n))
+        rank[order] = np.repeat(first, size)
         rank[self.ends] = np.arange(len(self.ends))
         order[: len(self.ends)] = self.ends
-        size = np.diff(np.append(first, n))
         tied = np.repeat(size > 1, size)
         tied[: len(self.ends)] = False
-        place = np.flatnonzero(tied)  # places of the order that are not final
-        step = width
+        place = np.flatnonzero(tied).astype(np.int32)  # places of the order that are not final
         while len(place):
             own = order[place]
-            both = rank[own].astype(np.uint64) << np.uint64(32) | rank[np.minimum(own + step, end[own])].astype(np.uint64)
+            both = rank[own].astype(np.uint64) << np.uint64(32) | rank[np.minimum(own + np.int32(step), end[own])]
             again = np.argsort(both)
             own, both = own[again], both[again]
             order[place] = own
-            new = np.concatenate([[True], both[1:] != both[:-1]])
-            at = np.flatnonzero(new)
+            at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
             size = np.diff(np.append(at, len(own)))
             rank[own] = np.repeat(place[at], size)
             place = place[np.repeat(size > 1, size)]
@@ -153,8 +152,8 @@ class RunLengthIndex:
 
     def backward(self, rank: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Rank of the suffix that begins one symbol earlier (the symbol that precedes it is given)."""
-        run = np.searchsorted(self.run_key, symbol * self.n + rank, "right") - 1
-        return self.run_rank[run] + rank - self.run_start[run]
+        run = np.searchsorted(self.run_key, symbol.astype(self.key_type) * self.key_type(self.n) + rank, "right") - 1
+        return self.run_rank[run] + (rank - self.run_start[run])
 
     def intervals(self) -> np.ndarray:
         """For each place of the text the number of its suffix's interval, streamed backwards from the samples.
@@ -163,20 +162,22 @@ class RunLengthIndex:
         lanes at once. Suffixes of one interval share ``depth`` bytes, so a
         place whose interval holds another string matches at least that long.
         """
-        number = np.cumsum(self.border, dtype=np.int64) - 1
-        out = np.empty(self.n, np.int64)
-        place = np.concatenate([self.sample_at, self.ends])
-        rank = np.concatenate([self.samples, np.arange(len(self.ends))])
-        place, keep = np.unique(place, return_index=True)
-        rank = rank[keep]
+        number = np.cumsum(self.border, dtype=np.int32) - np.int32(1)
+        out = np.empty(self.n, np.int32)
+        known = np.full(self.n, -1, np.int32)
+        known[self.sample_at] = self.samples
+        known[self.ends] = np.arange(len(self.ends))
+        place = np.flatnonzero(known >= 0).astype(np.int32)
+        rank = known[place]
         out[place] = number[rank]
-        left = np.diff(np.concatenate([[-1], place])) - 1  # unsampled places before each sampled one
+        left = np.diff(place, prepend=-1) - 1  # unsampled places before each sampled one
         by = np.argsort(-left, kind="stable")
+        by = by[: int((left > 0).sum())]
         place, rank, left = place[by], rank[by], left[by]
-        step = 0
-        active = int((left > 0).sum())
+        step, active = 0, len(by)
         while active:
-            place, rank = place[:active] - 1, self.backward(rank[:active], self.text[place[:active] - 1].astype(np.int64))
+            place = place[:active] - np.int32(1)
+            rank = self.backward(rank[:active], self.text[place])
             out[place] = number[rank]
             step += 1
             active = int(np.searchsorted(-left[:active], -step, "left"))
@@ -330,14 +331,22 @@ def _repeated(own: Passages, given) -> np.ndarray:
     return np.flatnonzero(mask[place])
 
 
+#: Bits of the finer ranges inside a range: an index each, small enough for a core's cache.
+FINE = 3
+
+
 def _send_passages(bits: int):
     def work(ids, texts, given):
         own = Passages(texts)
-        by, low, _, _ = own.distinct(_repeated(own, given), _docs(ids), bits)
+        by, low, _, _ = own.distinct(_repeated(own, given), _docs(ids), bits + FINE)
         rows = []
-        for part in sorted(by):
-            lens = np.fromiter(map(len, by[part]), np.uint8, len(by[part]))
-            rows.append(dict(part=part, n=len(lens), keys=B.squeeze(lens.tobytes() + b"".join(by[part])), vals=B.planes(np.array(low[part], np.int64))))
+        for part in sorted({p >> FINE for p in by}):
+            fine = range(part << FINE, part + 1 << FINE)
+            counts = np.array([len(by.get(p, ())) for p in fine], np.uint32)
+            lens = np.fromiter((len(x) for p in fine for x in by.get(p, ())), np.uint8, int(counts.sum()))
+            data = b"".join(x for p in fine for x in by.get(p, ()))
+            docs = np.array([d for p in fine for d in low.get(p, ())], np.int64)
+            rows.append(dict(part=part, n=len(lens), keys=B.squeeze(counts.tobytes() + lens.tobytes() + data), vals=B.planes(docs)))
         return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())]))
 
     return work
@@ -345,39 +354,56 @@ def _send_passages(bits: int):
 
 def _index(rows):
     """For each piece's passages, runs of windows with one smallest document: runs, lengths, documents."""
-    number: dict[bytes, int] = {}
-    low: list[int] = []
-    mine = []
+    pieces = []
     for r in rows:
         raw, n = B.unsqueeze(r["keys"]), r["n"]
-        at, own = n, []
-        for k, d in zip(raw[:n], B.unplanes(r["vals"], np.int64).tolist(), strict=True):
-            i = number.setdefault(raw[at : at + k], len(low))
-            at += k
-            if i == len(low):
-                low.append(d)
-            elif d < low[i]:
-                low[i] = d
-            own.append(i)
-        mine.append(own)
-    index = RunLengthIndex(list(number))
+        head = 4 << FINE
+        counts = np.frombuffer(raw, np.uint32, 1 << FINE).tolist()
+        ends = (np.cumsum(np.frombuffer(raw, np.uint8, n, head), dtype=np.int64) + head + n).tolist()
+        starts = [head + n, *ends[:-1]]
+        pieces.append((raw, counts, starts, ends, B.unplanes(r["vals"], np.int64).tolist()))
+    done: list[list] = [[] for _ in rows]
+    at = [0] * len(rows)
+    for fine in range(1 << FINE):
+        number: dict[bytes, int] = {}
+        low: list[int] = []
+        mine = []
+        for k, (raw, counts, starts, ends, docs) in enumerate(pieces):
+            a = at[k]
+            at[k] = b = a + counts[fine]
+            own = []
+            for x, y, d in zip(starts[a:b], ends[a:b], docs[a:b], strict=True):
+                i = number.setdefault(raw[x:y], len(low))
+                if i == len(low):
+                    low.append(d)
+                elif d < low[i]:
+                    low[i] = d
+                own.append(i)
+            mine.append(np.array(own, np.int64))
+        if low:
+            runs, start, length, value = _least(RunLengthIndex(list(number)), np.array(low, np.int64))
+            for k, own in enumerate(mine):
+                take = np.repeat(start[own] - (np.cumsum(runs[own]) - runs[own]), runs[own]) + np.arange(int(runs[own].sum()))
+                done[k].append((runs[own].astype(np.uint8), length[take].astype(np.uint8), value[take]))
+    for r, parts in zip(rows, done, strict=True):
+        yield r["block"], 1, B.squeeze(np.concatenate([p[0] for p in parts]))
+        yield r["block"], 2, B.squeeze(np.concatenate([p[1] for p in parts]))
+        yield r["block"], 3, B.planes(np.concatenate([p[2] for p in parts]))
+
+
+def _least(index: RunLengthIndex, docs: np.ndarray):
+    """Runs of windows of each string that have one smallest document: runs of a string, its first run, lengths, documents."""
     interval = index.intervals()
-    string = np.repeat(np.arange(len(low)), index.ends - index.starts + 1)
-    window = np.flatnonzero(np.arange(index.n) + SPAN <= index.ends[string])
-    docs = np.array(low, np.int64)
+    string = np.repeat(np.arange(len(docs), dtype=np.int32), index.ends - index.starts + 1)
+    window = np.flatnonzero(np.arange(index.n, dtype=np.int32) + np.int32(SPAN) <= np.repeat(index.ends, index.ends - index.starts + 1))
+    owner, interval = string[window], interval[window]
     least = np.full(int(interval.max()) + 1, LAST)
-    np.minimum.at(least, interval[window], docs[string[window]])
-    value, owner = least[interval[window]], string[window]
+    np.minimum.at(least, interval, docs[owner])
+    value = least[interval]
     new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]))
     length = np.diff(np.append(new, len(value)))
-    runs = np.bincount(owner[new], minlength=len(low))
-    start = np.cumsum(runs) - runs
-    for r, own in zip(rows, mine, strict=True):
-        own = np.array(own)
-        take = np.repeat(start[own] - (np.cumsum(runs[own]) - runs[own]), runs[own]) + np.arange(int(runs[own].sum()))
-        yield r["block"], 1, B.squeeze(runs[own].astype(np.uint8))
-        yield r["block"], 2, B.squeeze(length[take].astype(np.uint8))
-        yield r["block"], 3, B.planes(value[new][take])
+    runs = np.bincount(owner[new], minlength=len(docs))
+    return runs, np.cumsum(runs) - runs, length, value[new]
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -387,17 +413,23 @@ def _mark(bits: int, keep_text: bool):
     def work(ids, texts, given):
         own, docs = Passages(texts), _docs(ids)
         use = _repeated(own, given)
-        by, _, part, number = own.distinct(use, docs, bits)
+        by, _, part, number = own.distinct(use, docs, bits + FINE)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         base = np.cumsum(lens) - lens
         edge = np.zeros(int(lens.sum()) + 1, np.int32)
+        before = dict.fromkeys(by, 0)  # passages of finer ranges that stand before in the piece
         for p in by:
+            before[p] = sum(len(by[q]) for q in range(p >> FINE << FINE, p) if q in by)
+        number += np.array([before[p] for p in part.tolist()], np.int64)
+        part >>= FINE
+        by_part = np.argsort(part, kind="stable")
+        for k in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1) if len(part) else ():
+            p = int(part[k[0]])
             runs = np.frombuffer(B.unsqueeze(given[1][p]), np.uint8).astype(np.int64)
             size = np.frombuffer(B.unsqueeze(given[2][p]), np.uint8).astype(np.int64)
             value = B.unplanes(given[3][p], np.int64)
             start = np.cumsum(runs) - runs
             offset = np.cumsum(size) - size
-            k = np.flatnonzero(part == p)
             i = number[k]
             take = np.repeat(start[i] - (np.cumsum(runs[i]) - runs[i]), runs[i]) + np.arange(int(runs[i].sum()))
             row = np.repeat(own.row[use[k]], runs[i])
