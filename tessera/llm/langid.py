@@ -37,9 +37,6 @@ def _letters() -> np.ndarray:
     if _LETTER is None:
         out = np.zeros(0x110000, np.uint32)
         for c in range(0x110000):
-            if 0xD800 <= c < 0xE000 or 0x4E00 <= c < 0xD800 and not 0x9FFF < c < 0xAC00:
-                out[c] = c if not 0xD800 <= c < 0xE000 else 0
-                continue
             s = chr(c)
             if s.isalpha():
                 low = s.lower()

@@ -37,10 +37,8 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     full = os.path.join(here, n)
                     z.write(full, os.path.join("tessera", os.path.relpath(full, top)))
-    sc.addPyFile(archive)
-    shutil.rmtree(folder, ignore_errors=True) if not os.path.exists(archive) else atexit.register(
-        shutil.rmtree, folder, True
-    )
+    sc.addPyFile(archive)  # served from here as long as the application lives
+    atexit.register(shutil.rmtree, folder, True)
     _shipped.add(sc.applicationId)
 
 
