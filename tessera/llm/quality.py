@@ -9,7 +9,7 @@ standardised. The score is the logistic of
 
 so pairwise interactions cost time linear in the text.
 
-Learning takes at most ``MOST_ROWS`` labelled rows, those of smallest hash of
+Learning takes at most ``MOST_ROWS`` labelled rows (12,000), those of smallest hash of
 their id (a documented bound; every row is eligible alike), by AdaGrad on the
 driver with a fixed seed and order. Scoring is one scan without a shuffle, the
 model a closure of fixed size. Null and empty texts have structure features
@@ -29,7 +29,7 @@ from . import textkernels as K
 from .langid import held_out
 from .runtime import attach, ship
 
-BUCKETS, RANK, MOST_ROWS, EPOCHS, STEP, DECAY = 1 << 14, 8, 20_000, 6, 0.05, 1e-5
+BUCKETS, RANK, MOST_ROWS, EPOCHS, STEP, DECAY = 1 << 14, 8, 12_000, 6, 0.05, 1e-5
 STATS = 12
 
 
@@ -96,33 +96,36 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(m, -40, 40)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
-    """Learn by AdaGrad over shuffled mini-batches of 64 rows."""
+def _rows(texts: list[bytes]):
+    """For each text its buckets (uint16), shares (float32) and structure statistics."""
+    for a, b in K.batches(texts):
+        rows, cols, x, stats = features(texts[a:b])
+        at = np.searchsorted(rows, np.arange(b - a + 1))
+        for i in range(b - a):
+            s = slice(at[i], at[i + 1])
+            yield cols[s].astype(np.uint16), x[s].astype(np.float32), stats[i]
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
+    """Learn from rows of ``_rows`` by AdaGrad over shuffled mini-batches of 64."""
     y = np.asarray(labels, np.float64)
-    parts = [features(texts[a:b]) for a, b in K.batches(texts)]
-    stats = np.concatenate([p[3] for p in parts]) if parts else np.zeros((0, STATS))
     rate = float(y.mean()) if len(y) else 0.5
     odds = float(np.log(np.clip(rate, 1e-6, 1 - 1e-6) / np.clip(1 - rate, 1e-6, 1)))
     rng = np.random.default_rng(seed)
     m = Model(odds, np.zeros(BUCKETS + STATS), np.zeros((BUCKETS + STATS, RANK)), np.zeros(STATS), np.ones(STATS))
     if len(set(y.tolist())) < 2:
         return m
+    stats = np.stack([r[2] for r in rows])
     m.v = rng.normal(0, 0.05, m.v.shape)
     m.mean, m.sd = stats.mean(0), np.maximum(stats.std(0), 1e-6)
-    start, rows = 0, []
-    for p in parts:
-        rows.append(p[0] + start)
-        start += len(p[3])
-    rows, cols, x = np.concatenate(rows), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    at = np.searchsorted(rows, np.arange(len(y) + 1))
     gw, gv, g0 = np.full(m.w.shape, 1e-6), np.full(m.v.shape, 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for b in range(0, len(y), 64):
             own = order[b : b + 64]
-            take = np.concatenate([np.arange(at[i], at[i + 1]) for i in own])
-            r = np.repeat(np.arange(len(own)), at[own + 1] - at[own])
-            c, v = cols[take], x[take]
+            c = np.concatenate([rows[i][0] for i in own]).astype(np.int64)
+            v = np.concatenate([rows[i][1] for i in own]).astype(np.float64)
+            r = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
             margin, s, z = m.margin(r, c, v, stats[own])
             e = (1.0 / (1.0 + np.exp(-np.clip(margin, -40, 40))) - y[own]) / len(own)
             ids, back = np.unique(c, return_inverse=True)
@@ -145,14 +148,21 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> Model:
-    """Learn from the labelled rows of ``docs``, at most ``most_rows`` of them."""
+    """Learn from the labelled rows of ``docs``, at most ``most_rows`` of them; the driver gets their features, not their texts."""
+    ship(docs.sparkSession)
     q = lambda c: F.col(f"`{c}`")
     y = labels.select(q(id_col).alias("id"), q(label_col).alias("y")).where("y in (0, 1)")
     d = docs.select(q(id_col).alias("id"), q(text_col).alias("text"))
     ids = d.select("id", F.xxhash64("id").alias("h")).join(y, "id").orderBy("h", "id", "y").limit(most_rows)
-    rows = d.join(F.broadcast(ids), "id").orderBy("h", "id", "y").select("text", "y").toPandas()
-    texts = [b"" if t is None else t.encode() for t in rows["text"]]
-    return fit(texts, rows["y"].to_numpy())
+
+    def fn(cols):
+        got = list(_rows(K.utf8(cols["text"])))
+        return {n: [g[i].tobytes() for g in got] for i, n in enumerate(("cols", "shares", "stats"))}
+
+    rows = attach(d.join(F.broadcast(ids), "id"), ["text"], ["h", "id", "y"], fn, "cols binary, shares binary, stats binary")
+    got = rows.select("c.*", "r.*").toPandas().sort_values(["h", "id", "y", "cols"], kind="stable")
+    parts = [(np.frombuffer(c, np.uint16), np.frombuffer(x, np.float32), np.frombuffer(z, np.float64)) for c, x, z in zip(got["cols"], got["shares"], got["stats"], strict=True)]
+    return fit(parts, got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
