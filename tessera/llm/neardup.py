@@ -16,6 +16,13 @@ Signatures then sort out candidates whose estimate lies ``SLACK`` (over four
 standard deviations) below the limit, and every remaining pair is
 confirmed on the full sets: 100 * intersection >= percent * union.
 
+In a crowded region the one partner of a node may stand further off. So a second
+round takes the nodes that have a close candidate, orders them again, and
+compares nodes of *different* components over the next ``WIDE`` places; pairs
+within a component, nearly all of a crowd, need no more. It compares by one bit
+of each of ``BITS`` more minima, which halves the deviation at the same size, so
+that few pairs of a crowd that are not links have to be confirmed.
+
 Null texts have no words. Rows that repeat a doc_id are judged by their own
 text. A null doc_id forms no group of its own. Extra columns are ignored.
 """
@@ -34,14 +41,18 @@ from .components import components
 from .runtime import attach, ship, stored
 
 TREES, BASE, DEEPER = 32, 4, 8
-SMALL, FAR, NEAR = 32, 6, 3
+SMALL, FAR, NEAR, WIDE = 32, 6, 3, 256
 SLACK = 0.18
+#: The same for the second round: 3.5 standard deviations of its estimate at similarity 0.8.
+BITS, FINE_SLACK = 1024, 0.065
 #: Ids of candidates are broadcast up to this number (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 2_000_000
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(1, 1 << 63, TREES * BASE, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(1, 1 << 63, TREES * BASE, dtype=np.uint64)
+_MUL_BITS = _rng.integers(1, 1 << 63, BITS, dtype=np.uint64) | np.uint64(1)
+_ADD_BITS = _rng.integers(1, 1 << 63, BITS, dtype=np.uint64)
 
 
 def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -60,9 +71,9 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
     """Minima of each set (none may be empty) under every hash function."""
-    out = np.empty((len(sets), TREES * BASE), np.uint32)
+    out = np.empty((len(sets), len(mul)), np.uint32)
     step, first = 0, 0
     for i, s in enumerate(sets):
         step += len(s)
@@ -70,12 +81,24 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             part = sets[first : i + 1]
             flat = np.concatenate(part)
             at = np.concatenate([[0], np.cumsum([len(p) for p in part])[:-1]]).astype(np.int64)
-            for j in range(TREES * BASE):
-                out[first : i + 1, j] = np.minimum.reduceat(flat * _MUL[j] + _ADD[j] >> np.uint64(32), at)
+            for j in range(len(mul)):
+                out[first : i + 1, j] = np.minimum.reduceat(flat * mul[j] + add[j] >> np.uint64(32), at)
             step, first = 0, i + 1
     return out
 
 
+def _bits(sets: DataFrame) -> DataFrame:
+    """node, bits: the lowest bit of each of ``BITS`` minima."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            packed = np.packbits((signatures(own, _MUL_BITS, _ADD_BITS) & 1).astype(np.uint8), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["node", "bits"])
+
+    return sets.mapInArrow(run, "node long, bits binary")
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def fn(cols):
         sets = shingles(K.utf8(cols[text_col]), k)
@@ -90,8 +113,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return attach(docs, [text_col], [id_col], fn, "n long, digest binary, sig binary").select(F.col(f"c.`{id_col}`").cast("long").alias("id"), "r.*")
 
 
-def _trees(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: the region, the deeper order, the node."""
+def _trees(nodes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each node and tree: the region, the deeper order, the node, and more columns of the node."""
+    kinds = nodes.select(*more).schema if more else []
+    schema = ", ".join(["key long", "deeper binary", "node long", *(f"{f.name} {f.dataType.simpleString()}" for f in kinds)])
 
     def run(batches):
         for batch in batches:
@@ -106,9 +131,10 @@ def _trees(nodes: DataFrame) -> DataFrame:
                 # big-endian, so that bytes sort as the numbers do
                 order = (turned[:, BASE : BASE + DEEPER] >> 16).astype(">u2")
                 order = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((np.arange(len(ids) + 1) * 2 * DEEPER).astype(np.int32)), pa.py_buffer(order.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), order, pa.array(ids)], ["key", "deeper", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), order, pa.array(ids), *batch.columns[2:]], ["key", "deeper", "node", *more])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, deeper binary, node long")
+    order = ["key", "deeper", "node"]
+    return nodes.select("node", "sig", *more).mapInArrow(run, schema).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _neighbours(batches):
@@ -134,15 +160,60 @@ def _neighbours(batches):
         keys, nodes = keys[-FAR:], nodes[-FAR:]
 
 
+def _low(nodes: DataFrame) -> DataFrame:
+    """node, and the low byte of each minimum: what two signatures are compared by."""
+
+    def run(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["node", "low"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "node long, low binary")
+
+
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _sketch_filter(least: float):
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            x, y = _matrix(batch.column(2)), _matrix(batch.column(3))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array((x == y).mean(1) >= least)) for c in batch.columns[:2]], ["a", "b"])
 
     return run
 
 
+def _across(least: float):
+    """Close pairs of different components among the next places of a sorted run of trees' rows."""
+    most = int((1 - least) / 2 * BITS)  # of two sets' bits half of the minima that differ are equal
+
+    def run(batches):
+        keys, nodes, own, bits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)
+        for batch in batches:
+            fresh = len(keys)
+            keys, nodes, own = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((keys, nodes, own)))
+            bits = np.concatenate([bits, np.ascontiguousarray(_matrix(batch.column(3))).view(np.uint64)])
+            found = []
+            for k in range(1, min(WIDE, len(keys) - 1) + 1):
+                same = keys[k:] == keys[:-k]
+                if not same.any():
+                    break
+                same &= own[k:] != own[:-k]
+                same[: max(fresh - k, 0)] = False  # both were in the last batch
+                i = np.flatnonzero(same)
+                for c in range(0, len(i), 1 << 16):
+                    j = i[c : c + (1 << 16)]
+                    j = j[np.bitwise_count(bits[j] ^ bits[j + k]).sum(1) <= most]
+                    found.append(np.stack([nodes[j], nodes[j + k]]))
+            if found:
+                pairs = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            keys, nodes, own, bits = keys[-WIDE:], nodes[-WIDE:], own[-WIDE:], bits[-WIDE:]
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -167,40 +238,46 @@ class NearDuplicates:
         self.rows = stored(_signed(docs, id_col, text_col, k), "signatures", "uncompressed")
         named = self.rows.where("n > 0 and id is not null")
         self.nodes = stored(named.groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes", "uncompressed")
-        order = ["key", "deeper", "node"]
-        sorted_rows = _trees(self.nodes).repartitionByRange(*order).sortWithinPartitions(*order)
-        pairs = sorted_rows.select("key", "node").mapInArrow(_neighbours, "a long, b long").distinct()
-        low = self.nodes.select("node", F.expr("transform(sequence(1, length(sig), 4), i -> substring(sig, i, 1))").alias("bytes"))
-        low = low.select("node", F.expr("aggregate(bytes, cast('' as binary), (x, y) -> concat(x, y))").alias("low"))
+        least = percent / 100 - SLACK
+        pairs = _trees(self.nodes).select("key", "node").mapInArrow(_neighbours, "a long, b long").distinct()
         for side in ("a", "b"):
-            pairs = pairs.join(low.select(F.col("node").alias(side), F.col("low").alias(f"low_{side}")), side)
-        close = pairs.select("a", "b", "low_a", "low_b").mapInArrow(_sketch_filter(percent / 100 - SLACK), "a long, b long")
-        self.close = stored(close, "candidates")
-        self.links = stored(self._links(docs, id_col, text_col, k, percent), "links")
-
-    def _links(self, docs, id_col, text_col, k, percent) -> DataFrame:
-        wanted = self.close.select(F.col("a").alias("id")).union(self.close.select("b")).distinct()
+            pairs = pairs.join(_low(self.nodes).select(F.col("node").alias(side), F.col("low").alias(f"low_{side}")), side)
+        self.close = stored(pairs.select("a", "b", "low_a", "low_b").mapInArrow(_sketch_filter(least), "a long, b long"), "candidates")
+        crowd = self.close.select(F.col("a").alias("node")).union(self.close.select("b")).distinct()
+        self.sets = stored(self._sets(docs, crowd, id_col, text_col, k), "sets", "uncompressed")
+        first = stored(self._confirmed(self.close, percent), "links")
+        self.found = components(first)
+        few = self.nodes.join(_bits(self.sets), "node").join(self.found, "node", "left")
+        few = few.select("node", "sig", F.coalesce("component", "node").alias("own"), "bits")
+        wide = _trees(few, ("own", "bits")).select("key", "node", "own", "bits").mapInArrow(_across(percent / 100 - FINE_SLACK), "a long, b long").distinct()
+        second = stored(self._confirmed(wide.join(self.close, ["a", "b"], "left_anti"), percent), "links")
+        self.links = first.union(second)
+        if not second.isEmpty():
+            self.found = components(self.links)
+
+    def _sets(self, docs, wanted: DataFrame, id_col, text_col, k) -> DataFrame:
+        """id, set: shingle hashes of the documents that have a close candidate."""
         if wanted.count() <= MOST_BROADCAST:
             wanted = F.broadcast(wanted)
         q = lambda c: F.col("`" + c.replace("`", "``") + "`")
-        texts = docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text")).join(wanted, "id", "left_semi")
+        texts = docs.select(q(id_col).cast("long").alias("node"), q(text_col).alias("text")).join(wanted, "node", "left_semi")
 
         def fn(cols):
             return {"set": [s.tobytes() for s in shingles(K.utf8(cols["text"]), k)]}
 
-        sets = attach(texts, ["text"], ["id"], fn, "set binary").select("c.id", "r.set").where("length(set) > 0")
-        pairs = self.close
+        return attach(texts, ["text"], ["node"], fn, "set binary").select(F.col("c.node").alias("id"), "r.set").where("length(set) > 0")
+
+    def _confirmed(self, pairs: DataFrame, percent: int) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")), side)
+            pairs = pairs.join(self.sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")), side)
         return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long, both long, either long").distinct()
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept; one row for each document row."""
-        found = components(self.links)
         rows = self.rows.select("id", "n", "digest")
         # nodes are few for a digest and a node; only the last join meets hot digests, and both
         # its sides are plain exchanges, which Spark can split
-        known = self.nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+        known = self.nodes.select("digest", "node").join(self.found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
         out = rows.join(known, "digest", "left")
         own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
         return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
