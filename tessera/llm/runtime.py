@@ -11,6 +11,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that an Arrow function works on at a time.
+ROWS = 512
 _shipped: set[str] = set()
 _scratch_roots: dict[str, str] = {}
 
@@ -103,6 +105,8 @@ def attach(df: DataFrame, inputs: list[str], carry: list[str], fn, schema: str)
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    from .blocks import trim
+
     result = _parse_datatype_string(schema)
     q = lambda name: F.col("`" + name.replace("`", "``") + "`").alias(name)
     sel = df.select(F.struct(*map(q, carry)).alias("c"), F.struct(*map(q, inputs)).alias("i"))
@@ -110,13 +114,15 @@ def attach(df: DataFrame, inputs: list[str], carry: list[str], fn, schema: str)
     names, kinds = result.fieldNames(), [to_arrow_type(f.dataType) for f in result.fields]
 
     def run(rows):
-        for batch in rows:
-            if not batch.num_rows:
-                continue
+        # a few hundred rows at a time: a batch of Spark's holds ten thousand, and their texts as
+        # Python strings, with the results, would take several times its bytes
+        for batch in (b.slice(i, ROWS) for b in rows for i in range(0, b.num_rows, ROWS)):
             held = batch.column(1)
             got = fn({n: held.field(k) for k, n in enumerate(inputs)})
             arrays = [x if isinstance(x := got[n], pa.Array) else pa.array(x, t) for n, t in zip(names, kinds, strict=True)]
             res = pa.StructArray.from_arrays(arrays, names=names)
             yield pa.RecordBatch.from_arrays([batch.column(0), res], ["c", "r"])
+            held = got = arrays = res = None
+            trim()
 
     return sel.mapInArrow(run, out)
