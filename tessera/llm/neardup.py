@@ -20,8 +20,8 @@ In a crowded region the one partner of a node may stand further off. So a second
 round takes the nodes that have a close candidate, orders them again, and
 compares nodes of *different* components over the next ``WIDE`` places; pairs
 within a component, nearly all of a crowd, need no more. It compares by one bit
-of each of ``BITS`` more minima, which halves the deviation at the same size, so
-that few pairs of a crowd that are not links have to be confirmed.
+of each of ``BITS`` more minima, an estimate of a third of the deviation at twice
+the size, so that few pairs of a crowd that are not links have to be confirmed.
 
 Null texts have no words. Rows that repeat a doc_id are judged by their own
 text. A null doc_id forms no group of its own. Extra columns are ignored.
@@ -41,10 +41,10 @@ from .components import components
 from .runtime import attach, ship, stored
 
 TREES, BASE, DEEPER = 32, 4, 8
-SMALL, FAR, NEAR, WIDE = 32, 6, 3, 256
+SMALL, FAR, NEAR, WIDE = 32, 6, 2, 256
 SLACK = 0.18
-#: The same for the second round: 3.5 standard deviations of its estimate at similarity 0.8.
-BITS, FINE_SLACK = 1024, 0.065
+#: The same for the second round: 3.4 standard deviations of its estimate at similarity 0.8.
+BITS, FINE_SLACK = 2048, 0.045
 #: Ids of candidates are broadcast up to this number (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -253,7 +253,17 @@ class NearDuplicates:
         second = stored(self._confirmed(wide.join(self.close, ["a", "b"], "left_anti"), percent), "links")
         self.links = first.union(second)
         if not second.isEmpty():
-            self.found = components(self.links)
+            self.found = self._merged(second)
+
+    def _merged(self, more: DataFrame) -> DataFrame:
+        """Components after more links: only the components that these join are contracted."""
+        edges = more
+        for side in ("a", "b"):
+            own = self.found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+            edges = edges.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+        joined = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "old").withColumnRenamed("component", "new")
+        nodes = self.found.union(joined.select("old", "old").join(self.found, F.col("old") == F.col("node"), "left_anti"))
+        return nodes.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
 
     def _sets(self, docs, wanted: DataFrame, id_col, text_col, k) -> DataFrame:
         """id, set: shingle hashes of the documents that have a close candidate."""

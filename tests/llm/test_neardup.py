@@ -53,6 +53,21 @@ def test_matches_brute_force(spark, write_sf):
     assert sorted(map(tuple, N.op8(spark, sf).collect())) == brute(docs)
 
 
+def test_crowd_of_copies_on_both_sides_of_the_limit(spark, write_sf):
+    r = random.Random(5)
+    vocab = ["w%d" % i for i in range(3000)]
+    base, docs = [r.choice(vocab) for _ in range(150)], []
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.randint(2, 9)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        docs.append((i, " ".join(w)))
+    sf = write_sf(documents=spark.createDataFrame(docs, "doc_id long, text string"))
+    want = brute(docs)
+    assert 1 < len({w[2] for w in want}) < 160
+    assert sorted(map(tuple, N.op8(spark, sf).collect())) == want
+
+
 def test_whole_table_matches_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(map(tuple, N.op8(spark, "/root/testdata/sf0.001").collect())) == brute(docs)
