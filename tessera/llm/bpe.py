@@ -13,6 +13,7 @@ Null texts are empty, and empty texts have no ids. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -53,10 +54,22 @@ def encoder(data: bytes, pattern: str):
     return _encoders[key]
 
 
+# The usual pattern of byte-level BPE, and the same for texts of plain characters
+# (ASCII without control characters but white space, and Latin letters), where classes are ranges.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = rf"""'(?:s|t|re|ve|m|ll|d)| ?[{LATIN}]+| ?[0-9]+| ?[^\t-\r {LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+
+
 def splitter(pattern: str):
+    """A function that lists a text's pre-tokens in order."""
     import regex
 
-    return regex.compile(pattern).findall
+    full = regex.compile(pattern).findall
+    if pattern != USUAL:
+        return full
+    odd, plain = re.compile(rf"[^\t-\r\x20-\x7e{LATIN}]").search, re.compile(PLAIN).findall
+    return lambda text: full(text) if odd(text) else plain(text)
 
 
 def _words_out(words: list[bytes]) -> bytes:
@@ -170,6 +183,8 @@ def decode(tokens: DataFrame, rank_file: str, ids_col: str = "token_ids", out_co
                     raise ValueError("an id is not in the vocabulary")
                 out.append(_take(flat, start[ids], n[ids]).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
+            out = None
+            B.trim()
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(out_col, BinaryType())]))
 

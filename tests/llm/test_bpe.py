@@ -25,6 +25,16 @@ def test_pre_tokens_and_ids_are_those_of_the_library():
         assert own == ENC.encode_ordinary(t), repr(t)
 
 
+def test_plain_texts_are_split_alike_by_both_patterns():
+    assert bpe.USUAL == P.PATTERN
+    r, split, full = random.Random(6), bpe.splitter(P.PATTERN), regex.compile(P.PATTERN).findall
+    plain = "aZéÖÿĀɏ×÷09 \t\n\r\x0b\x0c'stremvdl!$~_-" + "  "
+    for _ in range(5000):
+        t = "".join(r.choice(plain) for _ in range(r.randint(0, 14)))
+        assert split(t) == full(t), repr(t)
+    assert all(regex.match(r"\p{L}", chr(c)) for a, b in ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)) for c in range(a, b + 1))
+
+
 def test_query_matches_the_library(spark, odd_docs, write_sf):
     sf = write_sf(documents=odd_docs.repartition(3))
     got = sorted(map(tuple, bpe.op3(spark, sf).collect()), key=str)
