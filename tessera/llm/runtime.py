@@ -28,6 +28,10 @@ def ship(spark: SparkSession) -> None:
         # files are else split by the number of cores at hand, which changes when an executor is
         # lost; operators that read their input twice need the same partitions both times
         spark.conf.set("spark.sql.files.minPartitionNum", sc.defaultParallelism)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        # Spark's own number is for narrow rows; ten thousand texts, or their token ids, are
+        # held by the JVM and by every Python worker of a stage at once
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
