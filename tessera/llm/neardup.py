@@ -16,12 +16,15 @@ Signatures then sort out candidates whose estimate lies ``SLACK`` (over four
 standard deviations) below the limit, and every remaining pair is
 confirmed on the full sets: 100 * intersection >= percent * union.
 
-In a crowded region the one partner of a node may stand further off. So a second
-round takes the nodes that have a close candidate, orders them again, and
-compares nodes of *different* components over the next ``WIDE`` places; pairs
-within a component, nearly all of a crowd, need no more. It compares by one bit
-of each of ``BITS`` more minima, an estimate of a third of the deviation at twice
-the size, so that few pairs of a crowd that are not links have to be confirmed.
+In a crowded region the one partner of a node may stand further off. So every node
+of a region that the first round does not compare whole (more than ``FAR + 1``
+nodes, or cut by the end of a range) goes to an exact join. Shingles are put in one
+order, rare ones first; two sets that are similar enough have a first common
+shingle, and from its place in both follows the most that they can share. The
+smaller set meets the larger on those of its shingles from which a set no smaller
+than itself can still be reached, only nodes of *different* components meet, and a
+shingle of many nodes is dealt out by ``SHARE`` of them. Every pair that passes is
+confirmed on the full sets; no window and no estimate stands before that.
 
 Null texts have no words. Rows that repeat a doc_id are judged by their own
 text. A null doc_id forms no group of its own. Extra columns are ignored.
@@ -41,18 +44,16 @@ from .components import components
 from .runtime import attach, ship, stored
 
 TREES, BASE, DEEPER = 32, 4, 8
-SMALL, FAR, NEAR, WIDE = 32, 6, 2, 256
+SMALL, FAR, NEAR = 32, 6, 2
 SLACK = 0.18
-#: The same for the second round: 3.4 standard deviations of its estimate at similarity 0.8.
-BITS, FINE_SLACK = 2048, 0.045
+#: Cells of the counts that order shingles (a shared cell costs time, not links), and nodes of a shingle that meet in one key.
+CELLS, SHARE = 1 << 20, 4096
 #: Ids of candidates are broadcast up to this number (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 2_000_000
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(1, 1 << 63, TREES * BASE, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(1, 1 << 63, TREES * BASE, dtype=np.uint64)
-_MUL_BITS = _rng.integers(1, 1 << 63, BITS, dtype=np.uint64) | np.uint64(1)
-_ADD_BITS = _rng.integers(1, 1 << 63, BITS, dtype=np.uint64)
 
 
 def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -87,18 +88,6 @@ def signatures(sets: list[np.ndarray], mul: np.ndarray = _MUL, add: np.ndarray =
     return out
 
 
-def _bits(sets: DataFrame) -> DataFrame:
-    """node, bits: the lowest bit of each of ``BITS`` minima."""
-
-    def run(batches):
-        for batch in batches:
-            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            packed = np.packbits((signatures(own, _MUL_BITS, _ADD_BITS) & 1).astype(np.uint8), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["node", "bits"])
-
-    return sets.mapInArrow(run, "node long, bits binary")
-
-
 def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def fn(cols):
         sets = shingles(K.utf8(cols[text_col]), k)
@@ -113,10 +102,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return attach(docs, [text_col], [id_col], fn, "n long, digest binary, sig binary").select(F.col(f"c.`{id_col}`").cast("long").alias("id"), "r.*")
 
 
-def _trees(nodes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each node and tree: the region, the deeper order, the node, and more columns of the node."""
-    kinds = nodes.select(*more).schema if more else []
-    schema = ", ".join(["key long", "deeper binary", "node long", *(f"{f.name} {f.dataType.simpleString()}" for f in kinds)])
+def _trees(nodes: DataFrame) -> DataFrame:
+    """A row for each node and tree: the region, the deeper order, the node."""
 
     def run(batches):
         for batch in batches:
@@ -131,16 +118,19 @@ def _trees(nodes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
                 # big-endian, so that bytes sort as the numbers do
                 order = (turned[:, BASE : BASE + DEEPER] >> 16).astype(">u2")
                 order = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((np.arange(len(ids) + 1) * 2 * DEEPER).astype(np.int32)), pa.py_buffer(order.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), order, pa.array(ids), *batch.columns[2:]], ["key", "deeper", "node", *more])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), order, pa.array(ids)], ["key", "deeper", "node"])
 
     order = ["key", "deeper", "node"]
-    return nodes.select("node", "sig", *more).mapInArrow(run, schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    return nodes.select("node", "sig").mapInArrow(run, "key long, deeper binary, node long").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _neighbours(batches):
-    """Pairs of neighbours in a sorted run of trees' rows."""
+    """Pairs of neighbours in a sorted run of trees' rows; a node of a region not compared whole also with itself."""
     keys, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         fresh = len(keys)
         keys = np.concatenate([keys, batch.column(0).to_numpy()])
         nodes = np.concatenate([nodes, batch.column(1).to_numpy()])
@@ -157,7 +147,17 @@ def _neighbours(batches):
             a, b = nodes[:-k][ok], nodes[k:][ok]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        keys, nodes = keys[-FAR:], nodes[-FAR:]
+        first = keys[0] if first is None else first  # this region and the last may go on in another run
+        part = keys == first
+        full = np.flatnonzero(keys[FAR + 1 :] == keys[: -FAR - 1])
+        for k in range(FAR + 2):
+            part[full + k] = True
+        if part.any():
+            own = pa.array(np.unique(nodes[part]))
+            yield pa.RecordBatch.from_arrays([own, own], ["a", "b"])
+        keys, nodes = keys[-FAR - 1 :], nodes[-FAR - 1 :]
+    own = pa.array(nodes[keys == keys[-1]] if len(keys) else nodes)
+    yield pa.RecordBatch.from_arrays([own, own], ["a", "b"])
 
 
 def _low(nodes: DataFrame) -> DataFrame:
@@ -184,34 +184,69 @@ def _sketch_filter(least: float):
     return run
 
 
-def _across(least: float):
-    """Close pairs of different components among the next places of a sorted run of trees' rows."""
-    most = int((1 - least) / 2 * BITS)  # of two sets' bits half of the minima that differ are equal
+def _counts(sets: DataFrame) -> np.ndarray:
+    """Nodes of each cell of shingles."""
 
     def run(batches):
-        keys, nodes, own, bits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            fresh = len(keys)
-            keys, nodes, own = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((keys, nodes, own)))
-            bits = np.concatenate([bits, np.ascontiguousarray(_matrix(batch.column(3))).view(np.uint64)])
-            found = []
-            for k in range(1, min(WIDE, len(keys) - 1) + 1):
-                same = keys[k:] == keys[:-k]
-                if not same.any():
-                    break
-                same &= own[k:] != own[:-k]
-                same[: max(fresh - k, 0)] = False  # both were in the last batch
-                i = np.flatnonzero(same)
-                for c in range(0, len(i), 1 << 16):
-                    j = i[c : c + (1 << 16)]
-                    j = j[np.bitwise_count(bits[j] ^ bits[j + k]).sum(1) <= most]
-                    found.append(np.stack([nodes[j], nodes[j + k]]))
-            if found:
-                pairs = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-            keys, nodes, own, bits = keys[-WIDE:], nodes[-WIDE:], own[-WIDE:], bits[-WIDE:]
+            for x in batch.column(0):
+                total += np.bincount(_cell(np.frombuffer(x.as_py(), np.uint64)), minlength=CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    for r in sets.select("set").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.cell] = r.n
+    return out
 
-    return run
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (K.mix(shingles) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _postings(sets: DataFrame, counts, percent: int, larger: bool) -> DataFrame:
+    """A row for each shingle of a node on which it may meet a partner: one no larger (``larger``), or one no smaller.
+
+    rest: shingles of the node from this one on, in the common order.
+    """
+
+    def run(batches):
+        n_of = counts.value
+        for batch in batches:
+            out = [[np.zeros(0, np.int64)] for _ in range(6)]
+            for node, own, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                s = np.frombuffer(x, np.uint64)
+                n = len(s)
+                many = n_of[_cell(s)]
+                order = np.lexsort((s, many))
+                s, many, rest = s[order], many[order], n - np.arange(n)
+                ok = (100 * rest >= percent * n) if larger else ((100 + percent) * rest >= 2 * percent * n)
+                ok &= many > 1  # else no other node has the shingle
+                s, many, rest = s[ok].view(np.int64), many[ok], rest[ok]
+                parts = -(-many // SHARE)
+                if larger:  # a copy for each part of the other side
+                    s, rest = np.repeat(s, parts), np.repeat(rest, parts)
+                    part = np.arange(len(s)) - np.repeat(np.cumsum(parts) - parts, parts)
+                else:
+                    part = (K.mix(np.array([node], np.int64).view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+                for k, v in enumerate((s, part, np.full(len(s), node), np.full(len(s), own), np.full(len(s), n), rest)):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["shingle", "part", "node", "own", "n", "rest"])
+
+    return sets.select("id", "own", "set").mapInArrow(run, "shingle long, part long, node long, own long, n long, rest long")
+
+
+def _across(sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of nodes of different components that may be similar enough."""
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+    x, y = (_postings(sets, counts, percent, larger).alias("xy"[larger]) for larger in (False, True))
+    col = F.col
+    total = (col("x.n") + col("y.n")) * percent
+    meet = (col("x.shingle") == col("y.shingle")) & (col("x.part") == col("y.part")) & (col("x.own") != col("y.own"))
+    meet &= (col("x.n") < col("y.n")) | (col("x.n") == col("y.n")) & (col("x.node") < col("y.node"))
+    meet &= (total <= col("x.rest") * (100 + percent)) & (total <= col("y.rest") * (100 + percent))
+    return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _confirm(percent: int):
@@ -239,18 +274,18 @@ class NearDuplicates:
         named = self.rows.where("n > 0 and id is not null")
         self.nodes = stored(named.groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes", "uncompressed")
         least = percent / 100 - SLACK
-        pairs = _trees(self.nodes).select("key", "node").mapInArrow(_neighbours, "a long, b long").distinct()
+        met = stored(_trees(self.nodes).select("key", "node").mapInArrow(_neighbours, "a long, b long").distinct(), "neighbours")
+        pairs, crowd = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("node"))
         for side in ("a", "b"):
             pairs = pairs.join(_low(self.nodes).select(F.col("node").alias(side), F.col("low").alias(f"low_{side}")), side)
         self.close = stored(pairs.select("a", "b", "low_a", "low_b").mapInArrow(_sketch_filter(least), "a long, b long"), "candidates")
-        crowd = self.close.select(F.col("a").alias("node")).union(self.close.select("b")).distinct()
-        self.sets = stored(self._sets(docs, crowd, id_col, text_col, k), "sets", "uncompressed")
+        wanted = self.close.select(F.col("a").alias("node")).union(self.close.select("b")).union(crowd).distinct()
+        self.sets = stored(self._sets(docs, wanted, id_col, text_col, k), "sets", "uncompressed")
         first = stored(self._confirmed(self.close, percent), "links")
         self.found = components(first)
-        few = self.nodes.join(_bits(self.sets), "node").join(self.found, "node", "left")
-        few = few.select("node", "sig", F.coalesce("component", "node").alias("own"), "bits")
-        wide = _trees(few, ("own", "bits")).select("key", "node", "own", "bits").mapInArrow(_across(percent / 100 - FINE_SLACK), "a long, b long").distinct()
-        second = stored(self._confirmed(wide.join(self.close, ["a", "b"], "left_anti"), percent), "links")
+        few = self.sets.join(crowd.withColumnRenamed("node", "id"), "id", "left_semi").join(self.found.withColumnRenamed("node", "id"), "id", "left")
+        few = stored(few.select("id", F.coalesce("component", "id").alias("own"), "set"), "crowd", "uncompressed")
+        second = stored(self._confirmed(_across(few, percent), percent), "links")
         self.links = first.union(second)
         if not second.isEmpty():
             self.found = self._merged(second)
@@ -266,7 +301,7 @@ class NearDuplicates:
         return nodes.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
 
     def _sets(self, docs, wanted: DataFrame, id_col, text_col, k) -> DataFrame:
-        """id, set: shingle hashes of the documents that have a close candidate."""
+        """id, set: shingle hashes of the documents that have a close candidate or stand in a crowd."""
         if wanted.count() <= MOST_BROADCAST:
             wanted = F.broadcast(wanted)
         q = lambda c: F.col("`" + c.replace("`", "``") + "`")

@@ -86,3 +86,19 @@ def test_components_of_a_long_chain_and_a_star(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(101)) and all(got[i] == 500 for i in range(500, 600)) and 700 not in got
+
+
+def test_lone_pairs_in_a_crowd_far_larger_than_any_window(spark):
+    # 137 of 156 shingles are everyone's, similarity 0.783; a pair shares two more, similarity 0.803
+    n, lone = 6_000, 1_000
+    base = " ".join("w%d" % i for i in range(140))
+    docs = []
+    for i in range(n):
+        own = ["d%d_%d" % (i, j) for j in range(19)]
+        if i % (n // 2) < lone:
+            own[:2] = ["p%d" % (i % (n // 2)), "q%d" % (i % (n // 2))]
+        docs.append((i, " ".join([base, *own])))
+    few = brute([docs[i] for i in (0, 1, n // 2, n // 2 + 1, n - 1)])
+    assert [w[2] for w in few] == [0, 1, 0, 1, n - 1]
+    got = {r.doc_id: r.component_id for r in N.NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), k=4).members().collect()}
+    assert got == {i: i - n // 2 if n // 2 <= i < n // 2 + lone else i for i in range(n)}
