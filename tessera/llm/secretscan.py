@@ -8,10 +8,17 @@ and costs the guesses an attacker needs for it; k segments cost their product
 times k!. A value whose cost is at least ``2 ** min_bits`` guesses is a secret
 and adds a span ``guess`` over the value; base spans always stay.
 
+Common words are a short fixed list and after it the ``MOST_WORDS`` words that
+most of the documents at hand hold, at least ``LEAST_DOCS`` of them; words are runs of up
+to ``LONGEST_WORD`` letters of one case (or a capital first), and what stands in a
+credential context or a base span is not counted, so that no secret becomes a word.
+An ordinary word that is rarer than these still costs what its letters cost.
+
 Null and empty texts have no spans. A value is costed whole whatever its
 length: the state is one cost for each place and segment count up to
 ``MOST_SEGMENTS``, and segments but brute force are at most ``LONGEST`` long,
-so time is linear in the value. Extra columns are ignored. No shuffle.
+so time is linear in the value. Extra columns are ignored. The counts of words
+are the only shuffle; the vocabulary is broadcast.
 """
 
 from __future__ import annotations
@@ -19,11 +26,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import attach, ship
+from .runtime import attach, ship, stored
 
 # The base patterns and the order of kinds.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -35,6 +44,11 @@ CONTEXT = re.compile(
     r"""(?ai)(?:password|passwd|passphrase|pwd|secret|token|api_?key|credential|auth_?key|private_?key)"""
     r"""["']?\x20*[:=]\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;]+))"""
 )
+#: Words of the documents that count as common, the documents that have to hold one, and its letters at most.
+MOST_WORDS, LEAST_DOCS, LONGEST_WORD = 100_000, 3, 40
+#: A counter of words is sent on when it holds so many.
+HELD = 200_000
+WORD = re.compile(rf"(?<!\w)[^\W\d_]{{2,{LONGEST_WORD}}}(?!\w)")
 #: Words by descending frequency; the rank is the guess cost.
 WORDS = (
     "password the of and to in is that for it you with on as are this be at or from his an they which "
@@ -45,7 +59,20 @@ WORDS = (
     "princess football baseball secret test user guest root hello love summer winter spring autumn default "
     "changeme example sample dummy placeholder none null true false token api key"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+
+
+class Ranks(dict):
+    """Rank of each word, in the order given."""
+
+    def __init__(self, words):
+        super().__init__((w, i + 1) for i, w in enumerate(words))
+        self.longest = max(map(len, self), default=0)
+
+    def __reduce__(self):
+        return Ranks, (list(self),)
+
+
+RANK = Ranks(WORDS)
 LEET = str.maketrans("4@831!0$57", "aabeiiosst")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qaz", "wsx", "edc", "rfv", "tgb", "yhn", "ujm")
 WALKS = ROWS + tuple(r[::-1] for r in ROWS)
@@ -64,16 +91,16 @@ def _space(text: str) -> int:
     return max(n, 1)
 
 
-def segments(value: str):
+def segments(value: str, ranks: Ranks = RANK):
     """(start, end, log2 guesses, kind) of every segment that is cheaper than brute force may be."""
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
     for i in range(n):
-        for j in range(i + 2, min(n, i + LONGEST) + 1):
-            if (w := low[i:j]) in RANK:
-                yield i, j, math.log2(RANK[w]) + (value[i:j] != w), "word"
-            elif (w := plain[i:j]) in RANK:
-                yield i, j, math.log2(RANK[w]) + 1 + (value[i:j].lower() != value[i:j]), "word"
+        for j in range(i + 2, min(n, i + ranks.longest) + 1):
+            if (w := low[i:j]) in ranks:
+                yield i, j, math.log2(ranks[w]) + (value[i:j] != w), "word"
+            elif (w := plain[i:j]) in ranks:
+                yield i, j, math.log2(ranks[w]) + 1 + (value[i:j].lower() != value[i:j]), "word"
         if m := DATE.match(value, i):
             yield i, m.end(), math.log2(365 * 120) + (2 if m[1] or m[2] else 0), "date"
         j = i + 1
@@ -102,14 +129,14 @@ def segments(value: str):
                     yield i, j, math.log2(len(WALKS) * 10 * (j - i)), "walk"
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, ranks: Ranks = RANK) -> float:
     """log2 of the guesses of the cheapest segmentation of the whole value."""
     n = len(value)
     if not n:
         return 0.0
     per_char = math.log2(_space(value))
     starts: dict[int, list[tuple[int, float]]] = {}
-    for i, j, bits, _ in segments(value):
+    for i, j, bits, _ in segments(value, ranks):
         starts.setdefault(j, []).append((i, bits))
     inf = math.inf
     # best[k][j]: bits of the first j characters in k segments; a brute-force run may be of any
@@ -133,15 +160,49 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def guess_spans(text: str, min_bits: float) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, min_bits: float, ranks: Ranks = RANK) -> list[tuple[int, int, str]]:
     out = []
     for m in CONTEXT.finditer(text):
         g = next(k for k in (1, 2, 3) if m[k] is not None)
-        if len(m[g]) >= 8 and guess_bits(m[g]) >= min_bits:
+        if len(m[g]) >= 8 and guess_bits(m[g], ranks) >= min_bits:
             out.append((m.start(g), m.end(g), "guess"))
     return out
 
 
+def _words(text: str) -> set[str]:
+    """The words of a text outside its base spans and credential contexts."""
+    text = HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", CONTEXT.sub(" ", text))))
+    return {w.lower() for w in set(WORD.findall(text)) if w.islower() or w.isupper() or w[1:].islower()}
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Ranks:
+    """The fixed words, then those that most documents hold; of words held equally often all or none."""
+
+    def run(batches):
+        held = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                held.update(_words(text.as_py()))
+                if len(held) > HELD:
+                    yield pa.RecordBatch.from_pydict({"word": list(held.keys()), "n": list(held.values())})
+                    held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    ship(docs.sparkSession)
+    texts = docs.select(F.col("`" + text_col.replace("`", "``") + "`").alias("t")).where("t is not null")
+    counts = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    counts = stored(counts, "words")
+    total, least = 0, None
+    for r in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        total += r["count"]
+        if total > MOST_WORDS:
+            break
+        least = r.n
+    found = [] if least is None else counts.where(F.col("n") >= least).collect()
+    found.sort(key=lambda r: (-r.n, r.word))
+    return Ranks([*WORDS, *(r.word for r in found if r.word not in RANK)])
+
+
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:int,end:int>>, redacted string"
 
 
@@ -152,12 +213,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     it (null stays null); else null. Offsets are code points, ends exclusive.
     """
     ship(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text_col))
 
     def fn(cols):
         out = {x: [] for x in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted")}
         for text in cols[text_col].to_pylist():
             base = base_spans(text or "")
-            spans = sorted(base + guess_spans(text or "", min_bits), key=lambda s: (s[0], KINDS.index(s[2])))
+            spans = sorted(base + guess_spans(text or "", min_bits, ranks.value), key=lambda s: (s[0], KINDS.index(s[2])))
             for kind in KINDS[:3]:
                 out[f"n_{kind}"].append(sum(s[2] == kind for s in base))
             out["base_sha256"].append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest())

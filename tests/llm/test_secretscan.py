@@ -75,3 +75,20 @@ def test_odd_rows(spark, odd_docs, write_sf):
     sf = write_sf(documents=odd_docs.select("doc_id", "text"))
     row = next(x for x in S.op10(spark, sf).collect() if x.doc_id == 7)
     assert row.spans == "assign:21:39"  # a sequence of letters costs few guesses
+
+
+def test_ordinary_words_of_the_documents_are_no_secrets(spark):
+    prose = "Mix the ingredients and read the Zusammenfassung, pwd: hqzkwmxvjtrb."
+    weak = ["Secret: ingredients", "pwd: Zusammenfassung", "credential=ingredients."]
+    strong = ["pwd: k9#Vq2!xZp7$Lm", "pwd: hqzkwmxvjtrb"]  # one that stands in contexts only, however often
+    docs = spark.createDataFrame(list(enumerate([prose] * 4 + weak + strong)), "doc_id long, text string")
+    got = {r.doc_id: r.redacted for r in S.scan(docs, redact="#").select("c.doc_id", "r.redacted").collect()}
+    assert [got[i] for i in range(4, 7)] == weak
+    assert [got[7], got[8]] == ["pwd: #"] * 2 and all(got[i].endswith("pwd: #") for i in range(4))
+
+
+def test_vocabulary_is_bounded_and_ranked(spark, monkeypatch):
+    docs = spark.createDataFrame([("apple berry",)] * 5 + [("apple",), ("cherry",), (None,)], "text string")
+    assert list(S.vocabulary(docs))[len(S.WORDS) :] == ["apple", "berry"]
+    monkeypatch.setattr(S, "MOST_WORDS", 1)
+    assert list(S.vocabulary(docs))[len(S.WORDS) :] == ["apple"]
