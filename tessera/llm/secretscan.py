@@ -14,10 +14,11 @@ to ``LONGEST_WORD`` letters of one case (or a capital first), and what stands in
 credential context or a base span is not counted, so that no secret becomes a word.
 An ordinary word that is rarer than these still costs what its letters cost.
 
-Null and empty texts have no spans. A value is costed whole whatever its
-length: the state is one cost for each place and segment count up to
-``MOST_SEGMENTS``, and segments but brute force are at most ``LONGEST`` long,
-so time is linear in the value. Extra columns are ignored. The counts of words
+Null and empty texts have no spans. A value is costed whole
+whatever its length: repeats, sequences and walks are runs as long as they go, and
+the number of segments is free. Only what cannot bring a value below ``min_bits`` is
+left out: k segments when k! alone is as many guesses, and repeats of a unit whose
+letters alone cost as much. So time is linear in the value. Extra columns are ignored. The counts of words
 are the only shuffle; the vocabulary is broadcast.
 """
 
@@ -28,6 +29,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +78,8 @@ RANK = Ranks(WORDS)
 LEET = str.maketrans("4@831!0$57", "aabeiiosst")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qaz", "wsx", "edc", "rfv", "tgb", "yhn", "ujm")
 WALKS = ROWS + tuple(r[::-1] for r in ROWS)
-LONGEST, MOST_SEGMENTS = 24, 12
+#: Segments of a value: as many as are cheapest.
+MOST_SEGMENTS = math.inf
 DATE = re.compile(r"(?:\d{4}([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
@@ -91,10 +94,29 @@ def _space(text: str) -> int:
     return max(n, 1)
 
 
-def segments(value: str, ranks: Ranks = RANK):
-    """(start, end, log2 guesses, kind) of every segment that is cheaper than brute force may be."""
+def _repeats(value: str, enough: float):
+    """(start, end, unit) of the longest repeat of each unit that is cheaper than ``enough`` bits, from each place."""
+    n = len(value)
+    chars = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for unit in range(1, n // 2 + 1):
+        if unit * math.log2(10) >= enough:  # no alphabet is smaller
+            break
+        differ = np.flatnonzero(np.append(chars[unit:] != chars[:-unit], True))
+        at = np.arange(n - unit)
+        times = (differ[np.searchsorted(differ, at)] - at) // unit + 1
+        for i in np.flatnonzero(times >= 2).tolist():
+            yield i, i + int(times[i]) * unit, unit
+
+
+def segments(value: str, ranks: Ranks = RANK, enough: float = math.inf):
+    """(start, end, log2 guesses, kind) of every segment that is cheaper than brute force may be, and than ``enough``."""
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
+    for i, j, unit in _repeats(value, enough):
+        if unit > 1:
+            yield i, j, unit * math.log2(_space(value[i : i + unit])) + math.log2((j - i) // unit), "repeat"
+        elif j - i >= 3:
+            yield i, j, math.log2(_space(value[i]) * (j - i)), "repeat"
     for i in range(n):
         for j in range(i + 2, min(n, i + ranks.longest) + 1):
             if (w := low[i:j]) in ranks:
@@ -103,20 +125,9 @@ def segments(value: str, ranks: Ranks = RANK):
                 yield i, j, math.log2(ranks[w]) + 1 + (value[i:j].lower() != value[i:j]), "word"
         if m := DATE.match(value, i):
             yield i, m.end(), math.log2(365 * 120) + (2 if m[1] or m[2] else 0), "date"
-        j = i + 1
-        while j < n and j - i < LONGEST and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            yield i, j, math.log2(_space(value[i]) * (j - i)), "repeat"
-        for unit in range(2, LONGEST // 2 + 1):
-            times = 1
-            while (times + 1) * unit <= LONGEST and value.startswith(value[i : i + unit], i + times * unit):
-                times += 1
-            if times >= 2 and i + unit <= n:
-                yield i, i + times * unit, unit * math.log2(_space(value[i : i + unit])) + math.log2(times), "repeat"
         for step in (1, -1):
             j = i + 1
-            while j < n and j - i < LONGEST and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
+            while j < n and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
                 j += 1
             if j - i >= 3:
                 yield i, j, math.log2(4 * (j - i) * (10 if value[i].isdigit() else 26)), "sequence"
@@ -129,28 +140,28 @@ def segments(value: str, ranks: Ranks = RANK):
                     yield i, j, math.log2(len(WALKS) * 10 * (j - i)), "walk"
 
 
-def guess_bits(value: str, ranks: Ranks = RANK) -> float:
-    """log2 of the guesses of the cheapest segmentation of the whole value."""
+def guess_bits(value: str, ranks: Ranks = RANK, enough: float = math.inf) -> float:
+    """log2 of the guesses of the cheapest segmentation of the whole value; exact below ``enough``, else no less than it."""
     n = len(value)
     if not n:
         return 0.0
-    per_char = math.log2(_space(value))
-    starts: dict[int, list[tuple[int, float]]] = {}
-    for i, j, bits, _ in segments(value, ranks):
-        starts.setdefault(j, []).append((i, bits))
-    inf = math.inf
-    # best[k][j]: bits of the first j characters in k segments; a brute-force run may be of any
-    # length, so only the lowest start (bits minus its length's bits) has to be kept for each k
-    best = [[inf] * (n + 1) for _ in range(MOST_SEGMENTS + 1)]
-    best[0][0] = 0.0
-    for k in range(1, MOST_SEGMENTS + 1):
-        prev, row, run = best[k - 1], best[k], inf
-        for j in range(1, n + 1):
-            run = min(run, prev[j - 1] - (j - 1) * per_char)
-            row[j] = run + j * per_char
-            for i, bits in starts.get(j, ()):
-                row[j] = min(row[j], prev[i] + bits)
-    return min(best[k][n] + math.log2(math.factorial(k)) for k in range(1, MOST_SEGMENTS + 1) if best[k][n] < inf)
+    brute = np.arange(n + 1) * math.log2(_space(value))
+    found = [x[:3] for x in segments(value, ranks, enough)]
+    start, end = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+    bits = np.array([x[2] for x in found], float)
+    # row[j]: bits of the first j characters in k segments; a brute-force run may be of any
+    # length, so only the lowest start (bits minus its length's bits) has to be kept
+    row, best, orders = np.full(n + 1, math.inf), math.inf, 0.0
+    row[0] = 0.0
+    for k in range(1, n + 1):
+        orders += math.log2(k)
+        if orders >= min(best, enough):  # more segments only cost more
+            break
+        last, row = row, np.full(n + 1, math.inf)
+        row[1:] = np.minimum.accumulate((last - brute)[:-1]) + brute[1:]
+        np.minimum.at(row, end, last[start] + bits)
+        best = min(best, float(row[n]) + orders)
+    return best
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -164,7 +175,7 @@ def guess_spans(text: str, min_bits: float, ranks: Ranks = RANK) -> list[tuple[i
     out = []
     for m in CONTEXT.finditer(text):
         g = next(k for k in (1, 2, 3) if m[k] is not None)
-        if len(m[g]) >= 8 and guess_bits(m[g], ranks) >= min_bits:
+        if guess_bits(m[g], ranks, min_bits) >= min_bits:
             out.append((m.start(g), m.end(g), "guess"))
     return out
 

@@ -92,3 +92,18 @@ def test_vocabulary_is_bounded_and_ranked(spark, monkeypatch):
     assert list(S.vocabulary(docs))[len(S.WORDS) :] == ["apple", "berry"]
     monkeypatch.setattr(S, "MOST_WORDS", 1)
     assert list(S.vocabulary(docs))[len(S.WORDS) :] == ["apple"]
+
+
+def test_short_and_long_values_are_costed_whole():
+    assert S.guess_spans("pwd=xT7vQz0", 40.0) == [(4, 11, "guess")]
+    for weak in ("*" * 100, "abc" * 60, "9876543210" * 9, "*" * 60 + "password" + "=" * 60):
+        assert S.guess_bits(weak) < 40 and S.guess_bits(weak, enough=40.0) == S.guess_bits(weak), weak
+        assert S.guess_spans("password: " + weak, 40.0) == [], weak
+
+
+def test_more_than_a_dozen_segments_are_tried():
+    thirteen = "theofandtoinisthatforityouwithonas"  # thirteen frequent words
+    ranks = [S.RANK[w] for w in "the of and to in is that for it you with on as".split()]
+    import math
+
+    assert S.guess_bits(thirteen) <= sum(map(math.log2, ranks)) + math.log2(math.factorial(13)) + 1e-9
