@@ -57,7 +57,7 @@ class Index:
             if len(words.start):
                 same[tuple(words.word(i) for i in range(len(words.start)))].append(name)
         self.words = list(same)
-        self.names = [sorted(same[w]) for w in self.words]
+        self.names = [same[w] for w in self.words]
         texts = [b" ".join(w) for w in self.words]
         batch = K.Words(texts, K.ALNUM)
         h = batch.hashes()
@@ -131,7 +131,7 @@ class Index:
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """The benchmark's items in blocks of bounded size; each is read by a job of its own."""
     q = bench.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    q = q.where("i is not null and t is not null")
+    q = q.where("t is not null")
     total = q.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = -(-total // block_bytes)
     for b in range(n):
@@ -155,6 +155,7 @@ def decontaminate(
 
     spans are maximal runs of hit words (word numbers, both inclusive);
     contaminated: hit words are at least a twentieth of all words, and not none.
+    Items without an id count as one in n_items and are not in items.
     """
     ship(docs.sparkSession)
     indexes = [Index(b, k, span) for b in _blocks(bench, item_col, item_text_col, block_bytes)]
@@ -171,6 +172,8 @@ def decontaminate(
                     mask, items, spans = hits.get(d), {x for i in found.get(d, ()) for x in index.names[i]}, []
                     if old:
                         items |= set(old[a + d]["items"])
+                        if old[a + d]["n_items"] > len(old[a + d]["items"]):
+                            items.add(None)
                         if old[a + d]["spans"]:
                             mask = np.zeros(int(n[d]), bool) if mask is None else mask
                             for s in old[a + d]["spans"]:
@@ -181,7 +184,7 @@ def decontaminate(
                         e = np.flatnonzero(m[1:] != m[:-1])
                         spans = [{"first": int(x), "last": int(y) - 1} for x, y in zip(e[0::2], e[1::2], strict=True)]
                         hit = int(mask.sum())
-                    for key, v in (("n_words", int(n[d])), ("n_hit", hit), ("n_items", len(items)), ("items", sorted(items)), ("spans", spans), ("contaminated", hit > 0 and 20 * hit >= int(n[d]))):
+                    for key, v in (("n_words", int(n[d])), ("n_hit", hit), ("n_items", len(items)), ("items", sorted(items - {None})), ("spans", spans), ("contaminated", hit > 0 and 20 * hit >= int(n[d]))):
                         out[key].append(v)
             return out
 

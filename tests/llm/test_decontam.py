@@ -65,3 +65,12 @@ def test_odd_rows_and_empty_tables(spark, odd_docs):
     got = {x.doc_id: x.n_hit for x in decontam.decontaminate(odd_docs, some).select("c.doc_id", "r.n_hit").collect()}
     assert got[3] == got[4] == 18 and got[1] == got[2] == 0
     assert decontam.decontaminate(odd_docs.limit(0), some).count() == 0
+
+
+def test_items_without_an_id_count_but_are_not_listed(spark):
+    items = [(None, "one two three"), (None, "four five six"), (7, "seven eight nine")]
+    docs = spark.createDataFrame([(1, "say one two three"), (2, "four five six, one two three"), (3, "seven eight nine one two three")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (8 << 20, 70):
+        got = decontam.decontaminate(docs, bench, block_bytes=size).select("c.doc_id", "r.n_hit", "r.n_items", "r.items", "r.contaminated")
+        assert rows(got) == [(1, 3, 1, [], True), (2, 6, 1, [], True), (3, 6, 2, ["7"], True)], size
