@@ -46,7 +46,7 @@ def unsqueeze(data: bytes) -> bytes:
 
 def planes(x: np.ndarray) -> bytes:
     """A number array by byte planes, compressed: small numbers cost little more than their low bytes."""
-    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T), 1)
+    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), 1)
 
 
 def unplanes(data: bytes, dtype) -> np.ndarray:
@@ -62,7 +62,7 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def _formed(batches, most: int):
+def formed(batches, most: int):
     """(block number, ids, texts) of a partition."""
     from pyspark import TaskContext
 
@@ -81,7 +81,7 @@ def _formed(batches, most: int):
         yield number, ids, texts
 
 
-def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     return docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text"))
 
@@ -90,26 +90,26 @@ def pack(docs: DataFrame, id_col: str, text_col: str, most: int = MOST, level: i
     """Blocks of at most ``most`` text bytes, or of one longer text, compressed."""
 
     def run(batches):
-        for number, ids, texts in _formed(batches, most):
+        for number, ids, texts in formed(batches, most):
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
             row = dict(block=number, ids=ids, lens=planes(lens), data=squeeze(b"".join(texts), level))
             yield pa.RecordBatch.from_pylist([row], _BLOCK_TYPE)
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, BLOCK)
+    return columns(docs, id_col, text_col).mapInArrow(run, BLOCK)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, emit, most: int = MOST) -> DataFrame:
     """``emit(ids, texts)`` yields (part, n, keys, vals) for each of the blocks that ``pack`` forms."""
 
     def run(batches):
-        for number, ids, texts in _formed(batches, most):
+        for number, ids, texts in formed(batches, most):
             out = [dict(part=p, block=number, n=n, keys=k, vals=v) for p, n, k, v in emit(ids, texts)]
             for a in range(0, len(out), 256):
                 yield pa.RecordBatch.from_pylist(out[a : a + 256], _PIECE_TYPE)
             out = None
             trim()
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, PIECE)
+    return columns(docs, id_col, text_col).mapInArrow(run, PIECE)
 
 
 def unpack(row: dict) -> tuple[list, list[bytes]]:

@@ -1,73 +1,38 @@
-"""What the operators need from the session: code on the executors and shared scratch space."""
+"""What the operators need from the session: batches of bounded bytes, and shared scratch space."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that an Arrow function works on at a time.
-ROWS = 512
-_shipped: set[str] = set()
-_scratch_roots: dict[str, str] = {}
+from .. import runtime as core
+
+#: Rows that an Arrow function works on at a time, and bytes of a batch on its way to it.
+ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, and fix how files are split.
+    """Give the executors this package, and bound batches and splits where the session has Spark's own numbers.
 
-    Functions of the package are pickled by reference, so a Python worker has
-    to be able to import it, also on a cluster whose nodes lack the checkout.
+    These three settings stay in the session; what a user has set is left alone.
     """
-    sc = spark.sparkContext
+    core.ship(spark)
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         # files are else split by the number of cores at hand, which changes when an executor is
         # lost; operators that read their input twice need the same partitions both times
-        spark.conf.set("spark.sql.files.minPartitionNum", sc.defaultParallelism)
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+    # Spark's own numbers are for narrow rows; ten thousand texts, or their token ids, would be
+    # held by the JVM and by every Python worker of a stage at once
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
-        # Spark's own number is for narrow rows; ten thousand texts, or their token ids, are
-        # held by the JVM and by every Python worker of a stage at once
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="tessera-ship-")
-    archive = os.path.join(folder, "tessera_code.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for here, _, names in os.walk(top):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(here, n)
-                    z.write(full, os.path.join("tessera", os.path.relpath(full, top)))
-    sc.addPyFile(archive)  # served from here as long as the application lives
-    atexit.register(shutil.rmtree, folder, True)
-    _shipped.add(sc.applicationId)
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (tests on one machine) a folder of this
-    machine is made and set as the checkpoint folder.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _scratch_roots:
-        folder = tempfile.mkdtemp(prefix="tessera-scratch-")
-        atexit.register(shutil.rmtree, folder, True)
-        spark.sparkContext.setCheckpointDir(f"file://{folder}")
-        _scratch_roots[app] = f"file://{folder}"
-    return _scratch_roots[app]
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    return f"{core.shared_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
