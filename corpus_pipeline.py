@@ -59,7 +59,7 @@ def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, path, P.PATTERN), path)
+    out = bpe.encode(docs, path, P.PATTERN, decoded=True)
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
