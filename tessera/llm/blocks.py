@@ -124,6 +124,11 @@ def ranges(docs: DataFrame, times: int = 4) -> int:
     return max(4, (n * times - 1).bit_length())
 
 
+def tasks(docs: DataFrame) -> int:
+    """Tasks of an exchange of blocks or pieces: in proportion to the input, so that none grows with it."""
+    return max(2 * docs.rdd.getNumPartitions(), 16)
+
+
 def parts_of(keys: np.ndarray, bits: int):
     """(part, slice) of sorted uint64 keys."""
     part = (keys >> np.uint64(64 - bits)).astype(np.int64)

@@ -297,8 +297,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         B.trim()
         return pa.concat_tables(out)
 
-    answers = columns.mapInArrow(distinct, WORDS).repartition("part").mapInArrow(encoded, ENCODED)
-    blocks = columns.mapInArrow(positions, POSITIONS)
+    tasks = B.tasks(docs)
+    answers = columns.mapInArrow(distinct, WORDS).repartition(tasks, "part").mapInArrow(encoded, ENCODED).repartition(tasks, "block")
+    blocks = columns.mapInArrow(positions, POSITIONS).repartition(tasks, "block")
     schema = "doc_id long, token_ids array<int>" + (", decoded binary" if decoded else "")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined, schema)
 
