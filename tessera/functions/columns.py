@@ -120,6 +120,44 @@ def default_dims(rank) -> Column:
     )
 
 
+def itk_dims(rank, components) -> Column:
+    """Axes of a toolkit image of that many spatial axes: t, z, y, x from the last, and c behind them for vectors."""
+    space = F.slice(F.array(*map(F.lit, ("t", "z", "y", "x"))), F.lit(5) - _c(rank), _c(rank))
+    return F.when(_c(components) > 1, F.concat(space, F.array(F.lit("c")))).otherwise(space)
+
+
+def by_axis(dims, values) -> Column:
+    """Map of the toolkit's values (x first) by axis (x last)."""
+    return F.map_from_arrays(F.slice(_c(dims), 1, F.size(_c(values))), F.reverse(_c(values)))
+
+
+def itk_order(dims) -> Column:
+    """Axes sorted by name, t last."""
+    return F.concat(F.filter(F.array_sort(_c(dims)), lambda d: d != "t"), F.filter(_c(dims), lambda d: d == "t"))
+
+
+def pairs(words) -> Column:
+    """['x', '0.5', 'y', '1'] as a map of numbers."""
+    n = F.floor(F.size(_c(words)) / 2).cast("int")
+    at = F.sequence(F.lit(0), n - 1)
+    return F.map_from_arrays(F.transform(at, lambda i: F.lower(F.get(_c(words), 2 * i))), F.transform(at, lambda i: F.get(_c(words), 2 * i + 1).cast("double")))
+
+
+def byte_size(text) -> Column:
+    """'4GB', '512MiB' or '20' in bytes; null for anything else."""
+    number = F.regexp_extract(_c(text), r"^\s*([0-9.]+)\s*[kKMGTP]?i?[bB]?\s*$", 1)
+    unit = F.lower(F.regexp_extract(_c(text), r"^\s*[0-9.]+\s*([kKMGTP]?)", 1))
+    base = F.when(F.regexp_extract(_c(text), r"[kKMGTP](i?)", 1) == "i", F.lit(1024)).otherwise(F.lit(1000))
+    power = F.coalesce(F.translate(unit, "kmgtp", "12345").try_cast("int"), F.lit(0))
+    return F.when(number != "", (number.cast("double") * F.pow(base, power)).cast("long"))
+
+
+def truncation(sigma, size) -> Column:
+    """Largest cut-off of 4, 3.5, ... whose radius fits the size."""
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i.cast("double") / 2)
+    return F.array_max(F.filter(cuts, lambda c: (F.floor(c * _c(sigma) + 0.5) <= _c(size)) | (c == 0)))
+
+
 def suffixes(path) -> Column:
     """All suffixes of a path's last part, lower-cased."""
     return F.lower(F.regexp_extract(_c(path), r"[^/.]((\.[^./]+)+)$", 1))
@@ -249,6 +287,33 @@ def compose(kind: Column, params: Column, point: Column) -> Column:
     )
 
 
+def inverse(kind: Column, params: Column) -> tuple[Column, Column]:
+    """(kind, params) of the transform that undoes one of identity, translation, scale, mapAxis or rotation; others give null."""
+    n = F.size(params)
+    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.array_position(params, i.cast("double")) - 1).cast("double"))
+    side = F.sqrt(n.cast("double")).cast("int")
+    transposed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(params, i % side * side + F.floor(i / side).cast("int")))
+    back = (
+        F.when(kind == "translation", F.transform(params, lambda v: -v))
+        .when(kind == "scale", F.transform(params, lambda v: 1 / v))
+        .when(kind == "mapAxis", turned)
+        .when(kind == "rotation", transposed)
+        .when(kind == "identity", params)
+    )
+    return F.when(back.isNotNull(), kind), back
+
+
+def by_dimension(parts: Sequence[tuple[Sequence[int], Column, Column]], point: Column) -> Column:
+    """Transforms (places of the axes, kind, params), each on its own axes of a point; axes that none names stay."""
+    out = {}
+    for axes, kind, params in parts:
+        moved = compose(kind, params, F.array(*[F.get(point, F.lit(a)) for a in axes]))
+        if set(axes) & set(out):
+            raise ValueError(f"an axis has two transforms: {sorted(set(axes) & set(out))}")
+        out |= {a: F.get(moved, F.lit(i)) for i, a in enumerate(axes)}
+    return F.transform(point, lambda v, i: F.coalesce(*[F.when(i == a, m) for a, m in out.items()], v)) if out else point
+
+
 def apply_sequence(transforms: Column, point: Column) -> Column:
     """Fold a list of struct(kind, params) over a point."""
     return F.aggregate(transforms, point, lambda p, t: compose(t["kind"], t["params"], p))

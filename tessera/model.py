@@ -12,22 +12,23 @@ AXIS_TYPES = {"t": "time", "c": "channel", "z": "space", "y": "space", "x": "spa
 
 # Units of the format.
 SPACE_UNITS = (
-    "angstrom attometer centimeter decimeter exameter femtometer foot gigameter hectometer inch kilometer megameter "
-    "meter micrometer mile millimeter nanometer parsec petameter picometer terameter yard yoctometer yottameter "
-    "zeptometer zettameter"
-).split()
+    "angstrom", "attometer", "centimeter", "decimeter", "exameter", "femtometer", "foot", "gigameter", "hectometer",
+    "inch", "kilometer", "megameter", "meter", "micrometer", "mile", "millimeter", "nanometer", "parsec", "petameter",
+    "picometer", "terameter", "yard", "yoctometer", "yottameter", "zeptometer", "zettameter",
+)
 TIME_UNITS = (
-    "attosecond centisecond day decisecond exasecond femtosecond gigasecond hectosecond hour kilosecond megasecond "
-    "microsecond millisecond minute nanosecond petasecond picosecond second terasecond yoctosecond yottasecond "
-    "zeptosecond zettasecond"
-).split()
+    "attosecond", "centisecond", "day", "decisecond", "exasecond", "femtosecond", "gigasecond", "hectosecond", "hour",
+    "kilosecond", "megasecond", "microsecond", "millisecond", "minute", "nanosecond", "petasecond", "picosecond",
+    "second", "terasecond", "yoctosecond", "yottasecond", "zeptosecond", "zettasecond",
+)
 
 # Anatomical orientations, and the presets of two conventions.
 ORIENTATIONS = (
-    "left-to-right right-to-left anterior-to-posterior posterior-to-anterior inferior-to-superior superior-to-inferior "
-    "dorsal-to-ventral ventral-to-dorsal dorsal-to-palmar palmar-to-dorsal dorsal-to-plantar plantar-to-dorsal "
-    "rostral-to-caudal caudal-to-rostral cranial-to-caudal caudal-to-cranial proximal-to-distal distal-to-proximal"
-).split()
+    "left-to-right", "right-to-left", "anterior-to-posterior", "posterior-to-anterior", "inferior-to-superior",
+    "superior-to-inferior", "dorsal-to-ventral", "ventral-to-dorsal", "dorsal-to-palmar", "palmar-to-dorsal",
+    "dorsal-to-plantar", "plantar-to-dorsal", "rostral-to-caudal", "caudal-to-rostral", "cranial-to-caudal",
+    "caudal-to-cranial", "proximal-to-distal", "distal-to-proximal",
+)
 LPS = {"x": "right-to-left", "y": "anterior-to-posterior", "z": "inferior-to-superior"}
 RAS = {"x": "left-to-right", "y": "posterior-to-anterior", "z": "inferior-to-superior"}
 
@@ -61,6 +62,7 @@ class Method(Enum):
     """Downsampling methods; several public names stand for one computation."""
 
     GAUSSIAN = "gaussian"
+    DISCRETE_GAUSSIAN = "discrete_gaussian"
     BIN_SHRINK = "bin_shrink"
     LABEL = "label_image"
     MODE = "mode"
@@ -69,7 +71,7 @@ class Method(Enum):
     @classmethod
     def of(cls, name: str | Method | None) -> Method:
         if name is None:
-            return cls.GAUSSIAN
+            return cls.DISCRETE_GAUSSIAN
         if isinstance(name, cls):
             return name
         key = METHOD_ALIASES.get(name.upper())
@@ -82,16 +84,17 @@ class Method(Enum):
 
 # Public method names and what each does.
 METHOD_ALIASES = {
-    "ITKWASM_GAUSSIAN": "GAUSSIAN",
+    "ITKWASM_GAUSSIAN": "DISCRETE_GAUSSIAN",
     "ITKWASM_BIN_SHRINK": "BIN_SHRINK",
     "ITKWASM_LABEL_IMAGE": "LABEL",
-    "ITK_GAUSSIAN": "GAUSSIAN",
+    "ITK_GAUSSIAN": "DISCRETE_GAUSSIAN",
     "ITK_BIN_SHRINK": "BIN_SHRINK",
     "DASK_IMAGE_GAUSSIAN": "GAUSSIAN",
     "DASK_IMAGE_MODE": "MODE",
     "DASK_IMAGE_NEAREST": "NEAREST",
 }
 METHOD_NOTES = {
+    Method.DISCRETE_GAUSSIAN: "separable discrete Gaussian, sampled at the first voxel of each bin; for intensities",
     Method.GAUSSIAN: "separable Gaussian, sampled at the first voxel of each bin; for intensities",
     Method.BIN_SHRINK: "mean of each bin; for intensities",
     Method.LABEL: "label of largest linearly weighted vote around the bin's centre; for labels",
@@ -148,6 +151,8 @@ class ImageMeta:
     name: str = "image"
     units: dict[str, str] = field(default_factory=dict)
     orientations: dict[str, str] = field(default_factory=dict)
+    #: what a sample is that no chunk holds
+    fill: float = 0
 
     def __post_init__(self):
         unknown = set(self.dims) - set(DIMS)

@@ -5,23 +5,26 @@
 Per-chunk work runs in Arrow batches with numpy. Where bins do not cross
 chunks, downsampling is a projection without a shuffle. A neighbourhood sends
 each chunk only the border strips that its neighbours need (a halo), not whole
-chunks.
+chunks. A chunk that is not in the table stands for the image's fill value, here
+and in every operator; ``from_voxels`` and stores give all chunks unless told otherwise.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DTYPES, ImageMeta, Method
 from ..plans import levels
+from ..runtime import ship
 from ..sources.tables import Image
 
 SCHEMA = "image_id string, level int, idx array<int>, origin array<long>, shape array<int>, dtype string, data binary"
@@ -29,10 +32,23 @@ ARROW = pa.schema([("image_id", pa.string()), ("level", pa.int32()), ("idx", pa.
 
 
 class Chunked:
-    """Chunks and the metadata of their image."""
+    """Chunks and the metadata of their image.
+
+    Chunks of a store also know its path, and ``narrow``, which reads only the chunks that meet a box.
+    """
+
+    def __init__(self, chunks: DataFrame, meta: ImageMeta, source: str | None = None, narrow: Callable[[Mapping], DataFrame] | None = None):
+        self.chunks, self.meta, self.source, self.narrow = chunks, meta, source, narrow
+
+
+def _mapped(df: DataFrame, fn, schema: str = SCHEMA) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
-    def __init__(self, chunks: DataFrame, meta: ImageMeta):
-        self.chunks, self.meta = chunks, meta
+
+def _grouped(df: DataFrame, fn) -> DataFrame:
+    ship(df.sparkSession)
+    return df.groupBy("image_id", "level", "idx").applyInArrow(fn, SCHEMA)
 
 
 def native(data: bytes, dtype: str, shape: Sequence[int]) -> np.ndarray:
@@ -49,8 +65,26 @@ def _table(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, ARROW)
 
 
-def from_voxels(image: Image, chunk: Mapping[str, int], dtype: str | None = None, fill=0, image_id: str = "image", level: int = 0) -> Chunked:
-    """Dense chunks of a voxel table; chunks without a sample are not made (the store's fill value stands for them)."""
+def _all_indices(spark, grid: Sequence[int]) -> DataFrame:
+    """One column ``idx``: every place of a grid of chunks."""
+    place, left = [], math.prod(grid)
+    for n in grid:
+        left //= max(n, 1)
+        place.append((F.floor(F.col("id") / max(left, 1)) % max(n, 1)).cast("int"))
+    return spark.range(math.prod(grid)).select(F.array(*place).alias("idx"))
+
+
+def _filled(meta: ImageMeta, idx: Sequence[int], image_id: str, level: int) -> dict:
+    """A chunk of fill values."""
+    origin = [i * meta.chunk[d] for i, d in zip(idx, meta.dims, strict=True)]
+    shape = [min(meta.chunk[d], meta.shape[d] - o) for d, o in zip(meta.dims, origin, strict=True)]
+    return _row(image_id, level, idx, origin, np.full(shape, meta.fill, np.dtype(meta.dtype)), meta.dtype)
+
+
+def from_voxels(image: Image, chunk: Mapping[str, int], dtype: str | None = None, fill=None, image_id: str = "image", level: int = 0, dense: bool = True) -> Chunked:
+    """Chunks of a voxel table; what no sample says is the fill value. Without ``dense``, chunks without a sample are left out."""
+    fill = image.meta.fill if fill is None else fill
+    ship(image.voxels.sparkSession)
     dims, dtype = image.meta.dims, dtype or image.meta.dtype
     chunk = {d: min(chunk[d], image.meta.shape[d]) or 1 for d in dims}
     shape = image.meta.shape
@@ -58,21 +92,63 @@ def from_voxels(image: Image, chunk: Mapping[str, int], dtype: str | None = None
     inner, size = F.lit(0).cast("long"), [chunk[d] for d in dims]
     for d in dims:
         inner = inner * chunk[d] + F.col(d) % chunk[d]
-    rows = image.voxels.select(idx.alias("idx"), inner.alias("at"), "value").groupBy("idx")
+    rows = image.voxels.select(idx.alias("idx"), inner.alias("at"), "value")
+    if dense:  # a row for each chunk joins its samples
+        grid = [-(-shape[d] // chunk[d]) for d in dims]
+        nothing = F.lit(None).cast(image.voxels.schema["value"].dataType)
+        rows = rows.union(_all_indices(image.voxels.sparkSession, grid).select("idx", F.lit(None).cast("long"), nothing))
+    rows = rows.groupBy("idx")
 
     def fill_chunk(key, table):
         own = key[0].as_py()
         origin = [i * n for i, n in zip(own, size, strict=True)]
+        table = table.filter(pc.is_valid(table["at"]))
         x = np.full(math.prod(size), fill, np.dtype(dtype))
         x[table["at"].to_numpy()] = table["value"].to_numpy().astype(x.dtype)
         keep = tuple(slice(0, shape[d] - o) for d, o in zip(dims, origin, strict=True))
         return _table([_row(image_id, level, own, origin, x.reshape(size)[keep], dtype)])
 
-    return Chunked(rows.applyInArrow(fill_chunk, SCHEMA), replace(image.meta, chunk=chunk, dtype=dtype))
+    return Chunked(rows.applyInArrow(fill_chunk, SCHEMA), replace(image.meta, chunk=chunk, dtype=dtype, fill=fill))
+
+
+def densify(image: Chunked, image_id: str = "image", level: int = 0) -> Chunked:
+    """The image with a chunk of fill values in every place that has none."""
+    m = image.meta
+    grid = [-(-m.shape[d] // m.chunk[d]) for d in m.dims]
+    absent = _all_indices(image.chunks.sparkSession, grid).join(image.chunks.select("idx"), "idx", "left_anti")
+
+    def fill(batches):
+        for batch in batches:
+            for idx in batch.column(0).to_pylist():
+                yield from _table([_filled(m, idx, image_id, level)]).to_batches()
+
+    return Chunked(image.chunks.unionByName(_mapped(absent, fill)), m)
+
+
+def from_array(spark, x: np.ndarray, meta: ImageMeta, image_id: str = "image") -> Chunked:
+    """Chunks of an array that the driver holds, such as the samples of another image structure."""
+    chunk = {d: min(meta.chunk.get(d, n), n) or 1 for d, n in meta.shape.items()}
+    meta = replace(meta, chunk=chunk, dtype=x.dtype.name)
+    rows = []
+    for idx in itertools.product(*(range(-(-meta.shape[d] // chunk[d])) for d in meta.dims)):
+        origin = [i * chunk[d] for i, d in zip(idx, meta.dims, strict=True)]
+        rows.append(_row(image_id, 0, idx, origin, x[tuple(slice(o, o + chunk[d]) for o, d in zip(origin, meta.dims, strict=True))], meta.dtype))
+    return Chunked(spark.createDataFrame(_table(rows)), meta)
+
+
+def to_array(image: Chunked, most: int = 1 << 30) -> np.ndarray:
+    """All samples as one array on the driver; refused beyond ``most`` bytes."""
+    m = image.meta
+    if levels.memory_bytes(m.shape, m.chunk, m.dtype) > most:
+        raise ValueError(f"the image has more than {most} bytes; take a hyperslab first")
+    out = np.full([m.shape[d] for d in m.dims], m.fill, np.dtype(m.dtype))
+    for r in image.chunks.select("origin", "shape", "dtype", "data").toLocalIterator():
+        out[tuple(slice(o, o + n) for o, n in zip(r.origin, r.shape, strict=True))] = native(bytes(r.data), r.dtype, r.shape)
+    return out
 
 
 def to_voxels(image: Chunked) -> Image:
-    """Every sample of every chunk as a row."""
+    """Every sample of every chunk as a row (of a table with absent chunks only what is there; see ``densify``)."""
     dims = image.meta.dims
     kind = DTYPES[image.meta.dtype]
 
@@ -87,13 +163,13 @@ def to_voxels(image: Chunked) -> Image:
                 values = pa.array([int(v) for v in value], target) if kind.startswith("decimal") else pa.array(value.astype(target.to_pandas_dtype()), target)
                 yield pa.RecordBatch.from_arrays([*cols, values], [*dims, "value"])
 
-    return Image(image.chunks.mapInArrow(run, ", ".join([*(f"{d} long" for d in dims), f"value {kind}"])), image.meta)
+    return Image(_mapped(image.chunks, run, ", ".join([*(f"{d} long" for d in dims), f"value {kind}"])), image.meta)
 
 
 def rechunk(image: Chunked, chunk: Mapping[str, int]) -> Chunked:
     """Other chunk lengths: every chunk is cut into the pieces of new chunks, pieces meet by new chunk."""
     dims, shape, dtype = image.meta.dims, image.meta.shape, image.meta.dtype
-    size = [chunk[d] for d in dims]
+    size, fill = [chunk[d] for d in dims], image.meta.fill
 
     def cut(batches):
         for batch in batches:
@@ -111,14 +187,13 @@ def rechunk(image: Chunked, chunk: Mapping[str, int]) -> Chunked:
         rows = table.to_pylist()
         origin = [i * n for i, n in zip(rows[0]["idx"], size, strict=True)]
         full = [min(n, shape[d] - o) for n, d, o in zip(size, dims, origin, strict=True)]
-        x = np.zeros(full, np.dtype(dtype))
+        x = np.full(full, fill, np.dtype(dtype))
         for r in rows:
             part = native(r["data"], r["dtype"], r["shape"])
             x[tuple(slice(p - o, p - o + m) for p, o, m in zip(r["origin"], origin, part.shape, strict=True))] = part
         return _table([_row(rows[0]["image_id"], rows[0]["level"], rows[0]["idx"], origin, x, dtype)])
 
-    parts = image.chunks.mapInArrow(cut, SCHEMA)
-    return Chunked(parts.groupBy("image_id", "level", "idx").applyInArrow(join, SCHEMA), replace(image.meta, chunk=dict(chunk)))
+    return Chunked(_grouped(_mapped(image.chunks, cut), join), replace(image.meta, chunk=dict(chunk)))
 
 
 def transpose(image: Chunked, dims: Sequence[str]) -> Chunked:
@@ -129,13 +204,13 @@ def transpose(image: Chunked, dims: Sequence[str]) -> Chunked:
             rows = [_row(r["image_id"], r["level"], [r["idx"][i] for i in order], [r["origin"][i] for i in order], native(r["data"], r["dtype"], r["shape"]).transpose(order), r["dtype"]) for r in batch.to_pylist()]
             yield from _table(rows).to_batches()
 
-    return Chunked(image.chunks.mapInArrow(run, SCHEMA), replace(image.meta, dims=tuple(dims)))
+    return Chunked(_mapped(image.chunks, run), replace(image.meta, dims=tuple(dims)))
 
 
 def hyperslab(image: Chunked, box: Mapping[str, tuple[int, int]]) -> Chunked:
-    """Only the chunks that meet the box, cut to it; whole chunks are ruled out by their index before bytes are read."""
+    """Only the chunks that meet the box, cut to it; of a store only those are read."""
     dims = image.meta.dims
-    df = image.chunks
+    df = image.narrow(box) if image.narrow else image.chunks
     for i, d in enumerate(dims):
         if d in box:
             df = df.where((F.get("origin", F.lit(i)) < box[d][1]) & (F.get("origin", F.lit(i)) + F.get("shape", F.lit(i)) > box[d][0]))
@@ -150,7 +225,7 @@ def hyperslab(image: Chunked, box: Mapping[str, tuple[int, int]]) -> Chunked:
                 rows.append(_row(r["image_id"], r["level"], r["idx"], a, x, r["dtype"]))
             yield from _table(rows).to_batches()
 
-    return Chunked(df.mapInArrow(run, SCHEMA), image.meta)
+    return Chunked(_mapped(df, run), image.meta)
 
 
 def _shrink(x: np.ndarray, step: Sequence[int]) -> np.ndarray:
@@ -202,22 +277,28 @@ def _chunkwise(image: Chunked, step, work, dtype, level) -> Chunked:
                     rows.append(_row(r["image_id"], level, r["idx"], [o // f for o, f in zip(r["origin"], k, strict=True)], x, dtype))
             yield from _table(rows).to_batches()
 
-    return Chunked(image.chunks.mapInArrow(run, SCHEMA), _shrunk(image, step, dtype))
+    return Chunked(_mapped(image.chunks, run), _shrunk(image, step, dtype))
 
 
-def gaussian(image: Chunked, step: Mapping[str, int], level: int = 1) -> Chunked:
+def gaussian(image: Chunked, step: Mapping[str, int], level: int = 1, kernel=None) -> Chunked:
     """Separable Gaussian sampled at each bin's first voxel; one halo exchange for each reduced axis."""
     _step_list(image, step)
-    cut = levels.truncate({d: levels.sigma(step.get(d, 1)) for d in image.meta.spatial}, image.meta.shape)
+    if kernel is None:
+        cut = levels.truncate({d: levels.sigma(step.get(d, 1)) for d in image.meta.spatial}, image.meta.shape)
+        kernel = lambda k: levels.kernel(k, cut)
     out = image
     for axis, d in enumerate(image.meta.dims):
         k = step.get(d, 1) if d in image.meta.spatial else 1
         if k > 1:
-            taps = levels.kernel(k, cut)
+            taps = kernel(k)
             out = _halo_pass(out, axis, d, k, taps[0][0], taps[-1][0], _weighted(axis, k, taps), level)
     return out
 
 
+def discrete_gaussian(image: Chunked, step: Mapping[str, int], level: int = 1) -> Chunked:
+    return gaussian(image, step, level, levels.discrete_kernel)
+
+
 def mode(image: Chunked, step: Mapping[str, int], level: int = 1) -> Chunked:
     """Most frequent value of each window; axes cannot be separated, so one pass gathers all axes' halos in turn."""
     k = _step_list(image, step)
@@ -245,7 +326,7 @@ def mode(image: Chunked, step: Mapping[str, int], level: int = 1) -> Chunked:
                 rows.append(_row(r["image_id"], level, r["idx"], [o // f for o, f in zip(r["origin"], k, strict=True)], best, r["dtype"]))
             yield from _table(rows).to_batches()
 
-    return Chunked(out.chunks.mapInArrow(run, SCHEMA), _shrunk(image, step, image.meta.dtype))
+    return Chunked(_mapped(out.chunks, run), _shrunk(image, step, image.meta.dtype))
 
 
 def _weighted(axis: int, k: int, taps):
@@ -260,12 +341,12 @@ def _weighted(axis: int, k: int, taps):
 
 
 def _halo(image: Chunked, axis: int, dim: str, lo: int, hi: int) -> Chunked:
-    """Chunks widened along one axis by lo (before) and hi (after) samples, edges repeated.
+    """Chunks widened along one axis by lo (before) and hi (after) samples, the image's edges repeated.
 
     A chunk sends itself to its own place and to others only the strips that
     they need; a strip may come from several chunks off when chunks are short.
     """
-    n, c = image.meta.shape[dim], image.meta.chunk[dim]
+    n, c, fill = image.meta.shape[dim], image.meta.chunk[dim], image.meta.fill
     last = -(-n // c) - 1
 
     def send(batches):
@@ -285,15 +366,20 @@ def _halo(image: Chunked, axis: int, dim: str, lo: int, hi: int) -> Chunked:
     def join(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["origin"][axis])
         j = rows[0]["idx"][axis]
-        x = np.concatenate([native(r["data"], r["dtype"], r["shape"]) for r in rows], axis)
-        a = rows[0]["origin"][axis]
-        before, after = a - (j * c + lo), min((j + 1) * c, n) + hi - (a + x.shape[axis])
+        a, b = max(j * c + lo, 0), min(min((j + 1) * c, n) + hi, n)  # within the image; absent chunks stay fill values
+        full = list(rows[0]["shape"])
+        full[axis] = b - a
+        x = np.full(full, fill, np.dtype(rows[0]["dtype"]))
+        for r in rows:
+            part, at = native(r["data"], r["dtype"], r["shape"]), r["origin"][axis] - a
+            x[tuple(slice(at, at + part.shape[axis]) if i == axis else slice(None) for i in range(x.ndim))] = part
+        before, after = a - (j * c + lo), min((j + 1) * c, n) + hi - b
         x = np.pad(x, [(before, after) if i == axis else (0, 0) for i in range(x.ndim)], "edge")
         origin = list(rows[0]["origin"])
         origin[axis] = j * c
         return _table([_row(rows[0]["image_id"], rows[0]["level"], rows[0]["idx"], origin, x, rows[0]["dtype"])])
 
-    return Chunked(image.chunks.mapInArrow(send, SCHEMA).groupBy("image_id", "level", "idx").applyInArrow(join, SCHEMA), image.meta)
+    return Chunked(_grouped(_mapped(image.chunks, send), join), image.meta)
 
 
 def _halo_pass(image: Chunked, axis, dim, k, lo, hi, work, level) -> Chunked:
@@ -311,7 +397,7 @@ def _halo_pass(image: Chunked, axis, dim, k, lo, hi, work, level) -> Chunked:
                     rows.append(_row(r["image_id"], level, r["idx"], origin, work(native(r["data"], r["dtype"], r["shape"]), m), "float64"))
             yield from _table(rows).to_batches()
 
-    return Chunked(wide.chunks.mapInArrow(run, SCHEMA), _shrunk(image, {dim: k}, "float64"))
+    return Chunked(_mapped(wide.chunks, run), _shrunk(image, {dim: k}, "float64"))
 
 
-CHUNK_METHODS = {Method.BIN_SHRINK: bin_shrink, Method.NEAREST: nearest, Method.GAUSSIAN: gaussian, Method.MODE: mode}
+CHUNK_METHODS = {Method.BIN_SHRINK: bin_shrink, Method.NEAREST: nearest, Method.GAUSSIAN: gaussian, Method.DISCRETE_GAUSSIAN: discrete_gaussian, Method.MODE: mode}

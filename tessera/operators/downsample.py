@@ -90,16 +90,21 @@ def _taps(dim: str, n: int, k: int, out: Column, weight: Mapping[int, float] | N
     return F.when(p == 0, first).when(p == n - 1, last).otherwise(at(lit(table), own))
 
 
-def gaussian(image: Image, k: int | Mapping[str, int], digits: int | None = None) -> Image:
-    """Separable Gaussian, sampled at the first voxel of each bin, edges repeated."""
+def gaussian(image: Image, k: int | Mapping[str, int], digits: int | None = None, kernel=None) -> Image:
+    """Separable Gaussian, sampled at the first voxel of each bin, edges repeated.
+
+    ``kernel`` gives (offset, weight) pairs of a factor; by default the sampled Gaussian, cut off where it fits the image.
+    """
     step = _step(image, k)
-    cut = levels.truncate({d: levels.sigma(f) for d, f in step.items()}, image.meta.shape)
+    if kernel is None:
+        cut = levels.truncate({d: levels.sigma(f) for d, f in step.items()}, image.meta.shape)
+        kernel = lambda f: levels.kernel(f, cut)
     df, meta = image.voxels.withColumn("value", F.col("value").cast("double")), image.meta
     # the axis of largest factor first: later passes then have the fewest rows
     for d, f in sorted(step.items(), key=lambda s: -s[1]):
         if f == 1:
             continue
-        weight = dict(levels.kernel(f, cut))
+        weight = dict(kernel(f))
         lo, hi, n = min(weight), max(weight), image.meta.shape[d]
         rest = [c for c in meta.dims if c != d]
         rows = df.select(*rest, d, "value", F.explode(_reach(d, n, f, lo, hi)).alias("__out"))
@@ -110,6 +115,11 @@ def gaussian(image: Image, k: int | Mapping[str, int], digits: int | None = None
     return Image(df.select(*meta.dims, "value"), levels.next_meta(meta, step))
 
 
+def discrete_gaussian(image: Image, k: int | Mapping[str, int], digits: int | None = None) -> Image:
+    """The same with the discrete Gaussian (modified Bessel functions)."""
+    return gaussian(image, k, digits, levels.discrete_kernel)
+
+
 def _vote(image: Image, step: Mapping[str, int], weights) -> Image:
     """Value of largest weight in each window, ties to the smallest value."""
     df, meta = image.voxels.withColumn("__w", F.lit(1).cast("long")), image.meta
@@ -136,7 +146,7 @@ def label_vote(image: Image, k: int | Mapping[str, int]) -> Image:
     return _vote(image, _step(image, k), levels.vote_weights)
 
 
-METHODS = {Method.BIN_SHRINK: bin_shrink, Method.GAUSSIAN: gaussian, Method.MODE: mode, Method.LABEL: label_vote, Method.NEAREST: nearest}
+METHODS = {Method.BIN_SHRINK: bin_shrink, Method.GAUSSIAN: gaussian, Method.DISCRETE_GAUSSIAN: discrete_gaussian, Method.MODE: mode, Method.LABEL: label_vote, Method.NEAREST: nearest}
 
 
 def downsample(image: Image, k: int | Mapping[str, int], method: Method | str | None = None) -> Image:

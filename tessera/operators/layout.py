@@ -16,7 +16,7 @@ from ..sources.tables import Image
 
 def _without(meta: ImageMeta, dim: str) -> ImageMeta:
     drop = lambda m: {k: v for k, v in m.items() if k != dim}
-    return ImageMeta(tuple(d for d in meta.dims if d != dim), drop(meta.shape), drop(meta.scale), drop(meta.translation), drop(meta.chunk), meta.dtype, meta.name, drop(meta.units), drop(meta.orientations))
+    return ImageMeta(tuple(d for d in meta.dims if d != dim), drop(meta.shape), drop(meta.scale), drop(meta.translation), drop(meta.chunk), meta.dtype, meta.name, drop(meta.units), drop(meta.orientations), meta.fill)
 
 
 def take(image: Image, dim: str, index: int) -> Image:

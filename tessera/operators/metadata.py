@@ -35,7 +35,12 @@ def version(doc) -> Column:
 
 def parse_images(docs: DataFrame, col: str = "doc") -> DataFrame:
     """The document's first pyramid as ``image``, display settings as ``omero``, and ``version``; malformed ones give null."""
-    parsed = F.from_json(F.col(col), IMAGE)
+    # version 0.3 has plain names for axes; they become objects like those of later versions
+    names = F.from_json(F.get_json_object(col, "$.multiscales[0].axes"), "array<string>")
+    listed = F.to_json(F.transform(names, lambda n: F.struct(n.alias("name"), axis_type(n).alias("type"))))
+    plain = F.coalesce(F.size(names) > 0, F.lit(False)) & ~F.exists(names, lambda n: n.startswith("{"))
+    objects = F.regexp_replace(F.col(col), F.lit(r'"axes"\s*:\s*\[[^\]{}]*\]'), F.concat(F.lit('"axes":'), listed))
+    parsed = F.from_json(F.when(plain, objects).otherwise(F.col(col)), IMAGE)
     return docs.withColumns({"version": version(F.col(col)), "__p": parsed}).select(
         *docs.columns,
         "version",
@@ -131,11 +136,11 @@ def image_metas(multiscale: Mapping, infos: Sequence) -> list[ImageMeta]:
 
         units = {a.name: a.unit for a in axes if a.unit}
         turns = {a.name: a.orientation for a in axes if a.orientation}
-        out.append(ImageMeta(dims, dict(zip(dims, info.shape, strict=True)), scale, translation, dict(zip(dims, info.chunk, strict=True)), np.dtype(info.dtype).name, multiscale.get("name") or "image", units, turns))
+        out.append(ImageMeta(dims, dict(zip(dims, info.shape, strict=True)), scale, translation, dict(zip(dims, info.chunk, strict=True)), np.dtype(info.dtype).name, multiscale.get("name") or "image", units, turns, info.fill))
     return out
 
 
-METHOD_TEXT = {Method.GAUSSIAN: "tessera.gaussian", Method.BIN_SHRINK: "tessera.bin_shrink", Method.LABEL: "tessera.label_vote", Method.MODE: "tessera.mode", Method.NEAREST: "tessera.nearest"}
+METHOD_TEXT = {Method.GAUSSIAN: "tessera.gaussian", Method.DISCRETE_GAUSSIAN: "tessera.discrete_gaussian", Method.BIN_SHRINK: "tessera.bin_shrink", Method.LABEL: "tessera.label_vote", Method.MODE: "tessera.mode", Method.NEAREST: "tessera.nearest"}
 
 
 def write_document(pyramid: PyramidMeta, version: str = "0.4", rfcs: Sequence[int] = ()) -> dict:

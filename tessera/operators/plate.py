@@ -42,19 +42,19 @@ def walk(p: PlateTables) -> DataFrame:
 
 
 def well_lookup(p: PlateTables, wanted: DataFrame) -> DataFrame:
-    """wanted(row, col) by name, with the well's path or null."""
-    w = p.wells.select(F.col("path").alias("well"))
-    return wanted.withColumn("__p", F.concat_ws("/", "row", "col")).join(w, F.col("__p") == F.col("well"), "left").select("row", "col", "well")
+    """wanted(plate, row, col) by name, with the well's path or null."""
+    w = p.wells.select("plate", F.col("path").alias("well"), F.col("path").alias("__p"))
+    return wanted.withColumn("__p", F.concat_ws("/", "row", "col")).join(w, ["plate", "__p"], "left").select("plate", "row", "col", "well")
 
 
 def well_by_index(p: PlateTables, wanted: DataFrame) -> DataFrame:
-    """wanted(row_index, column_index) through the lists of names; out of range gives null."""
-    r = p.rows.select(F.col("pos").alias("row_index"), F.col("name").alias("row"))
-    c = p.columns.select(F.col("pos").alias("column_index"), F.col("name").alias("col"))
-    named = wanted.join(r, "row_index", "left").join(c, "column_index", "left")
-    w = p.wells.select(F.col("path").alias("well"))
+    """wanted(plate, row_index, column_index) through the plate's lists of names; out of range gives null."""
+    r = p.rows.select("plate", F.col("pos").alias("row_index"), F.col("name").alias("row"))
+    c = p.columns.select("plate", F.col("pos").alias("column_index"), F.col("name").alias("col"))
+    named = wanted.join(r, ["plate", "row_index"], "left").join(c, ["plate", "column_index"], "left")
+    w = p.wells.select("plate", F.col("path").alias("well"), F.col("path").alias("__p"))
     path = F.when(F.col("row").isNotNull() & F.col("col").isNotNull(), F.concat_ws("/", "row", "col"))
-    return named.withColumn("__p", path).join(w, F.col("__p") == F.col("well"), "left").select("row_index", "column_index", "well")
+    return named.withColumn("__p", path).join(w, ["plate", "__p"], "left").select("plate", "row_index", "column_index", "well")
 
 
 def field_at(p: PlateTables, index: int) -> DataFrame:
@@ -94,12 +94,13 @@ def check_references(p: PlateTables, fields: DataFrame) -> DataFrame:
 
 
 def upsert_fields(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Field list with the new fields that it lacks, after the ones of their well; (well, path, acquisition) is the key.
+    """Field list with the new fields that it lacks, after the ones of their well; (plate, well, path, acquisition) is the key.
 
-    The new fields are numbered behind each well's last; only wells that get
+    No acquisition is a value like others: a field without one is added once. The new fields are numbered behind each well's last; only wells that get
     new fields are counted.
     """
-    fresh = new.dropDuplicates(KEY).join(existing, KEY, "left_anti")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"e.{k}")) for k in KEY]
+    fresh = new.dropDuplicates(KEY).alias("n").join(existing.alias("e"), same, "left_anti")
     last = existing.join(fresh.select("plate", "well").distinct(), ["plate", "well"], "left_semi").groupBy("plate", "well").agg(F.max("pos").alias("__last"))
     k = F.row_number().over(Window.partitionBy("plate", "well").orderBy("path", "acquisition"))
     placed = fresh.withColumn("__k", k).join(last, ["plate", "well"], "left").withColumn("pos", (F.coalesce("__last", F.lit(-1)) + F.col("__k")).cast("int"))

@@ -47,8 +47,10 @@ def _transforms(t: Column) -> Column:
     return (_n(t) >= 1) & kinds & (_n(F.filter(t, lambda x: x["type"] == "scale")) == 1)
 
 
-def image_rules(strict: bool = False, version: str = "0.4") -> dict[str, Column]:
-    """Rules over the columns ``image`` and ``omero`` of ``parse_images``."""
+def image_rules(strict: bool = False, version: str | None = None) -> dict[str, Column]:
+    """Rules over the columns ``image``, ``omero`` and ``version`` of ``parse_images``; a version given holds for all rows."""
+    v = F.col("version") if version is None else F.lit(version)
+    only = lambda versions, rule: ~v.isin(*versions) | rule
     axes, data = F.col("image.axes"), F.col("image.datasets")
     space = F.filter(axes, lambda a: a["type"] == "space")
     rules = {
@@ -58,21 +60,15 @@ def image_rules(strict: bool = False, version: str = "0.4") -> dict[str, Column]
         "transforms": _all(data, lambda d: F.coalesce(_transforms(d["coordinateTransformations"]), F.lit(False))),
         "omero_colors": _all(F.col("omero.channels"), lambda c: valid_color(c["color"])),
         "omero_windows": _all(F.col("omero.channels"), lambda c: c["window"]["min"].isNotNull() & c["window"]["max"].isNotNull() & c["window"]["start"].isNotNull() & c["window"]["end"].isNotNull()),
+        "axes_2_to_5": only(["0.3", "0.4", "0.5"], _n(axes).between(2, 5)),
+        "axes_unique": only(["0.3", "0.4", "0.5"], _unique(F.transform(axes, lambda a: a["name"]))),
+        "axes_named": only(["0.3", "0.4", "0.5"], _all(axes, lambda a: a["name"].isNotNull())),
+        "axes_letters": only(["0.3"], _all(axes, lambda a: a["name"].rlike("^[xyzct]$"))),
+        "space_axes_2_to_3": only(["0.4", "0.5"], _n(space).between(2, 3)),
     }
-    if version not in ("0.1", "0.2"):
-        rules |= {
-            "axes_2_to_5": _n(axes).between(2, 5),
-            "axes_unique": _unique(F.transform(axes, lambda a: a["name"])),
-            "axes_named": _all(axes, lambda a: a["name"].isNotNull()),
-        }
-    if version == "0.3":
-        rules["axes_letters"] = _all(axes, lambda a: a["name"].rlike("^[xyzct]$"))
-    if version in ("0.4", "0.5"):
-        rules["space_axes_2_to_3"] = _n(space).between(2, 3)
     if strict:
         rules |= {"strict_name": F.col("image.name").isNotNull(), "strict_type": F.col("image.type").isNotNull(), "strict_metadata": F.col("image.metadata").isNotNull()}
-        if version == "0.4":
-            rules["strict_version"] = F.col("image.version").isNotNull()
+        rules["strict_version"] = only(["0.4"], F.col("image.version").isNotNull())
     return rules
 
 
@@ -126,14 +122,16 @@ def _space(docs: DataFrame, name: str, kind: str) -> DataFrame:
     return docs.withColumn("p", F.from_json(doc, kind))
 
 
-def validate(docs: DataFrame, key: str = "id", model: str = "image", version: str = "0.4", strict: bool = False) -> DataFrame:
-    """Violations of attribute documents (column ``doc``) of a model: image, plate, well, label, orientation, layout, any."""
+def validate(docs: DataFrame, key: str = "id", model: str = "image", version: str | None = None, strict: bool = False) -> DataFrame:
+    """Violations of attribute documents (column ``doc``) of a model: image, plate, well, label, orientation, layout, any.
+
+    Rules follow each document's own version, or the one given for all.
+    """
     if model == "image":
-        out = parse_images(docs)
         rules = image_rules(strict, version)
-        if version == "0.5":
-            rules["namespace_version"] = F.get_json_object("doc", "$.ome.version").isNotNull()
-        return violations(out, key, rules)
+        v = F.col("version") if version is None else F.lit(version)
+        rules["namespace_version"] = (v != "0.5") | F.get_json_object("doc", "$.ome.version").isNotNull()
+        return violations(parse_images(docs), key, rules)
     if model == "orientation":
         return violations(parse_images(docs), key, orientation_rules())
     if model == "plate":

@@ -97,6 +97,25 @@ def kernel(k: int, cut: float = 4.0) -> list[tuple[int, float]]:
     return [(o, x / math.fsum(w)) for o, x in zip(range(-r, r + 1), w, strict=True)]
 
 
+def discrete_kernel(k: int, error: float = 0.01, width: int = 32) -> list[tuple[int, float]]:
+    """(offset, weight) of the discrete Gaussian for a reduction by k: exp(-v) I_n(v), v the variance, I_n a modified Bessel function.
+
+    It reaches as far as all but ``error`` of the weight lies within, at most ``width`` places, and is normalised.
+    """
+    v = sigma(k) ** 2
+    if v == 0:
+        return [(0, 1.0)]
+    steps = 256 + 16 * math.ceil(math.sqrt(v))  # the mean over a circle is exact far beyond a float's digits
+    turn = [2 * math.pi * j / steps for j in range(steps)]
+    high = [math.exp(v * (math.cos(t) - 1)) / steps for t in turn]
+    bessel = lambda n: math.fsum(h * math.cos(n * t) for h, t in zip(high, turn, strict=True))
+    w = [bessel(0), bessel(1)]
+    while w[0] + 2 * math.fsum(w[1:]) < 1 - error and len(w) <= width:
+        w.append(bessel(len(w)))
+    total = w[0] + 2 * math.fsum(w[1:])
+    return [(o, w[abs(o)] / total) for o in range(1 - len(w), len(w))]
+
+
 def vote_weights(k: int) -> list[tuple[int, int]]:
     """(offset from the bin's first voxel, weight) of the linear label vote: a triangle over twice the bin."""
     # integer triangle around the bin centre (k - 1) / 2, reaching half a bin beyond both sides
@@ -117,14 +136,14 @@ def next_shape(shape: Mapping[str, int], step: Mapping[str, int]) -> dict[str, i
 
 def next_meta(meta: ImageMeta, step: Mapping[str, int]) -> ImageMeta:
     s, t = next_geometry(meta.scale, meta.translation, step)
-    return ImageMeta(meta.dims, next_shape(meta.shape, step), s, t, dict(meta.chunk), meta.dtype, meta.name, dict(meta.units), dict(meta.orientations))
+    return ImageMeta(meta.dims, next_shape(meta.shape, step), s, t, dict(meta.chunk), meta.dtype, meta.name, dict(meta.units), dict(meta.orientations), meta.fill)
 
 
 def split_points(n: int, sections: int | Sequence[int]) -> list[tuple[int, int]]:
     """(start, end) of each section; the first n % sections ones are longer by one."""
     if isinstance(sections, int):
         if sections <= 0:
-            raise ValueError("number sections must be larger than 0")
+            raise ValueError("there has to be a section at least")
         q, r = divmod(n, sections)
         edges = [i * q + min(i, r) for i in range(sections + 1)]
     else:

@@ -6,6 +6,8 @@ images (see ``sources.tables``) and spell out what the operators do.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from .operators import plate as P
 from .operators import pyramid as Y
 from .operators import validate as V
 from .plans import levels
+from .runtime import shared_root
 from .sources import backends
 from .sources import tables as T
 
@@ -32,11 +35,12 @@ Z3S = """z3s AS (SELECT CAST(l_linenumber - 1 AS BIGINT) AS z, l_suppkey % 64 AS
        FROM lineitem GROUP BY 1, 2, 3)"""
 Z3 = Z3S + """, z3 AS (SELECT a AS z, b AS y, c AS x, coalesce(value, 0) AS value
        FROM range(7) t1(a), range(64) t2(b), range(64) t3(c) LEFT JOIN z3s ON z = a AND y = b AND x = c)"""
-V4 = """k AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS c FROM (SELECT DISTINCT event_type FROM events)),
-v4s AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t, c, hour(ts) AS y, user_id % 16 AS x, count(*) AS value
-       FROM events JOIN k USING (event_type) GROUP BY 1, 2, 3, 4),
+V4 = """k AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS c FROM (SELECT DISTINCT event_type FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL)),
+vd AS (SELECT min(CAST(ts AS DATE)) AS d0, date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1 AS nt FROM events WHERE event_type IS NOT NULL),
+v4s AS (SELECT CAST(date_diff('day', d0, CAST(ts AS DATE)) AS BIGINT) AS t, c, hour(ts) AS y, user_id % 16 AS x, count(*) AS value
+       FROM events JOIN k USING (event_type), vd WHERE ts IS NOT NULL GROUP BY 1, 2, 3, 4),
 v4 AS (SELECT a AS t, b AS c, d AS y, e AS x, coalesce(value, 0) AS value
-       FROM range(30) t1(a), (SELECT c AS b FROM k), range(24) t3(d), range(16) t4(e)
+       FROM (SELECT unnest(range(nt)) AS a FROM vd), (SELECT c AS b FROM k), range(24) t3(d), range(16) t4(e)
        LEFT JOIN v4s ON t = a AND v4s.c = b AND y = d AND x = e)"""
 PL = """pr AS (SELECT CAST(r_regionkey AS INTEGER) AS pos, regexp_replace(r_name, '[^A-Za-z0-9]', '', 'g') AS name FROM region),
 pc AS (SELECT CAST(n_nationkey AS INTEGER) AS pos, regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g') AS name, n_regionkey AS region FROM nation),
@@ -140,7 +144,7 @@ _register("gaussian_3d", lambda s, d: D.gaussian(T.lineitem(s, d), 2, 4).voxels,
 
 
 def _levels(image: T.Image, factors, method: str, digits: int, chunk=None) -> DataFrame:
-    images, _ = Y.build(image, factors, method, chunk, keep=False)
+    images, _ = Y.build(image, factors, method, chunk)
     return Y.as_table(images).withColumn("value", F.round("value", digits))
 
 
@@ -159,11 +163,16 @@ _register(
     lambda s, d: _levels(T.embeddings(s, d), [2, 4], "gaussian", 4),
     f"WITH {E2}, {_gauss('e2', ['y', 'x'], {'y': 2, 'x': 2}, _SIZE2, 'g')}, {_gauss('g', ['y', 'x'], {'y': 2, 'x': 2}, {'y': _HALF, 'x': '32'}, 'h')} " + _union(["e2", "g", "h"], 4),
 )
-# sizes of 500 x 64 with chunks of 16 give the factors (2,1), (4,1), (8,2), (16,4)
+# the plan of levels from the sizes; a level's value is the mean of the whole box, as bins are nested and whole
 _register(
     "pyramid_auto",
     lambda s, d: _levels(T.embeddings(s, d), 16, "bin_shrink", 6, chunk=16),
-    f"WITH {E2}, p1 AS {_mean_level('e2', 2, 1, '500', '64')}, p2 AS {_mean_level('p1', 2, 1, '250', '64')}, p3 AS {_mean_level('p2', 2, 2, '125', '64')}, p4 AS {_mean_level('p3', 2, 2, '62', '32')} " + _union(["e2", "p1", "p2", "p3", "p4"], 6),
+    f"""WITH RECURSIVE {E2}, p AS (SELECT 0 AS level, ny AS sy, CAST(nx AS BIGINT) AS sx, 1 AS fy, 1 AS fx, true AS go FROM n
+    UNION ALL
+    SELECT level + 1, CASE WHEN gy THEN sy // 2 ELSE sy END, CASE WHEN gx THEN sx // 2 ELSE sx END, CASE WHEN gy THEN fy * 2 ELSE fy END, CASE WHEN gx THEN fx * 2 ELSE fx END,
+        (gy OR gx) AND (CASE WHEN gy THEN sy // 2 ELSE sy END) * (CASE WHEN gx THEN sx // 2 ELSE sx END) / 16.0 >= 2
+    FROM (SELECT *, sy > greatest(sy, sx) / 2.0 AND sy / 2.0 >= 16 AS gy, sx > greatest(sy, sx) / 2.0 AND sx / 2.0 >= 16 AS gx FROM p WHERE go AND (sy > 32 OR sx > 32)))
+    SELECT CAST(level AS INTEGER) AS level, y // fy AS y, x // fx AS x, round(avg(CAST(value AS DOUBLE)), 6) AS value FROM e2, p WHERE go AND y // fy < sy AND x // fx < sx GROUP BY 1, 2, 3""",
 )
 
 
@@ -342,17 +351,17 @@ _register("plate_wells", lambda s, d: T.plate(s, d).wells.select("path", "row_in
 _register("plate_walk", lambda s, d: P.walk(T.plate(s, d)).drop("plate"), f"WITH {PL} SELECT pi.well, pw.row, pw.col, pi.pos, pi.path, pi.acquisition FROM pi JOIN pw ON pi.well = pw.path")
 
 
-@query(f"WITH {PL} SELECT q.row, q.col, pw.path AS well FROM (SELECT DISTINCT a.name AS row, b.name AS col FROM pr a, pc b WHERE b.pos < 6 UNION ALL SELECT 'NONE', 'X') q LEFT JOIN pw ON pw.path = q.row || '/' || q.col")
+@query(f"WITH {PL} SELECT q.row, q.col, pw.path AS well FROM (SELECT a.name AS row, b.name AS col FROM pr a, pc b UNION ALL SELECT 'NONE', 'X') q LEFT JOIN pw ON pw.path = q.row || '/' || q.col")
 def well_lookup(s: SparkSession, d: str) -> DataFrame:
     p = T.plate(s, d)
-    asked = p.rows.select(F.col("name").alias("row")).join(F.broadcast(p.columns.where("pos < 6").select(F.col("name").alias("col"))))
-    return P.well_lookup(p, asked.union(s.createDataFrame([("NONE", "X")], "row string, col string")))
+    asked = p.rows.select("plate", F.col("name").alias("row")).join(p.columns.select("plate", F.col("name").alias("col")), "plate")
+    return P.well_lookup(p, asked.union(s.createDataFrame([("P", "NONE", "X")], "plate string, row string, col string"))).drop("plate")
 
 
 @query(f"WITH {PL}, q(row_index, column_index) AS (VALUES (0, 0), (1, 1), (2, 3), (4, 24), (9, 0), (0, 99)) SELECT q.row_index, q.column_index, pw.path AS well FROM q LEFT JOIN pw ON pw.row_index = q.row_index AND pw.column_index = q.column_index")
 def well_by_index(s: SparkSession, d: str) -> DataFrame:
-    asked = s.createDataFrame([(0, 0), (1, 1), (2, 3), (4, 24), (9, 0), (0, 99)], "row_index int, column_index int")
-    return P.well_by_index(T.plate(s, d), asked)
+    asked = s.createDataFrame([("P", r, c) for r, c in ((0, 0), (1, 1), (2, 3), (4, 24), (9, 0), (0, 99))], "plate string, row_index int, column_index int")
+    return P.well_by_index(T.plate(s, d), asked).drop("plate")
 
 
 _register("field_nth", lambda s, d: P.field_at(T.plate(s, d), 1).drop("plate"), f"WITH {PL} SELECT well, pos, path, acquisition FROM pi WHERE pos = 1")
@@ -366,14 +375,14 @@ _register("acquisition_span", lambda s, d: P.acquisition_span(T.plate(s, d)).dro
 
 
 def _arriving(s, d):
-    """Repeats of known fields, and new ones: every third known field under another name."""
+    """Repeats of all known fields, and every field once more under another name, which arrives twice."""
     p = T.plate(s, d)
     known = p.images.drop("pos")
-    new = known.where("cast(path as long) % 3 = 0").withColumn("path", F.concat(F.lit("n"), "path"))
-    return p, known.where("cast(path as long) % 2 = 0").unionByName(new).unionByName(new)
+    new = known.withColumn("path", F.concat(F.lit("n"), "path"))
+    return p, known.unionByName(new).unionByName(new)
 
 
-@query(f"""WITH {PL}, w AS (SELECT well, max(pos) AS last FROM pi GROUP BY well), a AS (SELECT well, 'n' || path AS path, acquisition FROM pi WHERE CAST(path AS BIGINT) % 3 = 0)
+@query(f"""WITH {PL}, w AS (SELECT well, max(pos) AS last FROM pi GROUP BY well), a AS (SELECT well, 'n' || path AS path, acquisition FROM pi)
     SELECT well, pos, path, acquisition FROM pi UNION ALL
     SELECT well, CAST(last + row_number() OVER (PARTITION BY well ORDER BY a.path, acquisition) AS INTEGER), a.path, acquisition FROM a JOIN w USING (well)""")
 def field_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -451,6 +460,11 @@ def transform_sequence(s: SparkSession, d: str) -> DataFrame:
 # Chunk layout ------------------------------------------------------------------------
 
 
+def scratch(s: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share."""
+    return f"{shared_root(s)}/{name}-{uuid.uuid4().hex}"
+
+
 def _chunked(s, d, chunk=None) -> C.Chunked:
     return C.from_voxels(T.embeddings(s, d), chunk or {"y": 64, "x": 32}, "int64")
 
@@ -464,19 +478,9 @@ _register("chunk_hyperslab", lambda s, d: C.to_voxels(C.hyperslab(_chunked(s, d)
 
 def _store(s: SparkSession, d: str, version: str, per_shard, codec: str) -> DataFrame:
     """Write a pyramid as a store in a scratch folder and read its first two levels back."""
-    import atexit
-    import shutil
-    import tempfile
-
     from . import service
 
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="tessera-store-")
-        atexit.register(shutil.rmtree, root, True)
-    import uuid
-
-    path = f"{root}/store-{uuid.uuid4().hex}"
+    path = scratch(s, "store")
     images, meta = service.chunk_pyramid(_chunked(s, d), [2], "bin_shrink")
     service.write_pyramid(images, meta, path, version, codec, per_shard)
     got, _ = service.read_pyramid(s, path, chunks_per_task=4)
@@ -493,19 +497,9 @@ _register("store_v3_sharded_roundtrip", lambda s, d: _store(s, d, "0.5", {"y": 2
 @query(SQL["field_upsert"])
 def stream_field_ingest(s: SparkSession, d: str) -> DataFrame:
     """The batch upsert's rows, through the stream: events from files, merged batch by batch."""
-    import atexit
-    import shutil
-    import tempfile
-
     from .streaming import ingest
 
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="tessera-stream-")
-        atexit.register(shutil.rmtree, root, True)
-    import uuid
-
-    root = f"{root}/stream-{uuid.uuid4().hex}"
+    root = scratch(s, "stream")
     p, new = _arriving(s, d)
     ingest.create_table(p.images, f"{root}/table")
     new.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp")).write.parquet(f"{root}/events")
@@ -514,6 +508,9 @@ def stream_field_ingest(s: SparkSession, d: str) -> DataFrame:
     return ingest.read_table(s, f"{root}/table").drop("plate")
 
 
+from . import queries_rules, queries_stores  # noqa: E402, F401  (they register their queries here)
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Two-level bin-shrink pyramid of the embeddings image."""
     return QUERIES["pyramid_bin_2_4"](s, d)

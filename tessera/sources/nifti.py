@@ -1,9 +1,14 @@
-"""NIfTI-1 volumes (``.nii``, ``.nii.gz``) as chunks: a file is read by one task."""
+"""NIfTI-1 volumes (``.nii``, ``.nii.gz``) as chunks, a chunk for each place of the last axis.
+
+The driver reads the header alone. Planes of a plain file are read by all tasks,
+each its own bytes; a packed file can only be unpacked from its start, so one
+task does that, plane by plane, and holds no more than one.
+"""
 
 from __future__ import annotations
 
 import gzip
-import io
+import zlib
 import struct
 
 import numpy as np
@@ -13,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..model import Channel, ImageMeta, Window
 from ..operators.chunks import ARROW, SCHEMA, Chunked
 from ..operators.metadata import from_nifti
-from .store import read_file
+from ..runtime import ship
+from .store import filesystem, read_range
 
 # Data type codes of the header.
 TYPES = {2: "uint8", 4: "int16", 8: "int32", 16: "float32", 64: "float64", 256: "int8", 512: "uint16", 768: "uint32", 1024: "int64", 1280: "uint64"}
@@ -51,51 +57,63 @@ def header(data: bytes) -> dict:
     return dict(shape=list(dim[1 : dim[0] + 1]), dtype=TYPES[code], order=order, offset=int(offset), slope=slope, inter=inter, affine=affine, units=unit, cal=(cal_min, cal_max))
 
 
-def _open(data: bytes) -> bytes:
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-
-
-def _head(raw: bytes) -> bytes:
-    """The first bytes of a volume, unpacked no further than needed."""
-    if raw[:2] != b"\x1f\x8b":
-        return raw[:352]
-    with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
-        return f.read(352)
+def _head(path: str) -> tuple[bytes, bool]:
+    """The first 352 bytes of a volume, and whether it is packed; a few KB of the file are read."""
+    try:
+        raw = read_range(path, 0, 4096)
+    except FileNotFoundError:
+        raise FileNotFoundError(path) from None
+    packed = raw[:2] == b"\x1f\x8b"
+    return (zlib.decompressobj(31).decompress(raw, 352) if packed else raw[:352]), packed
 
 
 def read(spark: SparkSession, path: str) -> Chunked:
     """One volume as chunks along its last axis; scaled samples are float32."""
-    raw = read_file(path)
-    if raw is None:
-        raise FileNotFoundError(path)
-    h = header(_head(raw))
+    ship(spark)
+    raw, packed = _head(path)
+    h = header(raw)
     meta = from_nifti(h["affine"], h["shape"], h["dtype"], h["slope"], h["inter"], {k: v for k, v in h["units"].items() if k in "xyzt"[: len(h["shape"])]})
     meta.chunk = dict(meta.shape) | {meta.dims[-1]: 1}
 
-    def run(batches):
+    kind, planes = np.dtype(h["order"] + np.dtype(h["dtype"]).str[1:]), h["shape"][-1]
+    size = int(np.prod(h["shape"][:-1])) * kind.itemsize
+
+    def chunk(i: int, data: bytes):
+        if len(data) != size:
+            raise ValueError(f"{path} ends within plane {i}")
+        part = np.frombuffer(data, kind).reshape([*h["shape"][:-1], 1], order="F")
+        slope = h["slope"] if h["slope"] and not np.isnan(h["slope"]) else 1.0
+        inter = 0.0 if np.isnan(h["inter"]) else h["inter"]
+        if meta.dtype == "float32":
+            part = part * np.float32(slope) + np.float32(inter)
+        part = np.ascontiguousarray(part, np.dtype(meta.dtype))
+        idx = [0] * (part.ndim - 1) + [i]
+        return pa.Table.from_pylist([dict(image_id="image", level=0, idx=idx, origin=idx, shape=list(part.shape), dtype=meta.dtype, data=part.tobytes())], ARROW).to_batches()
+
+    def plain(batches):
         for batch in batches:
-            for blob in batch.column(0):
-                data = _open(blob.as_py())
-                x = np.frombuffer(data, np.dtype(h["order"] + np.dtype(h["dtype"]).str[1:]), int(np.prod(h["shape"])), h["offset"]).reshape(h["shape"], order="F")
-                slope = h["slope"] if h["slope"] and not np.isnan(h["slope"]) else 1.0
-                inter = 0.0 if np.isnan(h["inter"]) else h["inter"]
-                for i in range(x.shape[-1]):
-                    part = x[..., i : i + 1]
-                    if meta.dtype == "float32":
-                        part = part * np.float32(slope) + np.float32(inter)
-                    part = np.ascontiguousarray(part, np.dtype(meta.dtype))
-                    idx = [0] * (x.ndim - 1) + [i]
-                    yield from pa.Table.from_pylist([dict(image_id="image", level=0, idx=idx, origin=idx, shape=list(part.shape), dtype=meta.dtype, data=part.tobytes())], ARROW).to_batches()
-
-    chunks = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
-    return Chunked(chunks, meta)
+            for i in batch.column(0).to_pylist():
+                yield from chunk(i, read_range(path, h["offset"] + i * size, size))
+
+    def unpacked(batches):
+        for batch in batches:
+            if batch.num_rows:
+                fs, p = filesystem(path)
+                with fs.open_input_file(p) as raw, gzip.GzipFile(fileobj=raw) as f:
+                    f.read(h["offset"])
+                    for i in range(planes):
+                        yield from chunk(i, f.read(size))
+
+    if packed:
+        return Chunked(spark.range(0, 1, 1, 1).mapInArrow(unpacked, SCHEMA), meta)
+    return Chunked(spark.range(planes).mapInArrow(plain, SCHEMA), meta)
 
 
 def window(spark: SparkSession, path: str, voxels: DataFrame) -> Channel:
     """Display window: the header's calibrated range where it is one, within the data's range."""
     from pyspark.sql import functions as F
 
-    h = header(_head(read_file(path) or b""))
+    h = header(_head(path)[0])
     lo, hi = map(float, voxels.agg(F.min("value"), F.max("value")).first())
     a, b = h["cal"] if h["cal"][1] > h["cal"][0] else (lo, hi)
     return Channel("ffffff", Window(lo, hi, float(a), float(b)))

@@ -7,7 +7,9 @@ each level is a read of its own, so no byte of other levels is touched.
 Writing puts a file for each chunk (or shard) and, once all tasks are done, the
 JSON metadata; a rerun of a task writes the same files again.
 
-Codecs: none, gzip, zstd. Chunks without a file hold the fill value.
+Codecs: none, gzip, zstd. Chunks without a file (or without a place in their shard)
+hold the fill value; a read gives them like all others, unless told to skip them.
+A box of samples narrows a read to the chunks that meet it: no other file is opened.
 """
 
 from __future__ import annotations
@@ -27,15 +29,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..model import ImageMeta
 from ..operators.chunks import ARROW, SCHEMA, Chunked, native
 from ..plans import levels
+from ..runtime import ship
 
 # Names of the format.
 V2_ARRAY, V2_GROUP, V2_ATTRS, V2_ALL, V3_NODE = ".zarray", ".zgroup", ".zattrs", ".zmetadata", "zarr.json"
 
 
 def filesystem(path: str):
-    """(file system, path in it) of a URL or a local path."""
+    """(file system, path in it) of a URL or a local path; settings of an object store stand in the URL's query or the environment."""
     from pyarrow import fs
 
+    if path.split("://")[0] in ("http", "https", "az", "azure"):
+        raise ValueError(f"{path}: no client for this scheme is at hand; copy the store to a file system, s3, gs or hdfs")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -44,7 +49,7 @@ def read_file(path: str) -> bytes | None:
     try:
         with fs.open_input_file(p) as f:
             return f.read()
-    except FileNotFoundError:
+    except (FileNotFoundError, NotADirectoryError):
         return None
 
 
@@ -55,11 +60,40 @@ def write_file(path: str, data: bytes) -> None:
         f.write(data)
 
 
+def read_range(path: str, start: int, length: int) -> bytes:
+    fs, p = filesystem(path)
+    with fs.open_input_file(p) as f:
+        f.seek(start)
+        return f.read(length)
+
+
 def read_json(path: str) -> dict | None:
     data = read_file(path)
     return None if data is None else json.loads(data)
 
 
+def remove(path: str) -> None:
+    """Delete a store or an array; a folder with anything else in it is refused."""
+    from pyarrow import fs as pfs
+
+    fs, p = filesystem(path)
+    if fs.get_file_info(p).type != pfs.FileType.Directory:
+        return
+    inside = fs.get_file_info(pfs.FileSelector(p))
+    if inside and not {i.base_name for i in inside} & {V2_ARRAY, V2_GROUP, V2_ATTRS, V2_ALL, V3_NODE}:
+        raise ValueError(f"{path} holds files and is no store")
+    fs.delete_dir(p)
+
+
+def consolidated(path: str) -> dict[str, dict]:
+    """Metadata of all nodes of a store that has it in one document: node file to JSON; else empty."""
+    v3 = read_json(f"{path}/{V3_NODE}")
+    if v3 is not None:
+        nodes = (v3.get("consolidated_metadata") or {}).get("metadata") or {}
+        return {f"{k}/{V3_NODE}": v for k, v in nodes.items()}
+    return (read_json(f"{path}/{V2_ALL}") or {}).get("metadata") or {}
+
+
 def compress(data: bytes, codec: str | None, level: int = 3) -> bytes:
     if not codec:
         return data
@@ -106,8 +140,25 @@ class ArrayInfo:
         return f"c{self.separator}{body}" if self.version == 3 else body
 
 
-def array_info(path: str) -> ArrayInfo | None:
-    v3 = read_json(f"{path}/{V3_NODE}")
+def _fill(value, dtype: str):
+    """A fill value as JSON has it: a number, null (undefined, so zero), a word for a float, or its bits in hex."""
+    kind = np.dtype(dtype)
+    if isinstance(value, str) and value.startswith("0x"):
+        return np.frombuffer(int(value, 16).to_bytes(kind.itemsize, "little"), kind.newbyteorder("<"))[0].item()
+    return np.asarray(float(value) if isinstance(value, str) else value or 0).astype(kind).item()
+
+
+def _fill_json(value, dtype: str):
+    v = np.asarray(value).astype(np.dtype(dtype)).item()
+    if isinstance(v, float) and not math.isfinite(v):
+        return "NaN" if math.isnan(v) else "Infinity" if v > 0 else "-Infinity"
+    return v
+
+
+def array_info(path: str, nodes: Mapping[str, dict] | None = None, at: str = "") -> ArrayInfo | None:
+    """Metadata of the array at ``path``/``at``, from ``nodes`` (see ``consolidated``) where they have it."""
+    find = lambda name: (nodes or {}).get(f"{at}/{name}") or read_json("/".join(filter(None, (path, at, name))))
+    v3 = find(V3_NODE)
     if v3 and v3.get("node_type") == "array":
         codecs, chunk, shard = v3["codecs"], v3["chunk_grid"]["configuration"]["chunk_shape"], None
         if codecs[0]["name"] == "sharding_indexed":
@@ -118,14 +169,14 @@ def array_info(path: str) -> ArrayInfo | None:
         dtype = np.dtype(v3["data_type"]).newbyteorder(">" if endian == "big" else "<").str
         codec = next((c["name"] for c in codecs if c["name"] != "bytes"), None)
         sep = v3.get("chunk_key_encoding", {}).get("configuration", {}).get("separator", "/")
-        return ArrayInfo(v3["shape"], chunk, dtype, v3.get("fill_value") or 0, codec, 3, sep, shard, v3.get("dimension_names") or [])
-    v2 = read_json(f"{path}/{V2_ARRAY}")
+        return ArrayInfo(v3["shape"], chunk, dtype, _fill(v3.get("fill_value"), dtype), codec, 3, sep, shard, v3.get("dimension_names") or [])
+    v2 = find(V2_ARRAY)
     if v2 is None:
         return None
     if v2.get("order", "C") != "C" or v2.get("filters"):
         raise ValueError("only row-major arrays without filters are supported")
     codec = (v2.get("compressor") or {}).get("id")
-    return ArrayInfo(v2["shape"], v2["chunks"], v2["dtype"], v2.get("fill_value") or 0, codec, 2, v2.get("dimension_separator", "."))
+    return ArrayInfo(v2["shape"], v2["chunks"], v2["dtype"], _fill(v2.get("fill_value"), v2["dtype"]), codec, 2, v2.get("dimension_separator", "."))
 
 
 def attributes(path: str) -> dict:
@@ -178,53 +229,70 @@ def crc32c(data: bytes) -> int:
 
 
 class ChunkRange(InputPartition):
-    def __init__(self, level: int, path: str, first: int, last: int):
-        self.level, self.path, self.first, self.last = level, path, first, last
+    """A run of an array's chunks, with the array's metadata, which the driver has read once."""
+
+    def __init__(self, level: int, path: str, first: int, last: int, info: ArrayInfo | None = None):
+        self.level, self.path, self.first, self.last, self.info = level, path, first, last, info
 
 
 class StoreReader(DataSourceReader):
-    """Options: path; levels (JSON list of [level, array path]); chunks_per_task."""
+    """Options: path; levels (JSON list of [level, array path]); chunks_per_task; box (JSON list of [start, end] for each axis); absent (fill or skip)."""
 
     def __init__(self, options):
         self.root = options["path"].rstrip("/")
         self.levels = json.loads(options.get("levels") or '[[0, ""]]')
         self.step = int(options.get("chunks_per_task", 64))
         self.image = options.get("image_id", "image")
+        self.box = json.loads(options.get("box") or "null")
+        self.skip = options.get("absent", "fill") == "skip"
+
+    def _bounds(self, info: ArrayInfo) -> list[tuple[int, int]]:
+        """First sample and end along each axis."""
+        box = self.box or [[0, n] for n in info.shape]
+        return [(max(a, 0), min(b, n)) for (a, b), n in zip(box, info.shape, strict=True)]
 
-    def _outer(self, info: ArrayInfo) -> list[int]:
+    def _outer(self, info: ArrayInfo) -> tuple[list[int], list[int]]:
+        """First chunk (or shard) along each axis, and how many."""
         size = [c * s for c, s in zip(info.chunk, info.shard or [1] * len(info.chunk), strict=True)]
-        return [-(-n // k) for n, k in zip(info.shape, size, strict=True)]
+        first = [a // k for (a, _), k in zip(self._bounds(info), size, strict=True)]
+        return first, [max(-(-b // k) - f, 0) if b > a else 0 for (a, b), k, f in zip(self._bounds(info), size, first, strict=True)]
+
+    def _at(self, path: str) -> str:
+        return f"{self.root}/{path}".rstrip("/") if self.root else path.rstrip("/")
 
     def partitions(self):
         out = []
         for level, path in self.levels:
-            info = array_info(f"{self.root}/{path}".rstrip("/"))
+            info = array_info(self._at(path)) or array_info(self.root, consolidated(self.root), path)
             if info is None:
-                raise FileNotFoundError(f"no array at {self.root}/{path}")
-            n = math.prod(self._outer(info))
-            out += [ChunkRange(level, path, a, min(a + self.step, n)) for a in range(0, n, self.step)]
+                raise FileNotFoundError(f"no array at {self._at(path)}")
+            n = math.prod(self._outer(info)[1])
+            out += [ChunkRange(level, path, a, min(a + self.step, n), info) for a in range(0, n, self.step)]
         return out or [ChunkRange(-1, "", 0, 0)]
 
     def read(self, part: ChunkRange):
         if part.first == part.last:
             return
-        path = f"{self.root}/{part.path}".rstrip("/")
-        info = array_info(path)
-        grid, shard = self._outer(info), info.shard or [1] * len(info.chunk)
+        path = self._at(part.path)
+        info = part.info
+        bounds, (first, grid), shard = self._bounds(info), self._outer(info), info.shard or [1] * len(info.chunk)
         for flat in range(part.first, part.last):
-            outer = np.unravel_index(flat, grid)
+            outer = [f + int(i) for f, i in zip(first, np.unravel_index(flat, grid), strict=True)]
             data = read_file(f"{path}/{info.key(outer)}")
-            if data is None:
-                continue
-            inner = read_shard(data, math.prod(shard)) if info.shard else {0: data}
-            for i, raw in inner.items():
+            inner = {} if data is None else read_shard(data, math.prod(shard)) if info.shard else {0: data}
+            for i in range(math.prod(shard)):
+                if self.skip and i not in inner:
+                    continue
                 at = np.unravel_index(i, shard)
-                idx = [int(o) * s + int(a) for o, s, a in zip(outer, shard, at, strict=True)]
+                idx = [o * s + int(a) for o, s, a in zip(outer, shard, at, strict=True)]
                 origin = [j * c for j, c in zip(idx, info.chunk, strict=True)]
-                if any(o >= n for o, n in zip(origin, info.shape, strict=True)):
+                if any(o >= b or o + c <= a for o, c, (a, b) in zip(origin, info.chunk, bounds, strict=True)):
                     continue
-                x = native(expand(raw, info.codec), info.dtype, info.chunk)
-                x = x[tuple(slice(0, n - o) for n, o in zip(info.shape, origin, strict=True))]
+                shape = [min(c, n - o) for c, n, o in zip(info.chunk, info.shape, origin, strict=True)]
+                if i in inner:
+                    x = native(expand(inner[i], info.codec), info.dtype, info.chunk)[tuple(map(slice, shape))]
+                else:
+                    x = native(np.full(shape, info.fill, np.dtype(info.dtype)).tobytes(), info.dtype, shape)
                 row = dict(image_id=self.image, level=part.level, idx=idx, origin=origin, shape=list(x.shape), dtype=x.dtype.name, data=np.ascontiguousarray(x).tobytes())
                 yield from pa.Table.from_pylist([row], ARROW).to_batches()
 
@@ -247,7 +315,7 @@ class StoreWriter(DataSourceWriter):
         files, open_shard, parts = 0, None, {}
         for r in rows:
             a = self.arrays[r["level"]]
-            x = np.zeros(a["chunk"], np.dtype(a["dtype"]))
+            x = np.full(a["chunk"], _fill(a["fill"], a["dtype"]), np.dtype(a["dtype"]))
             own = native(bytes(r["data"]), r["dtype"], r["shape"])
             x[tuple(slice(0, n) for n in own.shape)] = own
             raw = compress(x.tobytes(), self.codec)
@@ -295,23 +363,30 @@ class ChunkStore(DataSource):
 
 
 def _register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ChunkStore)
 
 
-def read_arrays(spark: SparkSession, path: str, arrays: Sequence[tuple[int, str]], image_id: str = "image", chunks_per_task: int = 64) -> DataFrame:
-    """Chunks of arrays of a store, with their level."""
+def read_arrays(spark: SparkSession, path: str, arrays: Sequence[tuple[int, str]], image_id: str = "image", chunks_per_task: int = 64, box: Sequence | None = None, absent: str = "fill") -> DataFrame:
+    """Chunks of arrays of a store, with their level; with a box ((start, end) of each axis) only those that meet it."""
     _register(spark)
-    return spark.read.format("chunk_store").options(path=path, levels=json.dumps([list(a) for a in arrays]), image_id=image_id, chunks_per_task=chunks_per_task).load()
+    return spark.read.format("chunk_store").options(path=path, levels=json.dumps([list(a) for a in arrays]), image_id=image_id, chunks_per_task=chunks_per_task, box=json.dumps(box), absent=absent).load()
+
+
+def chunked(spark: SparkSession, path: str, at: str, meta: ImageMeta, level: int = 0, chunks_per_task: int = 64, absent: str = "fill") -> Chunked:
+    """An array of a store, which can be narrowed to a box before it is read."""
+    read = lambda box=None: read_arrays(spark, path, [(level, at)], meta.name, chunks_per_task, box, absent)
+    return Chunked(read(), meta, path, lambda box: read([list(box.get(d, (0, meta.shape[d]))) for d in meta.dims]))
 
 
-def read_array(spark: SparkSession, path: str, dims: Sequence[str] | None = None) -> Chunked:
+def read_array(spark: SparkSession, path: str, dims: Sequence[str] | None = None, absent: str = "fill") -> Chunked:
     """A single array, not in a group."""
     info = array_info(path)
     if info is None:
         raise FileNotFoundError(f"no array at {path}")
     dims = tuple(dims or info.names or levels.default_dims(len(info.shape)))
-    meta = ImageMeta(dims, dict(zip(dims, info.shape, strict=True)), chunk=dict(zip(dims, info.chunk, strict=True)), dtype=np.dtype(info.dtype).name)
-    return Chunked(read_arrays(spark, path, [(0, "")]), meta)
+    meta = ImageMeta(dims, dict(zip(dims, info.shape, strict=True)), chunk=dict(zip(dims, info.chunk, strict=True)), dtype=np.dtype(info.dtype).name, fill=info.fill)
+    return chunked(spark, path, "", meta, absent=absent)
 
 
 def array_node(meta: ImageMeta, version: int, codec: str | None, shard: Mapping[str, int] | None) -> tuple[str, dict]:
@@ -319,7 +394,7 @@ def array_node(meta: ImageMeta, version: int, codec: str | None, shard: Mapping[
     shape, chunk = [meta.shape[d] for d in meta.dims], [min(meta.chunk[d], meta.shape[d]) or 1 for d in meta.dims]
     dtype = np.dtype(meta.dtype)
     if version == 2:
-        return V2_ARRAY, {"zarr_format": 2, "shape": shape, "chunks": chunk, "dtype": dtype.newbyteorder("<").str, "compressor": {"id": codec, "level": 3} if codec else None, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}
+        return V2_ARRAY, {"zarr_format": 2, "shape": shape, "chunks": chunk, "dtype": dtype.newbyteorder("<").str, "compressor": {"id": codec, "level": 3} if codec else None, "fill_value": _fill_json(meta.fill, meta.dtype), "order": "C", "filters": None, "dimension_separator": "/"}
     codecs: list[dict] = [{"name": "bytes", "configuration": {"endian": "little"}} if dtype.itemsize > 1 else {"name": "bytes"}]
     if codec:
         codecs.append({"name": codec, "configuration": {"level": 3} | ({"checksum": False} if codec == "zstd" else {})})
@@ -334,7 +409,7 @@ def array_node(meta: ImageMeta, version: int, codec: str | None, shard: Mapping[
         "data_type": dtype.name,
         "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": outer}},
         "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}},
-        "fill_value": 0,
+        "fill_value": _fill_json(meta.fill, meta.dtype),
         "codecs": codecs,
         "dimension_names": list(meta.dims),
         "attributes": {},
@@ -342,7 +417,7 @@ def array_node(meta: ImageMeta, version: int, codec: str | None, shard: Mapping[
 
 
 def write_arrays(chunks: DataFrame, path: str, arrays: Mapping[int, tuple[str, ImageMeta]], nodes: Mapping[str, dict], version: int, codec: str | None = None, per_shard: Mapping[str, int] | None = None) -> None:
-    """Write levels of chunks and, when all are there, the metadata nodes (path in the store to JSON)."""
+    """Write levels of chunks and, when all are there, the metadata nodes (path in the store to JSON); older arrays in their place go first."""
     from pyspark.sql import functions as F
 
     _register(chunks.sparkSession)
@@ -352,7 +427,8 @@ def write_arrays(chunks: DataFrame, path: str, arrays: Mapping[int, tuple[str, I
     for level, (at, meta) in arrays.items():
         name, body = array_node(meta, version, codec, per_shard)
         nodes[f"{at}/{name}".lstrip("/")] = body
-        spec[level] = dict(path=at, shape=body["shape"], chunk=[min(meta.chunk[d], meta.shape[d]) or 1 for d in meta.dims], dtype=np.dtype(meta.dtype).newbyteorder("<").str, version=version, shard=[per_shard.get(d, 1) for d in meta.dims] if per_shard else None)
+        remove(f"{path}/{at}".rstrip("/"))
+        spec[level] = dict(path=at, shape=body["shape"], chunk=[min(meta.chunk[d], meta.shape[d]) or 1 for d in meta.dims], dtype=np.dtype(meta.dtype).newbyteorder("<").str, fill=body["fill_value"], version=version, shard=[per_shard.get(d, 1) for d in meta.dims] if per_shard else None)
     if per_shard:  # all chunks of a shard in one task, one shard after another
         dims = next(iter(arrays.values()))[1].dims
         shard = F.array(*[F.floor(F.get("idx", F.lit(i)) / per_shard.get(d, 1)) for i, d in enumerate(dims)])

@@ -35,11 +35,13 @@ def dense(image: Image, fill=0) -> Image:
     two axes, and joined by its axes; nothing is crossed with the samples.
     """
     spark, m = image.voxels.sparkSession, image.meta
-    head, *rest = m.dims
-    grid = spark.range(m.shape[head]).withColumnRenamed("id", head)
+    if not all(m.shape[d] for d in m.dims):
+        return Image(image.voxels.limit(0), m)
+    head, rest = m.dims[:2], m.dims[2:]
+    inner = m.shape[head[1]] if len(head) == 2 else 1
+    at = [F.floor(F.col("id") / inner).alias(head[0]), *((F.col("id") % inner).alias(h) for h in head[1:])]
+    grid = spark.range(m.shape[head[0]] * inner).select(*at)
     for d in rest:
-        if not m.shape[d]:
-            return Image(image.voxels.limit(0), m)
         grid = grid.withColumn(d, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m.shape[d] - 1).cast("long"))))
     kind = image.voxels.schema["value"].dataType
     out = grid.join(image.voxels, list(m.dims), "left").withColumn("value", F.coalesce("value", F.lit(fill).cast(kind)))
@@ -62,19 +64,24 @@ def labels(spark: SparkSession, sf: str) -> Image:
 
 
 def events(spark: SparkSession, sf: str) -> Image:
-    """t = day, c = event type, y = hour, x = user modulo 16; counts, missing cells 0."""
-    df = spark.read.parquet(f"{sf}/events.parquet")
+    """t = day since the first one, c = event type, y = hour, x = user modulo 16; counts, missing cells 0.
+
+    Events without a time or a type belong to no cell.
+    """
+    df = spark.read.parquet(f"{sf}/events.parquet").where("ts is not null and event_type is not null")
+    first, last = df.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    days = (last - first).days + 1 if first else 0
     kinds = ("click", "error", "purchase", "signup", "view")
     names = [r[0] for r in df.select("event_type").distinct().sort("event_type").collect()]
     order = F.array(*map(F.lit, names or kinds))
     rows = df.select(
-        (F.datediff("ts", F.lit("2024-01-01").cast("date"))).cast("long").alias("t"),
+        (F.datediff("ts", F.lit(first).cast("date"))).cast("long").alias("t"),
         (F.array_position(order, F.col("event_type")) - 1).cast("long").alias("c"),
         F.hour("ts").cast("long").alias("y"),
         F.pmod("user_id", F.lit(16)).cast("long").alias("x"),
     )
     rows = rows.groupBy("t", "c", "y", "x").agg(F.count(F.lit(1)).alias("value"))
-    meta = ImageMeta(("t", "c", "y", "x"), {"t": 30, "c": len(names or kinds), "y": 24, "x": 16}, units={"t": "day"})
+    meta = ImageMeta(("t", "c", "y", "x"), {"t": days, "c": len(names or kinds), "y": 24, "x": 16}, units={"t": "day"})
     return dense(Image(rows, meta))
 
 

