@@ -273,12 +273,13 @@ def convert(spark: SparkSession, path: str | Sequence[str], out: str, o: Options
     if len(paths) == 1 and store.array_info(paths[0]) is None and _is_store(paths[0]):
         images, pyramid = read_pyramid(spark, paths[0])
         if o.method is None and o.factors is None and o.chunk is None and o.level == 0:  # its levels are passed through
-            first = with_metadata(images[0].meta, o)
+            base = images[0].meta
+            first = with_metadata(base, o)
             ratio = lambda a, b: {d: a[d] / b[d] for d in a if b.get(d)}
-            grown = ratio(first.scale, images[0].meta.scale)
+            grown = ratio(first.scale, base.scale)
             for im in images:
                 own = with_metadata(im.meta, replace(o, scale={}, translation={}))
-                moved = {d: first.translation[d] + (v - images[0].meta.translation.get(d, 0.0)) * grown.get(d, 1.0) for d, v in own.translation.items()}
+                moved = {d: first.translation[d] + (v - base.translation.get(d, 0.0)) * grown.get(d, 1.0) for d, v in own.translation.items()}
                 im.meta = replace(own, scale={d: v * grown.get(d, 1.0) for d, v in own.scale.items()}, translation=moved)
             pyramid.images, pyramid.name = [im.meta for im in images], first.name
             write_pyramid(images, pyramid, out, o.version, o.codec, o.per_shard, o.rfcs)
