@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import decontam
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,3 +76,51 @@ def test_items_without_an_id_count_but_are_not_listed(spark):
     for size in (8 << 20, 70):
         got = decontam.decontaminate(docs, bench, block_bytes=size).select("c.doc_id", "r.n_hit", "r.n_items", "r.items", "r.contaminated")
         assert rows(got) == [(1, 3, 1, [], True), (2, 6, 1, [], True), (3, 6, 2, ["7"], True)], size
+
+
+def test_repeated_words_cost_no_pairs():
+    import time
+
+    began = time.time()
+    index = decontam.Index([("i", b"x " * 5_000), ("j", b"x " * 12)], 5, 13)
+    n, hits, found = index.find([b"y " * 30 + b"x " * 20_000])
+    assert n[0] == 20_030 and hits[0].sum() == 20_000 and found[0] == {0, 1}
+    assert time.time() - began < 5
+
+
+def test_the_kept_fingerprint_depends_on_the_window_alone():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for w in (1, 2, 3, 8, 9):
+        x = r.integers(0, 4, 200).astype(np.uint64)
+        got = decontam._rightmost_min(x, w)
+        want = [i + max(j for j in range(w) if x[i + j] == x[i : i + w].min()) for i in range(len(x) - w + 1)]
+        assert got.tolist() == want
+
+
+def test_large_benchmarks_go_through_a_shuffle(spark, odd_docs):
+    """Spans, items without an id, rows that repeat an id with other texts: as with the broadcast index."""
+    docs, items = make(11)
+    docs += [(None, docs[0][1]), (5, items[4][1]), (5, "x " * 300)]
+    items += [(None, items[5][1]), (40, "x " * 50)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, two = (decontam.decontaminate(d, b, carry=["doc_id", "text"], block_bytes=n) for n in (1 << 20, 100))
+    flat = lambda df: sorted(map(str, df.select("c.*", "r.*").collect()))
+    assert flat(one) == flat(two)
+    odd = odd_docs.select("doc_id", F.col("text"))
+    assert flat(decontam.decontaminate(odd, b, block_bytes=100)) == flat(decontam.decontaminate(odd, b))
+
+
+def test_words_of_equal_hash_are_kept_apart(monkeypatch):
+    """Whatever the hashes, only equal words hit."""
+    import numpy as np
+
+    monkeypatch.setattr(decontam.K, "grams", lambda h, n: np.zeros(max(len(h) - n + 1, 0), np.uint64))
+    docs, items = make(4)
+    index = decontam.Index([(str(i), (t or "").encode()) for i, t in items], 5, 13)
+    n, hits, found = index.find([(t or "").encode() for _, t in docs])
+    for i, (_, t) in enumerate(docs):
+        names = {x for j in found.get(i, ()) for x in index.names[j]}
+        got = (int(n[i]), int(hits[i].sum()) if i in hits else 0, len(names), decontam.items_digest(names))
+        assert got == brute(t, items)[:4]
