@@ -7,18 +7,19 @@ linked with nothing. Equal sets are one node, so copies cost nothing below.
 A signature has ``TREES * BASE`` minima. Tree t orders all nodes by the
 signature rotated to start at its own ``BASE`` minima; the orders are dealt by
 range, so a dense region is cut wherever it is large and no key can fill a
-task. Candidates of a node are its next neighbours in each order, as far as
-they agree on at least the ``BASE`` first minima: sorted neighbours have the
-longest common prefixes, so the depth adapts to the region. In regions of up to
-``SMALL`` nodes a node meets the next ``FAR`` ones, in larger ones the next
-``NEAR`` ones; two sets of similarity 0.8 share a region in 13 of 32 trees.
+task. Neighbours in an order have the longest common prefixes. A region is the nodes
+that agree on the ``BASE`` first minima; where more than ``FAR + 1`` do, the depth
+grows, minimum by minimum, until as few agree, and these are each other's
+candidates. Nodes that still are more at full depth meet the next ``NEAR`` ones.
+Two sets of similarity 0.8 share a region in 13 of 32 trees.
 Signatures then sort out candidates whose estimate lies ``SLACK`` (over four
 standard deviations) below the limit, and every remaining pair is
 confirmed on the full sets: 100 * intersection >= percent * union.
 
 In a crowded region the one partner of a node may stand further off. So every node
 of a region that the first round does not compare whole (more than ``FAR + 1``
-nodes, or cut by the end of a range) goes to an exact join. Shingles are put in one
+nodes, or cut by the end of a range) goes to an exact join; what is found does not
+depend on how rows come in batches or ranges. Shingles are put in one
 order, rare ones first; two sets that are similar enough have a first common
 shingle, and from its place in both follows the most that they can share. The
 smaller set meets the larger on those of its shingles from which a set no smaller
@@ -26,8 +27,13 @@ than itself can still be reached, only nodes of *different* components meet, and
 shingle of many nodes is dealt out by ``SHARE`` of them. Every pair that passes is
 confirmed on the full sets; no window and no estimate stands before that.
 
-Null texts have no words. Rows that repeat a doc_id are judged by their own
-text. A null doc_id forms no group of its own. Extra columns are ignored.
+Null texts have no words. Texts of any length are taken whole. Rows that repeat a
+doc_id are judged by their own text. A null doc_id forms no group of its own. Of
+equal sets the smallest doc_id is the node, and of a component the smallest is kept.
+An empty table gives no rows. Extra columns are ignored, whatever their names.
+Shingles are known by 64-bit hashes: two documents of a thousand shingles each have
+two different ones of equal hash with a probability below 1e-13, and that moves their
+similarity by a thousandth.
 """
 
 from __future__ import annotations
@@ -44,7 +50,7 @@ from .components import components
 from .runtime import attach, ship, stored
 
 TREES, BASE, DEEPER = 32, 4, 8
-SMALL, FAR, NEAR = 32, 6, 2
+FAR, NEAR = 6, 2
 SLACK = 0.18
 #: Cells of the counts that order shingles (a shared cell costs time, not links), and nodes of a shingle that meet in one key.
 CELLS, SHARE = 1 << 20, 4096
@@ -124,9 +130,25 @@ def _trees(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, deeper binary, node long").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def _regions(keys: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each sorted row at the least depth at which it has at most ``FAR + 1`` rows, and whether there is one."""
+    same = keys[1:] == keys[:-1]
+    # minima behind the first ones that a row has in common with the row before
+    prefix = np.where(same, np.cumprod(deeper[1:] == deeper[:-1], axis=1).sum(1), -1)
+    group, settled = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    for depth in range(DEEPER + 1):
+        own = np.cumsum(np.concatenate([[True], prefix < depth])) - 1
+        fits = (np.bincount(own)[own] <= FAR + 1) & ~settled
+        group[fits] = own[fits] * (DEEPER + 1) + depth
+        settled |= fits
+        if settled.all():
+            break
+    return group, settled
+
+
 def _neighbours(batches):
     """Pairs of neighbours in a sorted run of trees' rows; a node of a region not compared whole also with itself."""
-    keys, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, nodes, deeper = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DEEPER), np.uint16)
     first = None
     for batch in batches:
         if not batch.num_rows:
@@ -134,16 +156,14 @@ def _neighbours(batches):
         fresh = len(keys)
         keys = np.concatenate([keys, batch.column(0).to_numpy()])
         nodes = np.concatenate([nodes, batch.column(1).to_numpy()])
-        edge = np.concatenate([[True], keys[1:] != keys[:-1]])
-        region = np.cumsum(edge) - 1
-        small = np.bincount(region)[region] <= SMALL
+        deeper = np.concatenate([deeper, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, DEEPER)])
+        group, settled = _regions(keys, deeper)
         for k in range(1, FAR + 1):
             if len(keys) <= k:
                 break
-            ok = (keys[k:] == keys[:-k]) & (nodes[k:] != nodes[:-k])
+            near = k <= NEAR
+            ok = (keys[k:] == keys[:-k]) & (near | settled[k:] & settled[:-k] & (group[k:] == group[:-k])) & (nodes[k:] != nodes[:-k])
             ok[: max(fresh - k, 0)] = False  # both were in the last batch
-            if k > NEAR:
-                ok &= small[k:]
             a, b = nodes[:-k][ok], nodes[k:][ok]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -155,7 +175,7 @@ def _neighbours(batches):
         if part.any():
             own = pa.array(np.unique(nodes[part]))
             yield pa.RecordBatch.from_arrays([own, own], ["a", "b"])
-        keys, nodes = keys[-FAR - 1 :], nodes[-FAR - 1 :]
+        keys, nodes, deeper = keys[-FAR - 1 :], nodes[-FAR - 1 :], deeper[-FAR - 1 :]
     own = pa.array(nodes[keys == keys[-1]] if len(keys) else nodes)
     yield pa.RecordBatch.from_arrays([own, own], ["a", "b"])
 
@@ -274,7 +294,7 @@ class NearDuplicates:
         named = self.rows.where("n > 0 and id is not null")
         self.nodes = stored(named.groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes", "uncompressed")
         least = percent / 100 - SLACK
-        met = stored(_trees(self.nodes).select("key", "node").mapInArrow(_neighbours, "a long, b long").distinct(), "neighbours")
+        met = stored(_trees(self.nodes).select("key", "node", "deeper").mapInArrow(_neighbours, "a long, b long").distinct(), "neighbours")
         pairs, crowd = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("node"))
         for side in ("a", "b"):
             pairs = pairs.join(_low(self.nodes).select(F.col("node").alias(side), F.col("low").alias(f"low_{side}")), side)

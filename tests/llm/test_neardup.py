@@ -102,3 +102,23 @@ def test_lone_pairs_in_a_crowd_far_larger_than_any_window(spark):
     assert [w[2] for w in few] == [0, 1, 0, 1, n - 1]
     got = {r.doc_id: r.component_id for r in N.NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), k=4).members().collect()}
     assert got == {i: i - n // 2 if n // 2 <= i < n // 2 + lone else i for i in range(n)}
+
+
+def test_links_do_not_depend_on_batches_or_ranges(spark):
+    r = random.Random(8)
+    vocab = ["w%d" % i for i in range(2000)]
+    base, docs = [r.choice(vocab) for _ in range(120)], []
+    for i in range(400):
+        w = list(base)
+        for _ in range(r.randint(3, 9)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        docs.append((i, " ".join(w)))
+    want, key = brute(docs), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, parts = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for size, n in (("5", "2"), ("64", "7")):
+            spark.conf.set(key, size), spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+            assert sorted(map(tuple, N.NearDuplicates(df, k=4).members().collect())) == want
+    finally:
+        spark.conf.set(key, before), spark.conf.set("spark.sql.shuffle.partitions", parts)
