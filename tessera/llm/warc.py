@@ -8,28 +8,36 @@ A response is an HTTP message in chunked transfer framing; messages of more than
 with origin, number and, in the last, total length. Of equal payloads of at
 least ``least`` bytes the smallest id is the response and the others are
 revisits that name it; several rows that hold that smallest id are all
-responses. Null payloads are empty.
-
-Reading: ``binaryFile`` gives a file to a task, which parses its records.
-Messages in one record are decoded there; only continuation records and their
-first records are shuffled, by origin, ordered by number and verified against
-the total length. ``records_a_file`` bounds a file, and so a task's memory.
+responses, and so is every row without an id. Null payloads are empty, a message of any
+length is written whole, extra columns are ignored, and an empty table gives no records.
+Equal payloads meet by digest as ids alone; the payloads themselves stay where they
+are, or cross one shuffle by id if the revisits are too many to broadcast.
+
+Reading: ``binaryFile`` gives a file to a task, which unpacks and parses it record by
+record (one gzip member or many). A record has at most ``segment_chars`` characters and a
+head, and a file ``records_a_file`` records, which bounds a file (by default at 132 MB
+before packing) and so a task's memory. Messages in one record are decoded there; only
+continuation records and their first records are shuffled, by origin, ordered by
+number and verified against the total length. Digests are computed again from the
+payloads, and revisits have to name a response of the same digest and length.
 """
 
 from __future__ import annotations
 
 import atexit
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import drop_quietly, scratch_path, ship
+from .runtime import drop_quietly, scratch_path, ship, stored
 
 SEGMENT_CHARS, CHUNK_CHARS, LEAST = 16_384, 4_096, 100
 END = "\r\n"
+#: Revisits (id, digest, id) are broadcast up to this number, some 100 bytes each, else joined by shuffle.
+MOST_BROADCAST = 200_000
 
 
 def _octets(c):
@@ -41,11 +49,15 @@ def plan(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST) ->
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     rows = pages.select(q(id_col).alias("id"), F.coalesce(q(payload_col), F.lit("")).alias("payload"))
     rows = rows.select("id", "payload", F.sha2("payload", 256).alias("digest"))
-    # only payloads that occur twice need their first id; sums for each digest are formed before the shuffle
-    first = rows.where(_octets("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    out = rows.join(first.select("digest", "first"), "digest", "left")
-    refers = F.when((_octets("payload") >= least) & (F.col("first") != F.col("id")), F.col("first"))
-    return out.select("id", "payload", "digest", refers.alias("refers_to"))
+    ids = stored(rows.where(_octets("payload") >= least).where("id is not null").select("id", "digest"), "digests")
+    # only payloads that occur twice need their first id; sums for each digest are formed before the
+    # shuffle, and the table is stored, so that Spark can split a digest that very many ids have
+    first = stored(ids.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "firsts")
+    later = stored(ids.distinct().join(first, "digest").where("first <> id"), "revisits")
+    if later.count() <= MOST_BROADCAST:
+        later = F.broadcast(later)
+    out = rows.join(later, ["id", "digest"], "left")
+    return out.select("id", "payload", "digest", F.col("first").alias("refers_to"))
 
 
 def records(planned: DataFrame, segment_chars: int = SEGMENT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -88,7 +100,7 @@ def records(planned: DataFrame, segment_chars: int = SEGMENT_CHARS, chunk_chars:
     return rows.select(F.concat(header, "block").alias("value"))
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST, records_a_file: int = 20_000, segment_chars: int = SEGMENT_CHARS) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST, records_a_file: int = 2_000, segment_chars: int = SEGMENT_CHARS) -> None:
     out = records(plan(pages, id_col, payload_col, least), segment_chars)
     out.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
@@ -97,20 +109,45 @@ class Malformed(ValueError):
     pass
 
 
-def parse(data: bytes):
-    """(headers by lower-case name, block) of each record."""
-    at = 0
+def unpacked(data: bytes, step: int = 1 << 16):
+    """The bytes of a gzip file of any number of members, a piece at a time."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0 or not data.startswith(b"WARC/1.", at):
-            raise Malformed(f"no record at {at}")
-        lines = data[at:stop].decode().split(END)[1:]
+        member = zlib.decompressobj(31)
+        while at < len(data) and not member.eof:
+            piece = member.decompress(view[at : at + step])
+            at = min(at + step, len(data)) - len(member.unused_data)
+            if piece:
+                yield piece
+        if not member.eof:
+            raise Malformed("the file ends within a gzip member")
+
+
+def parse(pieces):
+    """(headers by lower-case name, block) of each record, from bytes or pieces of them; what is held is a record and a piece."""
+    pieces = iter([pieces] if isinstance(pieces, bytes) else pieces)
+    data, number = bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, b"")
+        data.extend(piece)
+        return bool(piece)
+
+    while data or more():
+        while (stop := data.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if stop < 0 or not data.startswith(b"WARC/1."):
+            raise Malformed(f"record {number} has no head")
+        lines = data[:stop].decode().split(END)[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         n, a = int(head["content-length"]), stop + 4
+        while len(data) < a + n + 4 and more():
+            pass
         if data[a + n : a + n + 4] != b"\r\n\r\n":
-            raise Malformed(f"the record at {at} does not end with two line ends")
-        yield head, data[a : a + n]
-        at = a + n + 4
+            raise Malformed(f"record {number} does not end with two line ends")
+        yield head, bytes(data[a : a + n])
+        del data[: a + n + 4]
+        number += 1
 
 
 def dechunk(data: bytes) -> bytes:
@@ -165,7 +202,7 @@ def _parse_files(batches):
         for blob in batch.column(0):
             rows: list[dict] = []
             held = 0
-            for head, block in parse(gzip.decompress(blob.as_py())):
+            for head, block in parse(unpacked(blob.as_py())):
                 number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
                 row = dict(origin=head.get("warc-segment-origin-id", head["warc-record-id"]), number=int(number or 0), total=int(total) if total else None)
                 row |= dict(type=head["warc-type"], stated=head["warc-payload-digest"].removeprefix("sha256:"), refers_to=head.get("warc-refers-to-target-uri"), uri=head["warc-target-uri"])
@@ -209,15 +246,30 @@ def _reassemble(batches):
         yield pa.RecordBatch.from_pylist([close()], schema)
 
 
-def read(spark, path: str) -> DataFrame:
-    """One row for each response and revisit (see SCHEMA); verified: digest and total length agree.
+def read(spark, path: str, strict: bool = True) -> DataFrame:
+    """One row for each response and revisit (see SCHEMA).
 
+    verified: total length and digest of a response agree, and a revisit names a
+    response of its digest and length. With ``strict`` anything else is an error.
     Records of one segment cross the shuffle without their block.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     rows = files.mapInArrow(_parse_files, PART_SCHEMA).repartition("origin").sortWithinPartitions("origin", "number")
-    return rows.mapInArrow(_reassemble, SCHEMA)
+    rows = stored(rows.mapInArrow(_reassemble, SCHEMA), "records")
+    # sums before the shuffle: a response that very many name is one row for each task
+    named = rows.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"))
+    held = rows.where("record_type = 'response'").select(F.col("uri").alias("refers_to"), "payload_digest", "payload_bytes")
+    lost = stored(named.join(held, ["refers_to", "payload_digest", "payload_bytes"], "left_anti"), "lost")
+    wrong = rows.where("not verified").count()
+    lonely = lost.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if strict and (wrong or lonely):
+        raise Malformed(f"{wrong} messages differ from their digest or total length, and {lonely} revisits from the response they name")
+    if lonely:
+        lost = lost.select("refers_to", "payload_digest", "payload_bytes", F.lit(False).alias("found"))
+        rows = rows.join(lost, ["refers_to", "payload_digest", "payload_bytes"], "left")
+        rows = rows.withColumn("verified", F.col("verified") & F.coalesce("found", F.lit(True)))
+    return rows.select([n for n, _ in RESULT])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
