@@ -10,15 +10,21 @@ in every document is sent once by each block, and ranges are of mixed hashes.
 
 Blocks are formed in the order in which a partition of the input yields rows,
 so the input has to be re-readable in the same order: a file scan or a stored
-table. A block whose second reading differs finds keys without an answer and
-fails; it never gives wrong rows. Nulls are empty texts; ids may be null and may
-repeat, a row is known by its place in its block.
+table. Every piece carries a checksum of its keys, which comes back with the answer;
+a block whose second reading differs fails and gives no wrong rows. Nulls are empty
+texts; ids may be null and may repeat, a row is known by its place in its block.
+
+Tasks of all exchanges grow with the input, so none of them does. A block sends a
+piece to each range at most, and ranges grow with the input, too: pieces are few bytes
+each beyond some ten TB. ``MOST`` is then to be raised (a block's memory is some
+twenty times its text), so that a piece keeps a few dozen keys.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +35,11 @@ from pyspark.sql import functions as F
 #: Text bytes of a block.
 MOST = 4 << 20
 BLOCK = "block long, ids array<long>, lens binary, data binary"
-PIECE = "part int, block long, n int, keys binary, vals binary"
-ANSWER = "block long, part int, kind int, vals binary"
+PIECE = "part int, block long, n int, keys binary, vals binary, sum long"
+ANSWER = "block long, part int, kind int, vals binary, sum long"
 _BLOCK_TYPE = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("data", pa.binary())])
-_PIECE_TYPE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
-_ANSWER_TYPE = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("vals", pa.binary())])
+_PIECE_TYPE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary()), ("sum", pa.int64())])
+_ANSWER_TYPE = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("vals", pa.binary()), ("sum", pa.int64())])
 
 
 def squeeze(data: bytes | np.ndarray, level: int = 3) -> bytes:
@@ -99,11 +105,11 @@ def pack(docs: DataFrame, id_col: str, text_col: str, most: int = MOST, level: i
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, emit, most: int = MOST) -> DataFrame:
-    """``emit(ids, texts)`` yields (part, n, keys, vals) for each of the blocks that ``pack`` forms."""
+    """``emit(ids, texts)`` yields (part, n, keys, vals, checksum) for each of the blocks that ``pack`` forms."""
 
     def run(batches):
         for number, ids, texts in formed(batches, most):
-            out = [dict(part=p, block=number, n=n, keys=k, vals=v) for p, n, k, v in emit(ids, texts)]
+            out = [dict(part=p, block=number, n=n, keys=k, vals=v, sum=s) for p, n, k, v, s in emit(ids, texts)]
             for a in range(0, len(out), 256):
                 yield pa.RecordBatch.from_pylist(out[a : a + 256], _PIECE_TYPE)
             out = None
@@ -138,31 +144,50 @@ def parts_of(keys: np.ndarray, bits: int):
             yield int(part[a]), slice(a, b)
 
 
-def answers(sent: DataFrame, reduce) -> DataFrame:
+def checksum(keys: np.ndarray) -> int:
+    return zlib.crc32(keys.tobytes())
+
+
+def same_reading(keys: np.ndarray, bits: int, sums: dict[int, int]) -> None:
+    """An error unless the sorted keys of a block are those that it has sent."""
+    if {p: checksum(keys[s]) for p, s in parts_of(keys, bits)} != sums:
+        raise ValueError("the input changed between its two readings; store it first")
+
+
+def answers(sent: DataFrame, reduce, tasks: int) -> DataFrame:
     """``reduce(pieces)`` gets all pieces of a key range and yields (block, kind, vals)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        part = rows[0]["part"]
-        out = pa.Table.from_pylist([dict(block=b, part=part, kind=k, vals=v) for b, k, v in reduce(rows)], _ANSWER_TYPE)
+        part, sums = rows[0]["part"], {r["block"]: r["sum"] for r in rows}
+        out = pa.Table.from_pylist([dict(block=b, part=part, kind=k, vals=v, sum=sums.get(b)) for b, k, v in reduce(rows)], _ANSWER_TYPE)
         rows = None
         trim()
         return out
 
-    return sent.groupBy("part").applyInArrow(run, ANSWER)
+    return sent.repartition(tasks, "part").groupBy("part").applyInArrow(run, ANSWER)
+
+
+def by_kind(given: pa.Table) -> dict[int, dict[int, bytes]]:
+    """{kind: {part: vals}} of a block's answers; kind -1: checksums of the keys of kind 0."""
+    by: dict[int, dict] = {-1: {}}
+    for r in given.to_pylist():
+        by.setdefault(r["kind"], {})[r["part"]] = r["vals"]
+        if r["kind"] == 0:
+            by[-1][r["part"]] = r["sum"]
+    return by
 
 
-def together(blocks: DataFrame, answered: DataFrame, work, schema: str) -> DataFrame:
-    """``work(ids, texts, answers)`` gets a block and {kind: {part: vals}}, and returns an Arrow table."""
+def together(blocks: DataFrame, answered: DataFrame, work, schema: str, tasks: int) -> DataFrame:
+    """``work(ids, texts, answers)`` gets a block and its answers (see ``by_kind``), and returns an Arrow table."""
 
     def run(block: pa.Table, given: pa.Table) -> pa.Table:
-        by: dict[int, dict[int, bytes]] = {}
-        for r in given.to_pylist():
-            by.setdefault(r["kind"], {})[r["part"]] = r["vals"]
+        by = by_kind(given)
         (row,) = block.to_pylist()
         out = work(*unpack(row), by)
         row = by = None
         trim()
         return out
 
-    return blocks.groupBy("block").cogroup(answered.where("block >= 0").groupBy("block")).applyInArrow(run, schema)
+    held, given = blocks.repartition(tasks, "block"), answered.where("block >= 0").repartition(tasks, "block")
+    return held.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)

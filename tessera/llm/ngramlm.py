@@ -8,8 +8,9 @@ one end token for each document. With c the counts in the training documents,
 where b is the power of two of the context's count c(u) (b = 0: u is unseen).
 The weights of each bucket b are learned by expectation-maximisation on deleted
 counts: each training bigram is held out once, so its own counts are less by
-one. The events enter EM as a histogram over (b, half octaves of both
-estimates), whose size is fixed, not as rows.
+one. The events enter EM as sums over cells of (b, half octaves of both estimates):
+their number and the sum of each estimate, so a cell stands for its events by their
+means. The number of cells is fixed, whatever the input.
 
 Counts cover all training documents. Words and bigrams are keyed by 64-bit
 hashes. Each block of documents sends its distinct keys once and gets counts
@@ -17,7 +18,10 @@ back (module ``blocks``), so hot words cost no more than rare ones. The counts
 are stored once in the shared scratch folder and used by both passes.
 
 Null and empty texts have the end token only. Without training documents only
-the uniform share is left. Extra columns are ignored.
+the uniform share is left. A text of any length is taken whole and is a block of its
+own if it is longer than one. Rows that repeat a doc_id train and are scored each by
+their own text; a null doc_id trains. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,7 +103,7 @@ def _emit(n: int, rest: int, bits: int):
         count = np.bincount(own.one[use], minlength=len(own.keys)) + np.bincount(own.two[use], minlength=len(own.keys))
         for part, s in B.parts_of(own.keys, bits):
             k = own.keys[s]
-            yield part, len(k), B.planes(np.diff(k, prepend=k[:1] * 0)), B.planes(count[s].astype(np.uint32))
+            yield part, len(k), B.planes(np.diff(k, prepend=k[:1] * 0)), B.planes(count[s].astype(np.uint32)), B.checksum(k)
 
     return emit
 
@@ -122,13 +126,12 @@ def _reduce(rows):
     yield -1, 0, np.array([total[words].sum(), (total[words] > 0).sum()], np.int64).tobytes()
 
 
-def _counts(texts, given):
+def _counts(texts, given, bits: int):
     """The block's keys, and c(u), c(w), c(u w) of each token; c(u) of a first word is None's place holder -1."""
     own = Local(texts)
+    B.same_reading(own.keys, bits, given[-1])
     got = [B.unplanes(given[0][p], np.int64) for p in sorted(given.get(0, {}))]
     total = np.concatenate(got) if got else np.zeros(0, np.int64)
-    if len(total) != len(own.keys):
-        raise ValueError("the input changed between its two readings; store it first")
     cw, cuw = total[own.one], total[own.two]
     cu = np.empty_like(cw)
     cu[1:] = cw[:-1]
@@ -145,17 +148,13 @@ def _step(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.minimum(np.rint(-2 * np.log2(np.maximum(p, 1e-300))).astype(np.int64) + 1, STEPS - 1), 0)
 
 
-def _value(step: np.ndarray) -> np.ndarray:
-    return np.where(step > 0, 2.0 ** (-(step - 1) / 2.0), 0.0)
-
-
 def em(cells: np.ndarray, vocabulary: int, rounds: int = 60) -> np.ndarray:
-    """Weights (l2, l1, l0) for each bucket, from rows (bucket, step2, step1, events)."""
+    """Weights (l2, l1, l0) for each bucket, from rows (bucket, mean p2, mean p1, events)."""
     lam = np.tile([0.4, 0.55, 0.05], (BUCKETS, 1))
     lam[0] = [0.0, 0.9, 0.1]
     if len(cells):
-        b, n = cells[:, 0], cells[:, 3].astype(float)
-        p = np.stack([_value(cells[:, 1]), _value(cells[:, 2]), np.full(len(b), 1.0 / (vocabulary + 1))], 1)
+        b, n = cells[:, 0].astype(np.int64), cells[:, 3]
+        p = np.stack([cells[:, 1], cells[:, 2], np.full(len(b), 1.0 / (vocabulary + 1))], 1)
         for _ in range(rounds):
             share = lam[b] * p
             share *= (n / share.sum(1))[:, None]
@@ -176,36 +175,38 @@ class Model:
         q = F.col(f"`{id_col}`").cast("string")
         self.starts = docs.where(F.coalesce(F.crc32(q) % folds != held_fold, F.lit(True))).count()
         self.packed = B.pack(docs, id_col, text_col)
-        bits = min(B.ranges(docs), 24)
-        self.totals = stored(B.answers(B.pieces(docs, id_col, text_col, _emit(folds, held_fold, bits)), _reduce), "ngrams", "uncompressed")
+        self.bits, self.tasks = B.ranges(docs), B.tasks(docs)
+        sent = B.pieces(docs, id_col, text_col, _emit(folds, held_fold, self.bits))
+        self.totals = stored(B.answers(sent, _reduce, self.tasks), "ngrams", "uncompressed")
         sums = [np.frombuffer(r.vals, np.int64) for r in self.totals.where("block < 0").select("vals").toLocalIterator()]
         self.n, self.v = (int(x) for x in np.sum(sums, 0)) if sums else (0, 0)
         self.weights = em(self._histogram(), self.v)
 
     def _histogram(self) -> np.ndarray:
-        n, starts, folds, held_fold = self.n, self.starts, self.folds, self.held_fold
+        n, starts, folds, held_fold, bits = self.n, self.starts, self.folds, self.held_fold, self.bits
 
         def work(ids, texts, given):
-            own, cu, cw, cuw = _counts(texts, given)
+            own, cu, cw, cuw = _counts(texts, given, bits)
             use = own.mask(np.array([trains(i, folds, held_fold) for i in ids], bool))
             cu = np.where(cu < 0, starts, cu)[use] - 1
             p2 = np.where(cu > 0, (cuw[use] - 1) / np.maximum(cu, 1), 0.0)
             p1 = (cw[use] - 1) / max(n - 1, 1)
             cell = (_bucket(cu) * STEPS + _step(p2)) * STEPS + _step(p1)
-            cells, events = np.unique(cell, return_counts=True)
-            return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(events, pa.int64())})
+            cells, at = np.unique(cell, return_inverse=True)
+            sums = [np.bincount(at, x, len(cells)) for x in (None, p2, p1)]
+            return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(sums[0], pa.int64()), "p2": sums[1].astype(float), "p1": sums[2].astype(float)})
 
         # at most BUCKETS x STEPS x STEPS rows reach the driver, whatever the input
-        rows = B.together(self.packed, self.totals, work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-        c = np.array([[r.cell, r.n] for r in sorted(rows, key=lambda r: r.cell)], np.int64).reshape(-1, 2)
-        return np.stack([c[:, 0] // STEPS // STEPS, c[:, 0] // STEPS % STEPS, c[:, 0] % STEPS, c[:, 1]], 1)
+        rows = B.together(self.packed, self.totals, work, "cell long, n long, p2 double, p1 double", self.tasks)
+        rows = rows.groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("n", "p2", "p1")]).collect()
+        return np.array([[r.cell // STEPS // STEPS, r.p2 / r.n, r.p1 / r.n, r.n] for r in sorted(rows, key=lambda r: r.cell)], float).reshape(-1, 4)
 
     def score(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each document row."""
-        n, v, lam, starts, folds, held_fold = self.n, self.v, self.weights, self.starts, self.folds, self.held_fold
+        n, v, lam, starts, folds, held_fold, bits = self.n, self.v, self.weights, self.starts, self.folds, self.held_fold, self.bits
 
         def work(ids, texts, given):
-            own, cu, cw, cuw = _counts(texts, given)
+            own, cu, cw, cuw = _counts(texts, given, bits)
             cu = np.where(cu < 0, starts, cu)
             b = _bucket(cu)
             p = lam[b, 0] * cuw / np.maximum(cu, 1) + lam[b, 1] * cw / max(n, 1) + lam[b, 2] / (v + 1)
@@ -214,7 +215,7 @@ class Model:
             cols = dict(doc_id=pa.array(ids, pa.int64()), held_out=[i is not None and not trains(i, folds, held_fold) for i in ids], n_tokens=own.sizes, n_known=per((cw > 0).astype(np.int64)), train_tokens=np.full(len(ids), n), base_score=per(base), score=per(np.log10(p)))
             return pa.table(cols)
 
-        return B.together(self.packed, self.totals, work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return B.together(self.packed, self.totals, work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", self.tasks)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -21,9 +21,14 @@ one *passage* of at most 2 * span - GRAM bytes.
 4. The answers (runs of windows with one smallest document) meet the block's
    documents, where windows with a smaller document than their own are marked.
 
-An anchor or passage in a third of all documents is sent once by each block.
-Everything a task holds is bounded by its block or its range of hashes, and
-both are more, not larger, with more input.
+An anchor or passage in a third of all documents is sent once by each block. An
+anchor that occurs more than ``HOT`` times may stand in as many different passages, so
+its passages are cut into runs of ``RUN`` windows, and each run goes where the bytes say
+that its windows share; equal windows have equal runs, and no range holds all of a
+popular anchor. Everything a task holds is bounded by its block or its range of
+hashes, and both are more, not larger, with more input. A text of any length is
+taken whole, in segments that overlap by a window less one byte. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ from . import textkernels as K
 from .runtime import ship, stored
 
 SPAN, GRAM = 50, 16
+#: Occurrences from which an anchor's passages are cut into runs, and windows of a run.
+HOT, RUN = 1 << 14, 5
 LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 22) - 1)
 _VALUES = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -192,23 +199,24 @@ def _segments(texts: list[bytes], most: int = 1 << 20):
 
 
 class Passages:
-    """Anchors of a block, in document order: hash, row, first byte in the row, passage bytes."""
+    """Anchors of a block, in document order: hash, row, first byte in the row, passage bytes, place of the anchor in them."""
 
     def __init__(self, texts: list[bytes]):
-        hashes, rows, firsts, lens, starts, raws = [], [], [], [], [], []
+        hashes, rows, firsts, lens, starts, raws, grams = [], [], [], [], [], [], []
         group: list[tuple[int, int, bytes]] = []
         held = base = 0
 
         def close():
             nonlocal base
             raw = b"".join(s[2] for s in group)
-            h, first, n = _anchors(raw, np.array([len(s[2]) for s in group], np.int64))
+            h, first, n, gram = _anchors(raw, np.array([len(s[2]) for s in group], np.int64))
             edges = np.cumsum([0] + [len(s[2]) for s in group])
             seg = np.searchsorted(edges, first, "right") - 1
             hashes.append(h)
             rows.append(np.array([s[0] for s in group], np.int64)[seg])
             firsts.append(first - edges[seg] + np.array([s[1] for s in group], np.int64)[seg])
             lens.append(n)
+            grams.append(gram)
             starts.append(first + base)
             raws.append(raw)
             base += len(raw)
@@ -224,6 +232,7 @@ class Passages:
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         self.hash, self.row, self.first = cat(hashes, np.uint64), cat(rows, np.int64), cat(firsts, np.int64)
         self.len, self.at, self.raw = cat(lens, np.int64), cat(starts, np.int64), b"".join(raws)
+        self.gram = cat(grams, np.int64)
 
     def keys(self):
         """Distinct hashes, sorted, and for each anchor the number of its hash."""
@@ -234,14 +243,36 @@ class Passages:
         place[order] = np.cumsum(new) - 1
         return ranked[new], place
 
-    def distinct(self, use: np.ndarray, docs: np.ndarray, bits: int):
-        """Passages of the anchors in ``use``: for each range its distinct passages and their smallest doc, and for each anchor (range, number)."""
-        part = (self.hash[use] >> np.uint64(64 - bits)).astype(np.int64)
+    def sent(self, use: np.ndarray, hot: np.ndarray):
+        """What the anchors in ``use`` send: hash, place in the bytes, length, row, first byte in the row.
+
+        A passage; or, where ``hot``, its runs of windows that start at equal distances
+        from the anchor, each under the hash of the bytes that all its windows hold.
+        """
+        cold = use[~hot]
+        out = [[self.hash[cold], self.at[cold], self.len[cold], self.row[cold], self.first[cold]]]
+        own = use[hot]
+        for j in range(-(-(SPAN - GRAM + 1) // RUN)) if len(own) else ():
+            start = self.gram[own] - (SPAN - GRAM) + RUN * j
+            low, high = np.maximum(start, 0), np.minimum(start + RUN - 1, self.len[own] - SPAN)
+            k = np.flatnonzero(low <= high)
+            some, low, high = own[k], low[k], high[k]
+            # RUN windows of SPAN bytes share SPAN - RUN + 1 of them
+            shared = self.at[some] + start[k] + RUN - 1
+            held = np.frombuffer(self.raw, np.uint8)[shared[:, None] + np.arange(SPAN - RUN + 1)]
+            mixed = (_VALUES[held] * K.powers(_BASE, SPAN - RUN + 1)).sum(1, dtype=np.uint64)
+            out.append([K.mix(K.mix(mixed) + self.hash[some] * _AGAIN + np.uint64(j)), self.at[some] + low, high - low + SPAN, self.row[some], self.first[some] + low])
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    def distinct(self, sent, docs: np.ndarray, bits: int):
+        """Of what is ``sent``: for each range its distinct passages and their smallest doc, and for each one (range, number)."""
+        hashes, at, size, rows, _ = sent
+        part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
         by: dict[int, dict[bytes, int]] = {}
         low: dict[int, list[int]] = {}
-        number = np.empty(len(use), np.int64)
+        number = np.empty(len(at), np.int64)
         raw = self.raw
-        for k, (p, a, n, d) in enumerate(zip(part.tolist(), self.at[use].tolist(), self.len[use].tolist(), docs[self.row[use]].tolist(), strict=True)):
+        for k, (p, a, n, d) in enumerate(zip(part.tolist(), at.tolist(), size.tolist(), docs[rows].tolist(), strict=True)):
             own = by.get(p)
             if own is None:
                 own, low[p] = by.setdefault(p, {}), []
@@ -256,10 +287,10 @@ class Passages:
 
 
 def _anchors(raw: bytes, lens: np.ndarray):
-    """Hash, first byte and length of the passage of each anchor of segments that stand one after another."""
+    """Hash, first byte and length of the passage, and place of the anchor in it, of each anchor of segments that stand one after another."""
     buf = np.frombuffer(raw, np.uint8)
     if len(buf) < SPAN:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     h, width = _VALUES[buf], 1
     while width < GRAM:
         h = h[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + h[width:]
@@ -278,7 +309,7 @@ def _anchors(raw: bytes, lens: np.ndarray):
     first = at[new]
     last = at[np.append(new[1:], len(at)) - 1] if len(at) else first
     # the chosen hashes are small ones; mixed again they spread over all ranges
-    return K.mix(h[own[new]] ^ _AGAIN), first, last - first + SPAN
+    return K.mix(h[own[new]] ^ _AGAIN), first, last - first + SPAN, own[new] - first
 
 
 def _docs(ids) -> np.ndarray:
@@ -295,50 +326,62 @@ def _send_anchors(bits: int):
         first = np.searchsorted(place[by], np.arange(len(keys)))
         d = docs[own.row][by]
         several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+        times = np.minimum(np.diff(np.append(first, len(by))), 65_535).astype(np.uint16)
         for part, s in B.parts_of(keys, bits):
             k = keys[s]
-            yield part, len(k), B.planes(np.diff(k, prepend=k[:1] * 0)), B.squeeze(np.packbits(several[s]))
+            vals = np.packbits(several[s]).tobytes() + times[s].tobytes()
+            yield part, len(k), B.planes(np.diff(k, prepend=k[:1] * 0)), B.squeeze(vals), B.checksum(k)
 
     return emit
 
 
-def _rule_out(rows):
-    keys = np.concatenate([np.cumsum(B.unplanes(r["keys"], np.uint64), dtype=np.uint64) for r in rows])
-    several = np.concatenate([np.unpackbits(np.frombuffer(B.unsqueeze(r["vals"]), np.uint8), count=r["n"]) for r in rows])
-    order = np.argsort(keys)
-    ranked = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    size = np.diff(np.append(first, len(keys)))
-    repeated = (size > 1) | (np.maximum.reduceat(several[order], first) > 0)
-    back = np.empty(len(keys), bool)
-    back[order] = np.repeat(repeated, size)
-    at = 0
-    for r in rows:
-        yield r["block"], 0, B.squeeze(np.int32(r["n"]).tobytes() + np.packbits(back[at : at + r["n"]]).tobytes())
-        at += r["n"]
-
-
-def _repeated(own: Passages, given) -> np.ndarray:
-    """Numbers of the anchors that other documents may hold too."""
+def _rule_out(most: int):
+    """For each anchor of each piece: whether documents may share it, and whether it occurs more than ``most`` times."""
+
+    def reduce(rows):
+        keys = np.concatenate([np.cumsum(B.unplanes(r["keys"], np.uint64), dtype=np.uint64) for r in rows])
+        several, times = [], []
+        for r in rows:
+            raw, n = B.unsqueeze(r["vals"]), r["n"]
+            several.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8)), count=n))
+            times.append(np.frombuffer(raw, np.uint16, n, -(-n // 8)))
+        order = np.argsort(keys)
+        ranked = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        size = np.diff(np.append(first, len(keys)))
+        repeated = (size > 1) | (np.maximum.reduceat(np.concatenate(several)[order], first) > 0)
+        hot = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), first) > most
+        back = np.empty((2, len(keys)), bool)
+        back[0, order], back[1, order] = np.repeat(repeated, size), np.repeat(hot, size)
+        at = 0
+        for r in rows:
+            yield r["block"], 0, B.squeeze(np.int32(r["n"]).tobytes() + np.packbits(back[:, at : at + r["n"]], axis=1).tobytes())
+            at += r["n"]
+
+    return reduce
+
+
+def _repeated(own: Passages, given, bits: int):
+    """What the anchors that other documents may hold too send (see ``Passages.sent``)."""
     keys, place = own.keys()
-    bits = []
+    B.same_reading(keys, bits, given[-1])
+    flags = []
     for p in sorted(given.get(0, {})):
         raw = B.unsqueeze(given[0][p])
-        bits.append(np.unpackbits(np.frombuffer(raw[4:], np.uint8), count=int(np.frombuffer(raw[:4], np.int32)[0])))
-    mask = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
-    if len(mask) != len(keys):
-        raise ValueError("the input changed between its two readings; store it first")
-    return np.flatnonzero(mask[place])
+        flags.append(np.unpackbits(np.frombuffer(raw[4:], np.uint8).reshape(2, -1), axis=1, count=int(np.frombuffer(raw[:4], np.int32)[0])))
+    mask, hot = np.concatenate(flags, axis=1).astype(bool) if flags else np.zeros((2, 0), bool)
+    use = np.flatnonzero(mask[place])
+    return own.sent(use, hot[place][use])
 
 
 #: Bits of the finer ranges inside a range: an index each, small enough for a core's cache.
 FINE = 3
 
 
-def _send_passages(bits: int):
+def _send_passages(bits: int, anchor_bits: int):
     def work(ids, texts, given):
         own = Passages(texts)
-        by, low, _, _ = own.distinct(_repeated(own, given), _docs(ids), bits + FINE)
+        by, low, _, _ = own.distinct(_repeated(own, given, anchor_bits), _docs(ids), bits + FINE)
         rows = []
         for part in sorted({p >> FINE for p in by}):
             fine = range(part << FINE, part + 1 << FINE)
@@ -346,8 +389,8 @@ def _send_passages(bits: int):
             lens = np.fromiter((len(x) for p in fine for x in by.get(p, ())), np.uint8, int(counts.sum()))
             data = b"".join(x for p in fine for x in by.get(p, ()))
             docs = np.array([d for p in fine for d in low.get(p, ())], np.int64)
-            rows.append(dict(part=part, n=len(lens), keys=B.squeeze(counts.tobytes() + lens.tobytes() + data), vals=B.planes(docs)))
-        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())]))
+            rows.append(dict(part=part, n=len(lens), keys=B.squeeze(counts.tobytes() + lens.tobytes() + data), vals=B.planes(docs), sum=0))
+        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary()), ("sum", pa.int64())]))
 
     return work
 
@@ -409,11 +452,12 @@ def _least(index: RunLengthIndex, docs: np.ndarray):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _mark(bits: int, keep_text: bool):
+def _mark(bits: int, anchor_bits: int, keep_text: bool):
     def work(ids, texts, given):
         own, docs = Passages(texts), _docs(ids)
-        use = _repeated(own, given)
-        by, _, part, number = own.distinct(use, docs, bits + FINE)
+        sent = _repeated(own, given, anchor_bits)
+        rows, firsts = sent[3:]
+        by, _, part, number = own.distinct(sent, docs, bits + FINE)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         base = np.cumsum(lens) - lens
         edge = np.zeros(int(lens.sum()) + 1, np.int32)
@@ -432,8 +476,8 @@ def _mark(bits: int, keep_text: bool):
             offset = np.cumsum(size) - size
             i = number[k]
             take = np.repeat(start[i] - (np.cumsum(runs[i]) - runs[i]), runs[i]) + np.arange(int(runs[i].sum()))
-            row = np.repeat(own.row[use[k]], runs[i])
-            first = np.repeat(base[own.row[use[k]]] + own.first[use[k]] - offset[start[i]], runs[i]) + offset[take]
+            row = np.repeat(rows[k], runs[i])
+            first = np.repeat(base[rows[k]] + firsts[k] - offset[start[i]], runs[i]) + offset[take]
             hit = value[take] < docs[row]
             np.add.at(edge, first[hit], 1)
             np.add.at(edge, first[hit] + size[take][hit] - 1 + SPAN, -1)
@@ -457,27 +501,28 @@ def _mark(bits: int, keep_text: bool):
     return work
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot: int = HOT) -> DataFrame:
     """RESULT and, with ``keep_text``, the remaining bytes (``kept``); one row for each document row."""
     ship(docs.sparkSession)
-    packed = B.pack(docs, id_col, text_col)
-    ruled = stored(B.answers(B.pieces(docs, id_col, text_col, _send_anchors(min(B.ranges(docs), 24))), _rule_out), "anchors", "uncompressed")
+    packed, tasks, anchor_bits = B.pack(docs, id_col, text_col), B.tasks(docs), B.ranges(docs)
+    ruled = stored(B.answers(B.pieces(docs, id_col, text_col, _send_anchors(anchor_bits)), _rule_out(hot), tasks), "anchors", "uncompressed")
     # an index takes some hundred bytes for each byte of its passages, so its ranges are smaller
-    bits = min(B.ranges(docs, 16), 24)
+    bits = B.ranges(docs, 16)
 
-    passages = packed.groupBy("block").cogroup(ruled.groupBy("block"))
-    send = _send_passages(bits)
+    held = packed.repartition(tasks, "block")
+    passages = held.groupBy("block").cogroup(ruled.repartition(tasks, "block").groupBy("block"))
+    send = _send_passages(bits, anchor_bits)
 
     def run(block: pa.Table, given: pa.Table) -> pa.Table:
         (row,) = block.to_pylist()
-        got = send(*B.unpack(row), {0: {r["part"]: r["vals"] for r in given.to_pylist()}})
+        got = send(*B.unpack(row), B.by_kind(given))
         got = got.add_column(1, "block", pa.array([row["block"]] * len(got), pa.int64()))
         B.trim()
         return got
 
-    found = B.answers(passages.applyInArrow(run, B.PIECE), _index)
+    found = B.answers(passages.applyInArrow(run, B.PIECE), _index, tasks)
     schema = RESULT + (", kept binary" if keep_text else "")
-    return B.together(packed, ruled.unionByName(found), _mark(bits, keep_text), schema)
+    return B.together(packed, ruled.unionByName(found), _mark(bits, anchor_bits, keep_text), schema, tasks)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

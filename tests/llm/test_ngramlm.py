@@ -77,8 +77,43 @@ def test_em_finds_the_weights_that_made_the_events():
     for _ in range(40_000):
         k = r.choice(3, p=true)
         # an event is likelier under the source that made it
-        s2, s1 = (3, 21) if k == 0 else (0, 5) if k == 1 else (0, 0)
-        cells[5, s2, s1] += 1
-    rows = np.array([[*c, n] for c, n in cells.items()])
+        p2, p1 = (0.5, 2**-10) if k == 0 else (0.0, 0.25) if k == 1 else (0.0, 0.0)
+        cells[5, p2, p1] += 1
+    rows = np.array([[*c, n] for c, n in cells.items()], float)
     lam = L.em(rows, 1000)[5]
     assert abs(lam[0] - 0.7) < 0.02 and abs(lam[1] - 0.25) < 0.02
+
+
+def test_weights_are_those_of_em_over_single_events(spark):
+    """EM by definition: every training bigram is an event, without its own count."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if not held(r.doc_id)]
+    uni, bi = Counter(), Counter()
+    for _, t in docs:
+        w = toks(t)
+        uni.update(w), bi.update(zip(["<s>", *w[:-1]], w, strict=True))
+    n, v, events = sum(uni.values()), len(uni), []
+    for (u, w), c in bi.items():
+        cu = (len(docs) if u == "<s>" else uni[u]) - 1
+        events.append((int(math.log2(cu)) + 1 if cu else 0, (c - 1) / cu if cu else 0.0, (uni[w] - 1) / (n - 1), 1 / (v + 1), c))
+    e = np.array(events)
+    lam = np.tile([0.4, 0.55, 0.05], (L.BUCKETS, 1))
+    lam[0] = [0.0, 0.9, 0.1]
+    b, p, many = e[:, 0].astype(int), e[:, 1:4], e[:, 4]
+    for _ in range(60):
+        share = lam[b] * p
+        share *= (many / share.sum(1))[:, None]
+        new = np.stack([np.bincount(b, share[:, k], L.BUCKETS) for k in range(3)], 1)
+        seen = new.sum(1) > 0
+        lam[seen] = new[seen] / new[seen].sum(1, keepdims=True)
+        lam[:, 2] = np.maximum(lam[:, 2], 1e-6)
+        lam /= lam.sum(1, keepdims=True)
+    got = L.Model(spark.read.parquet(f"{sf}/documents.parquet")).weights
+    often = np.bincount(b, many, L.BUCKETS) > 100
+    assert often.sum() > 5 and np.abs(got[often] - lam[often]).max() < 0.01
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    docs = [(1, "a b c"), (1, "c b"), (2, "a b"), (None, "a b c"), (None, None)]
+    m = L.Model(spark.createDataFrame(docs, "doc_id long, text string"))
+    compare([tuple(r) for r in m.score().collect()], brute(docs, m.weights))

@@ -93,3 +93,40 @@ def test_odd_rows_and_empty_table(spark, odd_docs, write_sf, tmp_path):
     assert sorted(map(tuple, R.op1(spark, write_sf(documents=odd_docs)).collect()), key=str) == brute(docs)
     odd_docs.limit(0).write.parquet(str(tmp_path / "e/documents.parquet"))
     assert R.op1(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_popular_anchors_are_cut_into_runs_of_windows(spark, tmp_path):
+    """Every anchor counts as popular; and one gram stands in many contexts that share its windows in part."""
+    docs = make(4)
+    r = random.Random(9)
+    gram = "common anchor of all texts"
+    tails = ["".join(r.choice("abc") for _ in range(30)) for _ in range(12)]
+    docs += [(20_000 + i, r.choice(tails)[r.randint(0, 9) :] + gram + r.choice(tails) + str(i)) for i in range(150)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    for hot in (0, 5, 60):
+        got = R.dedup_substrings(spark.read.parquet(str(tmp_path / "d")), hot=hot, keep_text=False).collect()
+        assert sorted(map(tuple, got), key=str) == brute(docs), hot
+
+
+def test_runs_cover_every_window_once():
+    r = random.Random(2)
+    own = R.Passages([bytes(r.choice(b"abcdefgh ") for _ in range(4000)) for _ in range(3)])
+    use = np.arange(len(own.hash))
+    for hot in (np.zeros(len(use), bool), np.ones(len(use), bool), use % 2 == 0):
+        _, at, size, rows, first = own.sent(use, hot)
+        windows = sorted((int(d), int(f) + k) for f, n, d in zip(first, size, rows, strict=True) for k in range(n - R.SPAN + 1))
+        assert windows == [(d, s) for d in range(3) for s in range(4000 - R.SPAN + 1)]
+        assert all(own.raw[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True))
+
+
+def test_a_changed_second_reading_is_an_error():
+    import pytest
+
+    from tessera.llm import blocks as B
+
+    own = R.Passages([b"x" * 10 + bytes(range(97, 123)) * 5])
+    keys, _ = own.keys()
+    sums = {p: B.checksum(keys[s]) for p, s in B.parts_of(keys, 4)}
+    B.same_reading(keys, 4, sums)
+    with pytest.raises(ValueError, match="changed"):
+        B.same_reading(keys + np.uint64(1), 4, sums)
