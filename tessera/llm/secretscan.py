@@ -3,7 +3,8 @@
 Three patterns give the base spans. Beside them, every value that stands in a
 credential context (a key word, a separator, a value) is segmented at minimum
 cost by dynamic programming: a segment is a common word (also with letter
-substitutions), a date, a repeat, a keyboard walk, a sequence or brute force,
+substitutions), a date, a repeat, a walk over neighbouring keys with few turns, a
+sequence or brute force,
 and costs the guesses an attacker needs for it; k segments cost their product
 times k!. A value whose cost is at least ``2 ** min_bits`` guesses is a secret
 and adds a span ``guess`` over the value; base spans always stay.
@@ -18,8 +19,12 @@ Null and empty texts have no spans. A value is costed whole
 whatever its length: repeats, sequences and walks are runs as long as they go, and
 the number of segments is free. Only what cannot bring a value below ``min_bits`` is
 left out: k segments when k! alone is as many guesses, and repeats of a unit whose
-letters alone cost as much. So time is linear in the value. Extra columns are ignored. The counts of words
-are the only shuffle; the vocabulary is broadcast.
+letters alone cost as much. So time is linear in the value. Texts of any length are
+scanned whole. Overlapping spans all stay and are redacted as one run; equal starts are
+ordered by kind. Rows that repeat a doc_id are scanned each by its own text, and equal
+texts have equal spans. An empty table gives no rows. Extra columns are ignored,
+whatever their names. The counts of words are the only shuffle; the vocabulary is
+broadcast.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +82,31 @@ class Ranks(dict):
 
 RANK = Ranks(WORDS)
 LEET = str.maketrans("4@831!0$57", "aabeiiosst")
-ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qaz", "wsx", "edc", "rfv", "tgb", "yhn", "ujm")
-WALKS = ROWS + tuple(r[::-1] for r in ROWS)
+# Rows of keys, and how far each row is shifted, in quarters of a key.
+KEYS = (("1234567890-=", 0), ("qwertyuiop[]", 2), ("asdfghjkl;'", 3), ("zxcvbnm,./", 5))
+SHIFTED = str.maketrans("!@#$%^&*()_+{}:\"<>?", "1234567890-=[];',./")
+
+
+def _keyboard() -> dict[str, dict[str, tuple[int, int]]]:
+    """For each key its neighbours (at most a key off, also in the next row) with the direction to them."""
+    place = {k: (4 * i + shift, 4 * row) for row, (keys, shift) in enumerate(KEYS) for i, k in enumerate(keys)}
+    near = lambda a, b: abs(a[1] - b[1]) <= 4 and abs(a[0] - b[0]) <= (4 if a[1] == b[1] else 3)
+    sign = lambda x: (x > 0) - (x < 0)
+    return {a: {b: (sign(q[0] - p[0]), sign(q[1] - p[1])) for b, q in place.items() if a != b and near(p, q)} for a, p in place.items()}
+
+
+NEAR = _keyboard()
+DEGREE = sum(map(len, NEAR.values())) / len(NEAR)
+
+
+@cache
+def walk_bits(length: int, turns: int) -> float:
+    """log2 of half the walks of up to ``length`` keys and ``turns`` straight stretches: half the keys times the sum over t of (C(length, t) - 1) DEGREE**t."""
+    terms = [math.log2(math.comb(length, t) - 1) + t * math.log2(DEGREE) for t in range(1, min(turns, length - 1) + 1)]
+    high = max(terms)
+    return math.log2(len(NEAR) / 2) + high + math.log2(math.fsum(2.0 ** (x - high) for x in terms))
+
+
 #: Segments of a value: as many as are cheapest.
 MOST_SEGMENTS = math.inf
 DATE = re.compile(r"(?:\d{4}([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
@@ -108,10 +137,26 @@ def _repeats(value: str, enough: float):
             yield i, i + int(times[i]) * unit, unit
 
 
+def _walks(keys: str, i: int, enough: float):
+    """Walks over neighbouring keys that begin here, to the end of each straight stretch of three keys or more in all."""
+    j, turns, way = i + 1, 0, None
+    while j < len(keys) and (step := NEAR.get(keys[j - 1], {}).get(keys[j])) is not None:
+        if step != way:
+            if j - i >= 3:
+                yield i, j, walk_bits(j - i, turns), "walk"
+            turns, way = turns + 1, step
+            if turns * math.log2(DEGREE) >= enough:  # more only cost more
+                return
+        j += 1
+    if j - i >= 3:
+        yield i, j, walk_bits(j - i, turns), "walk"
+
+
 def segments(value: str, ranks: Ranks = RANK, enough: float = math.inf):
     """(start, end, log2 guesses, kind) of every segment that is cheaper than brute force may be, and than ``enough``."""
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
+    keys = low.translate(SHIFTED)
     for i, j, unit in _repeats(value, enough):
         if unit > 1:
             yield i, j, unit * math.log2(_space(value[i : i + unit])) + math.log2((j - i) // unit), "repeat"
@@ -131,13 +176,7 @@ def segments(value: str, ranks: Ranks = RANK, enough: float = math.inf):
                 j += 1
             if j - i >= 3:
                 yield i, j, math.log2(4 * (j - i) * (10 if value[i].isdigit() else 26)), "sequence"
-        for row in WALKS:
-            if (at := row.find(low[i])) >= 0:
-                j = i + 1
-                while j < n and at + j - i < len(row) and low[j] == row[at + j - i]:
-                    j += 1
-                if j - i >= 3:
-                    yield i, j, math.log2(len(WALKS) * 10 * (j - i)), "walk"
+        yield from _walks(keys, i, enough)
 
 
 def guess_bits(value: str, ranks: Ranks = RANK, enough: float = math.inf) -> float:

@@ -29,7 +29,7 @@ def odd_docs(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F
 
-    return df.withColumns({"score": F.lit("x"), "spans": F.lit(1), "n_words": F.lit(None).cast("int"), "c": F.lit(2), "r": F.lit("r"), "row": F.lit(0)})
+    return df.withColumns({"score": F.lit("x"), "spans": F.lit(1), "n_words": F.lit(None).cast("int"), "c": F.lit(2), "r": F.lit("r"), "row": F.lit(0), "__redacted": F.lit("x"), "id": F.lit(1), "digest": F.lit("d"), "r.redacted": F.lit("dot")})
 
 
 @pytest.fixture

@@ -107,3 +107,62 @@ def test_more_than_a_dozen_segments_are_tried():
     import math
 
     assert S.guess_bits(thirteen) <= sum(map(math.log2, ranks)) + math.log2(math.factorial(13)) + 1e-9
+
+
+def test_walks_follow_neighbouring_keys():
+    import math
+
+    assert all(a in S.NEAR[b] for a in S.NEAR for b in S.NEAR[a]) and set(S.NEAR["w"]) == set("qe23as")
+    for weak in ("qwertyuiop", "zaq12wsx", "!QAZ@WSX", "asdfghjkl;'", "1qaz2wsx3edc"):
+        assert S.guess_bits(weak) < 40, weak
+    brute = lambda n, t: sum(math.comb(m - 1, k - 1) * len(S.NEAR) * S.DEGREE**k for m in range(2, n + 1) for k in range(1, min(t, m - 1) + 1)) / 2
+    for n in range(3, 12):
+        for t in range(1, n):
+            assert abs(S.walk_bits(n, t) - math.log2(brute(n, t))) < 1e-9
+    long = "qwertyuioplkjhgfdsazxcvbnm" * 4_000  # one walk all along, and a repeat
+    assert S.guess_bits(long, enough=40.0) >= 12
+
+
+def test_query_on_whole_texts(spark, write_sf):
+    """Every span of every document, from the plain patterns and a segmentation of each value by itself."""
+    r, given = random.Random(12), spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    value = lambda: "".join(r.choice("abcdefXYZ0189!+/_") for _ in range(r.randint(3, 30)))
+    line = lambda: r.choice(["password: ", "api_key=", "pwd: '", "Secret = ", "token:", ""]) + r.choice([value(), value(), "qwerty123", "deadbeef" * 3, "AKIA" + "X9" * 8, "document"]) + r.choice(["", "'", " "])
+    rows = [(x.doc_id, (x.text or "") + "".join("\n" + line() for _ in range(r.randint(0, 3)))) for x in given]
+    sf = write_sf(documents=spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ranks, texts = S.vocabulary(docs), {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in S.op10(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    order, plain = {k: i for i, k in enumerate(S.KINDS)}, re.compile(S.CONTEXT.pattern)
+    found = 0
+    for i, t in texts.items():
+        base = brute(t)
+        spans = [tuple(x.split(":")) for x in base]
+        for m in plain.finditer(t):
+            a, b = next(m.span(g) for g in (1, 2, 3) if m[g] is not None)
+            if least_bits(t[a:b], ranks) >= 40.0:
+                spans.append(("guess", str(a), str(b)))
+        spans.sort(key=lambda x: (int(x[1]), order[x[0]]))
+        found += len(spans) > len(base)
+        assert got[i].spans == ",".join(":".join(x) for x in spans)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x.startswith(k) for x in base) for k in ("assign:", "access:", "hex:"))
+    assert 10 < found < len(texts)
+
+
+def least_bits(value, ranks):
+    """Least over all numbers of segments, place by place, without any bound."""
+    import math
+
+    n, per, by = len(value), math.log2(S._space(value)), {}
+    for a, b, bits, _ in S.segments(value, ranks):
+        by.setdefault(b, []).append((a, bits))
+    rows, best = [[0.0] + [math.inf] * n], math.inf
+    for k in range(1, n + 1):
+        row = [math.inf] * (n + 1)
+        for j in range(1, n + 1):
+            row[j] = min([rows[-1][i] + (j - i) * per for i in range(j)] + [rows[-1][a] + bits for a, bits in by.get(j, ())])
+        rows.append(row)
+        best = min(best, row[n] + math.log2(math.factorial(k)))
+    return best
