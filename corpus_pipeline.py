@@ -17,45 +17,71 @@ from tessera.llm.runtime import stored
 LEAST_SCORE = 0.05
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _all(docs: DataFrame) -> list:
+    return [F.col(_quoted(c)) for c in docs.columns]
+
+
 def _checked(ids: DataFrame) -> DataFrame:
     """A hint to broadcast ids, if there are few enough; else they are joined by shuffle."""
     return F.broadcast(ids) if ids.count() <= neardup.MOST_BROADCAST else ids
 
 
 def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without an identifiable language (null, no letter, or no likeness to any profile)."""
+    """Drop documents without an identifiable language (null, no letter, or no likeness to any profile).
+
+    A document is judged by its whole text alone, so rows that repeat an id or a text are judged alike; ties
+    between languages keep it. Without any profile nothing is identifiable; an empty table gives no rows.
+    """
     out = langid.identify(docs, langid.learn(docs), carry=docs.columns)
     return out.where((F.col("r.lang_pred") != "und") & (F.col("r.score") >= LEAST_SCORE)).select("c.*")
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest doc_id of each group (5-word shingles, similarity 0.8); a null doc_id is in no group."""
+    """Keep the document of smallest doc_id of each group (5-word shingles, similarity 0.8).
+
+    Null, empty and word-free texts and null ids are in no group and stay. A doc_id stands for one document: rows
+    that repeat it stay or go together, and of those that stay one is kept, the least in the order of their JSON.
+    """
     members = stored(neardup.NearDuplicates(docs).members().where("doc_id is not null"), "members")
     gone = members.where(~F.col("kept")).select("doc_id").distinct()
     out = docs.join(_checked(gone), "doc_id", "left_anti")
     twice = members.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
-        return out.select(docs.columns)
+        return out.select(*_all(docs))
     twice = _checked(twice)  # rows that repeat a kept doc_id
-    once = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(twice, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    row = F.struct(*_all(docs))
+    once = out.join(twice, "doc_id", "left_semi").select("doc_id", row.alias("c"), F.to_json(row).alias("j"))
+    once = once.groupBy("doc_id").agg(F.min_by("c", "j").alias("c")).select("c.*")
+    return out.join(twice, "doc_id", "left_anti").unionByName(once).select(*_all(docs))
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more is benchmark text."""
+    """Drop documents of which a twentieth or more is benchmark text.
+
+    Null, empty and word-free texts stay; rows that repeat an id or a text are judged each by its own text, whole;
+    an empty benchmark drops nothing.
+    """
     out = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
     return out.where(~F.col("r.contaminated")).select("c.*")
 
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in texts; every document stays."""
-    out = secretscan.scan(docs, carry=docs.columns, redact="[SECRET]").select("c.*", F.col("r.redacted").alias("__redacted"))
-    cols = {"text": F.col("__redacted"), "n_chars": F.coalesce(F.char_length("__redacted").cast("long"), F.col("n_chars"))}
-    return out.select(*[cols.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    """Replace secrets in texts, overlapping ones as one, and count characters anew; every document stays.
+
+    Null texts stay null and keep n_chars. Rows that repeat an id are redacted each by its own text.
+    """
+    out = secretscan.scan(docs, carry=docs.columns, redact="[SECRET]")
+    size = F.char_length("r.redacted").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    cols = {"text": F.col("r.redacted")} | ({} if size is None else {"n_chars": F.coalesce(size, F.col("c.n_chars"))})
+    return out.select(*[cols.get(c, F.col("c." + _quoted(c))).alias(c) for c in docs.columns])
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, decoded again as a check value."""
+    """Token ids of each document, decoded again as a check value; null texts have no ids. A row for each row."""
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
