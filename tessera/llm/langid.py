@@ -8,7 +8,9 @@ the profile lacks. The least distance wins, ties by name.
 
 Texts without a letter, and null, are ``und`` with score 0; so is every text
 if nothing was learned. The score is 1 minus the distance over the largest
-possible one. Equal rows get equal results; extra columns are ignored.
+possible one. Texts of any length are ranked whole. Equal texts get equal results,
+also under one doc_id; an empty table gives no rows and teaches nothing. Extra columns
+are ignored, whatever their names.
 
 Plan: learning is one scan that sums n-gram counts for each language within a
 batch, one shuffle of (language, n-gram) sums, and ``top`` rows for each

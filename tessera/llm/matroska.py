@@ -7,8 +7,10 @@ file. The writer stores 8-bit PCM: a file of one track whose frames hold
 ``FRAME`` samples, several frames to a laced block, and a cue for each cluster.
 
 Nulls count as empty; an empty text stores one frame of padding. Equal texts
-give equal files: nothing of the row but its text is written. Extra columns are
-ignored. No shuffle; memory is that of one file.
+give equal files: nothing of the row but its text is written, so rows that repeat an id
+or a text differ in nothing else. A text of any length is one file, whole; memory is
+that of one file and its packet table. There are no ties. Extra columns are ignored,
+whatever their names, and an empty table gives no rows. No shuffle.
 """
 
 from __future__ import annotations
@@ -193,64 +195,107 @@ def _block(data: bytes, a: int, b: int, cluster_time: int, key: bool | None, med
         p += size
 
 
-def read(data: bytes) -> Media:
-    """The packet table of a file; Malformed if it breaks the format."""
-    media, seen = Media(), []
+def _track(data: bytes, a: int, b: int) -> dict:
+    t: dict = {}
+    for u, v, w, _ in _children(data, a, b):
+        if u in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION):
+            t[{TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "default_duration"}[u]] = _uint(data, v, w)
+        elif u == CODEC_ID:
+            t["codec"] = data[v:w].rstrip(b"\0").decode()
+        elif u == AUDIO:
+            for k, p, q, _ in _children(data, v, w):
+                if k == SAMPLING:
+                    t["rate"] = struct.unpack(">d" if q - p == 8 else ">f", data[p:q])[0]
+                elif k in (CHANNELS, BIT_DEPTH):
+                    t["channels" if k == CHANNELS else "bits"] = _uint(data, p, q)
+    return t
+
+
+def _cluster(data: bytes, a: int, b: int, at: int, media: Media) -> None:
+    """Packets of a cluster that begins at place ``at`` of its segment."""
+    time = 0
+    for x, y, z, _ in _children(data, a, b):
+        if x == TIMESTAMP:
+            time = _uint(data, y, z)
+            media.clusters[at] = time
+        elif x == SIMPLE_BLOCK:
+            _block(data, y, z, time, None, media)
+        elif x == BLOCK_GROUP:
+            kids = list(_children(data, y, z))
+            refs = any(u == 0xFB for u, *_ in kids)
+            for u, v, w, _ in kids:
+                if u == BLOCK:
+                    _block(data, v, w, time, not refs, media)
+
+
+def _head(data: bytes, kid: int, a: int, b: int, media: Media) -> None:
+    """Anything of a segment but its clusters."""
+    if kid == INFO:
+        for x, y, z, _ in _children(data, a, b):
+            if x == TIMESTAMP_SCALE:
+                media.scale = _uint(data, y, z)
+    elif kid == TRACKS:
+        for x, y, z, _ in _children(data, a, b):
+            if x == TRACK_ENTRY:
+                t = _track(data, y, z)
+                media.tracks[t.get("number", 0)] = t
+    elif kid == CUES:
+        for x, y, z, _ in _children(data, a, b):
+            if x == CUE_POINT:
+                time, where = 0, []
+                for u, v, w, _ in _children(data, y, z):
+                    if u == CUE_TIME:
+                        time = _uint(data, v, w)
+                    elif u == CUE_POSITIONS:
+                        d = {k: _uint(data, l, m) for k, l, m, _ in _children(data, v, w)}
+                        where.append((d.get(CUE_TRACK, 0), d.get(CUE_CLUSTER, -1)))
+                media.cues += [(time, t, c) for t, c in where]
+
+
+def _segments(data: bytes):
+    """First and end byte of each segment; Malformed if the file has no head or none."""
+    seen = []
     for ident, a, b, _ in _children(data, 0, len(data)):
         seen.append(ident)
-        if ident != SEGMENT:
-            continue
-        for kid, p, q, at in _children(data, a, b):
-            if kid == INFO:
-                for x, y, z, _ in _children(data, p, q):
-                    if x == TIMESTAMP_SCALE:
-                        media.scale = _uint(data, y, z)
-            elif kid == TRACKS:
-                for x, y, z, _ in _children(data, p, q):
-                    if x == TRACK_ENTRY:
-                        t: dict = {}
-                        for u, v, w, _ in _children(data, y, z):
-                            if u in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION):
-                                t[{TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "default_duration"}[u]] = _uint(data, v, w)
-                            elif u == CODEC_ID:
-                                t["codec"] = data[v:w].rstrip(b"\0").decode()
-                            elif u == AUDIO:
-                                for k, l, m, _ in _children(data, v, w):
-                                    if k == SAMPLING:
-                                        t["rate"] = struct.unpack(">d" if m - l == 8 else ">f", data[l:m])[0]
-                                    elif k in (CHANNELS, BIT_DEPTH):
-                                        t["channels" if k == CHANNELS else "bits"] = _uint(data, l, m)
-                        media.tracks[t.get("number", 0)] = t
-            elif kid == CLUSTER:
-                time = 0
-                for x, y, z, _ in _children(data, p, q):
-                    if x == TIMESTAMP:
-                        time = _uint(data, y, z)
-                        media.clusters[at - a] = time
-                    elif x == SIMPLE_BLOCK:
-                        _block(data, y, z, time, None, media)
-                    elif x == BLOCK_GROUP:
-                        kids = list(_children(data, y, z))
-                        refs = any(u == 0xFB for u, *_ in kids)
-                        for u, v, w, _ in kids:
-                            if u == BLOCK:
-                                _block(data, v, w, time, not refs, media)
-            elif kid == CUES:
-                for x, y, z, _ in _children(data, p, q):
-                    if x == CUE_POINT:
-                        time, where = 0, []
-                        for u, v, w, _ in _children(data, y, z):
-                            if u == CUE_TIME:
-                                time = _uint(data, v, w)
-                            elif u == CUE_POSITIONS:
-                                d = {k: _uint(data, l, m) for k, l, m, _ in _children(data, v, w)}
-                                where.append((d.get(CUE_TRACK, 0), d.get(CUE_CLUSTER, -1)))
-                        media.cues += [(time, t, c) for t, c in where]
+        if ident == SEGMENT:
+            yield a, b
     if EBML not in seen[:1] or SEGMENT not in seen:
         raise Malformed("no EBML head or no segment")
+
+
+def read(data: bytes) -> Media:
+    """The packet table of a file; Malformed if it breaks the format."""
+    media = Media()
+    for a, b in _segments(data):
+        for kid, p, q, at in _children(data, a, b):
+            if kid == CLUSTER:
+                _cluster(data, p, q, at - a, media)
+            else:
+                _head(data, kid, p, q, media)
     return media
 
 
+def seek(data: bytes, ns: int) -> list[tuple[int, int, int, int, bool]]:
+    """Packets of the cluster that the cues name for a time: of the last cue not behind it. Other clusters are not parsed.
+
+    Without cues, or before the first one, the whole file is read for them.
+    """
+    for a, b in _segments(data):
+        media = Media()
+        for kid, p, q, _ in _children(data, a, b):
+            if kid != CLUSTER:
+                _head(data, kid, p, q, media)
+        before = [(time, c) for time, _, c in media.cues if time * media.scale <= ns]
+        if before:
+            at = a + max(before)[1]
+            kid, p, q, _ = next(_children(data, at, b))
+            if kid != CLUSTER:
+                raise Malformed(f"a cue names {kid:x} at {at}")
+            _cluster(data, p, q, at - a, media)
+            return media.packets
+    return [x for x in read(data).packets if x[1] <= ns]
+
+
 def payload_of(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % FRAME or (0 if text else FRAME))
 
@@ -263,8 +308,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Columns ``c`` (carried) and ``r`` (MEDIA, or RESULT without ``keep_media``).
 
     The features come from the packets read back: packets, clusters, cues that
-    point at a cluster of their time, duration in ms, and mean and mean step of
-    the samples as exact fractions.
+    point at a cluster of their time, duration in ms, sum and sum of steps of the
+    samples, and the sum of the frame at half the duration, which is sought by the cues.
     """
     import numpy as np
 
@@ -280,7 +325,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             x = np.frombuffer(back, np.uint8).astype(np.int64)
             good = sum(media.clusters.get(c) == t for t, _, c in media.cues)
             end = media.packets[-1][1] // 1_000_000 + FRAME_MS
-            feature = f"packets={len(media.packets)};clusters={len(media.clusters)};cues={good};ms={end};sum={x.sum()};steps={np.abs(np.diff(x)).sum()}"
+            half = len(media.packets) // 2 * FRAME_MS * 1_000_000
+            mid = next(sum(data[a:b]) for _, t, a, b, _ in seek(data, half) if t == half)
+            feature = f"packets={len(media.packets)};clusters={len(media.clusters)};cues={good};ms={end};sum={x.sum()};steps={np.abs(np.diff(x)).sum()};half={mid}"
             row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature)
             for n, v in zip(names, row, strict=True):
                 out[n].append(v)

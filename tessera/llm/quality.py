@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words and structure.
 
 Features of a whole text: the share of each hashed lower-case word (2**14
-buckets), and structure statistics and metadata (length, word length, shares of
+buckets), and structure statistics (length, word length, shares of
 capitals, digits, marks, white space, distinct words and distinct lines), each
 standardised. The score is the logistic of
 
@@ -14,7 +14,11 @@ their id (a documented bound; every row is eligible alike), by AdaGrad on the
 driver with a fixed seed and order. Scoring is one scan without a shuffle, the
 model a closure of fixed size. Null and empty texts have structure features
 only, and get a score. Labels null or other than 0 and 1 teach nothing; without
-both classes the score is the share of ones. Extra columns are ignored.
+both classes the score is the share of ones. Metadata of a row (source, language, ids)
+are never features; what is known of a text besides its words is its structure. Texts
+of any length are taken whole. Equal texts get equal scores; a doc_id with several
+texts or labels teaches each pair of them, in a fixed order. An empty table gives no
+rows and teaches nothing. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

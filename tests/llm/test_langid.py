@@ -60,3 +60,35 @@ def test_odd_rows_and_nothing_learned(spark, odd_docs, write_sf):
     assert L.learn(odd_docs.limit(0)) == {}
     assert {r.r.lang_pred for r in L.identify(odd_docs, {}).collect()} == {"und"}
     assert L.identify(odd_docs.limit(0), {}).count() == 0
+
+
+def test_query_on_a_whole_table_matches_brute_force(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    place = lambda g: (len(g), [0 if c == " " else ord(c) for c in g])
+    ranked = lambda n: {g: i for i, (g, _) in enumerate(sorted(n.items(), key=lambda x: (-x[1], place(x[0])))[:300])}
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    sums = {}
+    for r in docs:
+        if r.lang is not None and r.text is not None and not out(r.doc_id):
+            sums.setdefault(r.lang, Counter()).update(brute_codes(r.text))
+    profiles = {k: ranked(v) for k, v in sums.items()}
+    got = {r.doc_id: r for r in L.op2(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        own, x = ranked(brute_codes(r.text or "")), got[r.doc_id]
+        assert x.held_out == out(r.doc_id)
+        if not own:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        far = {k: sum(abs(p[g] - i) if g in p else 300 for g, i in own.items()) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert x.lang_pred == best and abs(x.score - (1 - far[best] / (300 * len(own)))) < 1e-12
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog"), (1, "der hund und die katze"), (1, "12")], "doc_id long, text string")
+    profiles = {"en": L.ranking("the cat and the dog"), "de": L.ranking("der hund und die katze")}
+    assert sorted(r.lang_pred for r in L.identify(docs, profiles).select("r.lang_pred").collect()) == ["de", "en", "und"]

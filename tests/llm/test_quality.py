@@ -37,3 +37,32 @@ def test_odd_rows(spark, odd_docs, write_sf):
     assert len(set(twice)) == 1
     empty = Q.learn(odd_docs.limit(0), labels)
     assert Q.score(odd_docs, empty).count() == 10 and Q.score(odd_docs.limit(0), empty).count() == 0
+
+
+def test_query_on_a_whole_table_matches_the_sum_over_pairs(spark):
+    """Scores from the definition, by the model learned from the rows that may teach; held-out labels change nothing."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    mine = docs.where(~F.col("doc_id").isin([i for i in texts if out(i)]))
+    m = Q.learn(mine, labels)
+    flipped = Q.learn(mine, labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert (m.w == flipped.w).all()
+    got = {r.doc_id: r for r in Q.op6(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        r = got[i]
+        assert r.held_out == out(i) and r.predicted == int(r.score >= 0.5)
+        if i % 10:  # the sum over pairs is slow
+            continue
+        rows, cols, x, stats = Q.features([t])
+        ids = np.concatenate([cols, np.arange(Q.BUCKETS, Q.BUCKETS + Q.STATS)])
+        xs = np.concatenate([x, np.clip((stats[0] - m.mean) / m.sd, -5, 5)])
+        p = m.v[ids] * xs[:, None]
+        margin = m.w0 + m.w[ids] @ xs + np.triu(p @ p.T, 1).sum()
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-9
