@@ -125,6 +125,19 @@ def densify(image: Chunked, image_id: str = "image", level: int = 0) -> Chunked:
     return Chunked(image.chunks.unionByName(_mapped(absent, fill)), m)
 
 
+def generated(spark, meta: ImageMeta, sample) -> Chunked:
+    """Chunks that tasks make: ``sample`` gets an open grid of the chunk's indices (an array for each axis) and gives its samples."""
+
+    def make(batches):
+        for batch in batches:
+            for idx in batch.column(0).to_pylist():
+                origin = [i * meta.chunk[d] for i, d in zip(idx, meta.dims, strict=True)]
+                grid = np.ogrid[tuple(slice(o, min(o + meta.chunk[d], meta.shape[d])) for o, d in zip(origin, meta.dims, strict=True))]
+                yield from _table([_row("image", 0, idx, origin, sample(*grid).astype(np.dtype(meta.dtype)), meta.dtype)]).to_batches()
+
+    return Chunked(_mapped(_all_indices(spark, [-(-meta.shape[d] // meta.chunk[d]) for d in meta.dims]), make), meta)
+
+
 def from_array(spark, x: np.ndarray, meta: ImageMeta, image_id: str = "image") -> Chunked:
     """Chunks of an array that the driver holds, such as the samples of another image structure."""
     chunk = {d: min(meta.chunk.get(d, n), n) or 1 for d, n in meta.shape.items()}

@@ -267,3 +267,67 @@ def command_line(s: SparkSession, d: str) -> DataFrame:
     if service.main([path, "-o", out, "--dims", "y", "x", "--method", "itk_bin_shrink", "--version", "0.5", "--chunks", "64", "--chunks-per-shard", "2", "--quiet"]):
         raise RuntimeError("the conversion failed")
     return _voxels(service.read_pyramid(s, out)[0][0])
+
+
+# Documents and types ---------------------------------------------------------------------
+
+
+@query(f"""WITH n AS (SELECT max(vec_id) + 1 AS ny FROM embeddings), v(version, rfc4) AS (VALUES ('0.4', false), ('0.4', true), ('0.5', false), ('0.5', true)), l(level, k) AS (VALUES (0, 1), (1, 2), (2, 4))
+    SELECT version, rfc4, CAST(level AS INTEGER) AS level, 'scale' || level || '/image' AS path, CAST(k AS DOUBLE) AS scale_y, (k - 1) / 2.0::DOUBLE AS translation_y, CASE WHEN rfc4 THEN 'anterior-to-posterior' END AS orientation_y, 'bin_shrink' AS method, CAST(ny // k AS BIGINT) AS size_y
+    FROM v, l, n""")
+def store_documents(s: SparkSession, d: str) -> DataFrame:
+    """Metadata files of stores of both versions, with and without orientations, as text; and each level's size from its own node."""
+    out = None
+    im = _chunked(s, d)
+    im.meta.orientations.update({"y": "anterior-to-posterior", "x": "right-to-left"})
+    for version, rfc4 in (("0.4", False), ("0.4", True), ("0.5", False), ("0.5", True)):
+        path = scratch(s, "doc")
+        service.build_store(im, path, [2, 4], "bin_shrink", version, rfcs=(4,) if rfc4 else ())
+        at, root = (store.V2_ATTRS, "$.multiscales[0]") if version == "0.4" else (store.V3_NODE, "$.attributes.ome.multiscales[0]")
+        node = store.V2_ARRAY if version == "0.4" else store.V3_NODE
+        text = store.read_file(f"{path}/{at}").decode()
+        nodes = [(i, store.read_file(f"{path}/scale{i}/image/{node}").decode()) for i in range(3)]
+        rows = s.createDataFrame([(version, rfc4, text)], "version string, rfc4 boolean, doc string").join(s.createDataFrame(nodes, "level int, node string"))
+        get = lambda p, c="doc": F.get_json_object(c, p)
+        sets = F.from_json(get(f"{root}.datasets"), "array<struct<path:string,coordinateTransformations:array<struct<scale:array<double>,translation:array<double>>>>>")
+        own = F.get(sets, F.col("level"))
+        size = F.from_json(get("$.shape", "node"), "array<long>")
+        one = rows.select("version", "rfc4", "level", own["path"].alias("path"), F.get(own["coordinateTransformations"], F.lit(0))["scale"][0].alias("scale_y"), F.get(own["coordinateTransformations"], F.lit(1))["translation"][0].alias("translation_y"), get(f"{root}.axes[0].orientation.value").alias("orientation_y"), get(f"{root}.type").alias("method"), size[0].alias("size_y"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {E2}, t(dtype, m) AS (VALUES ('uint8', 200), ('int16', 30000), ('uint32', 4000000000), ('float32', 1000), ('float64', 1000))
+    SELECT dtype, count(*) AS n, CAST(sum(((value % m) + m) % m * (y + 1)) AS DOUBLE) AS checksum FROM e2, t GROUP BY 1""")
+def store_dtypes(s: SparkSession, d: str) -> DataFrame:
+    """Samples of several types through stores."""
+    base, out = T.embeddings(s, d), None
+    for dtype, m in (("uint8", 200), ("int16", 30_000), ("uint32", 4_000_000_000), ("float32", 1000), ("float64", 1000)):
+        im = C.from_voxels(T.Image(base.voxels.withColumn("value", F.pmod("value", F.lit(m))), base.meta), {"y": 64, "x": 32}, dtype)
+        back = _voxels(store.read_array(s, _put(im, scratch(s, dtype), 3), im.meta.dims))
+        one = back.agg(F.lit(dtype).alias("dtype"), F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(20,0)") * (F.col("y") + 1)).cast("double").alias("checksum"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_register("chunk_transpose", lambda s, d: _voxels(C.transpose(C.rechunk(C.transpose(_chunked(s, d), ("x", "y")), {"x": 40, "y": 50}), ("y", "x"))), f"WITH {E2} SELECT y, x, value FROM e2")
+_register("chunk_bin_leftover", lambda s, d: _voxels(C.bin_shrink(_chunked(s, d), {"y": 64, "x": 32})).withColumn("value", F.round("value", 6)), f"WITH {E2} SELECT CAST(y // 64 AS BIGINT) AS y, CAST(x // 32 AS BIGINT) AS x, round(avg(value), 6) AS value FROM e2, n WHERE y < ny // 64 * 64 GROUP BY 1, 2")
+
+
+@query(f"WITH {E2}, l(level, k) AS (VALUES (0, 1), (1, 2), (2, 4)) SELECT CAST(level AS INTEGER) AS level, CASE level WHEN 0 THEN ny WHEN 1 THEN ny // 2 ELSE ny // 2 // 2 END AS y, CAST(64 // k AS BIGINT) AS x, '0.5' AS version, CAST(3 AS INTEGER) AS levels FROM n, l")
+def inspect_store(s: SparkSession, d: str) -> DataFrame:
+    info = service.inspect(s, _pyramid(s, d, "0.5", factors=(2, 4)))
+    return s.createDataFrame([(i, x["y"], x["x"], info["version"], info["levels"]) for i, x in enumerate(info["shapes"])], "level int, y long, x long, version string, levels int")
+
+
+_OPTIONS = [(dim, unit, version, codec) for dim in ("x", "q") for unit in ("meter", "cubit") for version in ("0.4", "0.5", "0.1") for codec in ("gzip", "lz4")]
+
+
+@query(f"""SELECT dim, unit, version, codec, CAST((dim = 'q')::INT + (unit = 'cubit')::INT + (version = '0.1')::INT + (codec = 'lz4')::INT + (version <> '0.5')::INT AS INTEGER) AS problems
+    FROM (VALUES {', '.join(str(o) for o in _OPTIONS)}) t(dim, unit, version, codec)""")
+def option_checks(s: SparkSession, d: str) -> DataFrame:
+    rows = [(*o, len(service.check_options(service.Options(dims=[o[0]], units={"x": o[1]}, version=o[2], codec=o[3], per_shard=2)))) for o in _OPTIONS]
+    return s.createDataFrame(rows, "dim string, unit string, version string, codec string, problems int")
+
+
+_register("format_listing", lambda s, d: backends.formats(s).groupBy("backend").agg(F.count(F.lit(1)).alias("suffixes"), F.sum(F.col("readable").cast("long")).alias("readable")), "SELECT backend, count(*) AS suffixes, CAST(sum(CASE WHEN backend IN ('pyramid_store', 'array_store', 'nibabel') THEN 1 ELSE 0 END) AS BIGINT) AS readable FROM (VALUES " + ", ".join(f"('{b}', '{x}')" for b, xs in (("pyramid_store", backends.STORE), ("array_store", (".zarr",)), ("nibabel", backends.NIFTI), ("itkwasm_image_io", backends.MEDICAL), ("itk", backends.MEDICAL), ("tifffile", backends.TIFF)) for x in xs) + ") t(backend, suffix) GROUP BY 1")
