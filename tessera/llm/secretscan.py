@@ -203,16 +203,28 @@ def guess_bits(value: str, ranks: Ranks = RANK, enough: float = math.inf) -> flo
     return best
 
 
+# What a credential context has to hold, in lower case.
+HINTS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "credential", "authkey", "auth_key", "privatekey", "private_key")
+_HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
+
+
+def hints(text: str) -> tuple[bool, bool, bool]:
+    """Whether a text may hold a credential context, an access key, a run of hex digits; patterns run only where it may."""
+    low = text.lower()
+    return any(h in low for h in HINTS), "AKIA" in text, b"x" * 16 in text.encode("utf-8", "surrogatepass").translate(_HEX_BYTES)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
-    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
-    out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
-    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    context, access, digits = hints(text)
+    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12] if context else []
+    out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)] if access else []
+    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)] if digits else []
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def guess_spans(text: str, min_bits: float, ranks: Ranks = RANK) -> list[tuple[int, int, str]]:
     out = []
-    for m in CONTEXT.finditer(text):
+    for m in CONTEXT.finditer(text) if hints(text)[0] else ():
         g = next(k for k in (1, 2, 3) if m[k] is not None)
         if guess_bits(m[g], ranks, min_bits) >= min_bits:
             out.append((m.start(g), m.end(g), "guess"))
@@ -221,7 +233,10 @@ def guess_spans(text: str, min_bits: float, ranks: Ranks = RANK) -> list[tuple[i
 
 def _words(text: str) -> set[str]:
     """The words of a text outside its base spans and credential contexts."""
-    text = HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", CONTEXT.sub(" ", text))))
+    context, access, digits = hints(text)
+    text = ASSIGN.sub(" ", CONTEXT.sub(" ", text)) if context else text
+    text = ACCESS.sub(" ", text) if access else text
+    text = HEX.sub(" ", text) if digits else text
     return {w.lower() for w in set(WORD.findall(text)) if w.islower() or w.isupper() or w[1:].islower()}
 
 
