@@ -325,7 +325,7 @@ _OPTIONS = [(dim, unit, version, codec) for dim in ("x", "q") for unit in ("mete
 
 @query(f"""SELECT dim, unit, version, codec, CAST((dim = 'q')::INT + (unit = 'cubit')::INT + (version = '0.1')::INT + (codec = 'lz4')::INT + (version <> '0.5')::INT AS INTEGER) AS problems
     FROM (VALUES {', '.join(str(o) for o in _OPTIONS)}) t(dim, unit, version, codec)""")
-def option_checks(s: SparkSession, d: str) -> DataFrame:
+def checked_options(s: SparkSession, d: str) -> DataFrame:
     rows = [(*o, len(service.check_options(service.Options(dims=[o[0]], units={"x": o[1]}, version=o[2], codec=o[3], per_shard=2)))) for o in _OPTIONS]
     return s.createDataFrame(rows, "dim string, unit string, version string, codec string, problems int")
 
