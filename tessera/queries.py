@@ -6,6 +6,8 @@ images (see ``sources.tables``) and spell out what the operators do.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ from .operators import pyramid as Y
 from .operators import validate as V
 from .plans import levels
 from .runtime import shared_root
-from .sources import backends
+from .sources import backends, store
 from .sources import tables as T
 
 QUERIES: dict = {}
@@ -460,9 +462,20 @@ def transform_sequence(s: SparkSession, d: str) -> DataFrame:
 # Chunk layout ------------------------------------------------------------------------
 
 
-def scratch(s: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share."""
-    return f"{shared_root(s)}/{name}-{uuid.uuid4().hex}"
+def scratch(s: SparkSession, name: str, suffix: str = "") -> str:
+    """A new path in the folder that all machines share; what is there goes when the driver ends."""
+    path = f"{shared_root(s)}/{name}-{uuid.uuid4().hex}{suffix}"
+    atexit.register(_forget, path)
+    return path
+
+
+def _forget(path: str) -> None:
+    fs, p = store.filesystem(path)
+    with contextlib.suppress(OSError):
+        if fs.get_file_info(p).is_file:
+            fs.delete_file(p)
+        else:
+            fs.delete_dir(p)
 
 
 def _chunked(s, d, chunk=None) -> C.Chunked:

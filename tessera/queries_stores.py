@@ -237,7 +237,7 @@ def _volume(s: SparkSession, d: str, name: str) -> str:
     """Supplied quantities as a small NIfTI volume with scaled samples."""
     im = T.lineitem(s, d)
     x = C.to_array(C.from_voxels(im, {"z": 7, "y": 64, "x": 64}, "int32")).transpose(2, 1, 0)
-    path = scratch(s, "volume") + name
+    path = scratch(s, "volume", name)
     nifti.write(path, x, [[2, 0, 0, 1], [0, 3, 0, 2], [0, 0, 4, 3]], 0.5, 1.0)
     return path
 
