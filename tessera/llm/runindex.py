@@ -16,8 +16,9 @@ one *passage* of at most 2 * span - GRAM bytes.
 2. Each block sends every distinct passage of the remaining anchors, with its
    smallest doc_id, to the range of the anchor's hash.
 3. A task for each range builds the index of its distinct passages
-   (``RunLengthIndex``), streams their matching statistics from the sampled run
-   ends, and takes the smallest document of every window's interval.
+   (``RunLengthIndex``), streams rank and match length of every place from the
+   sampled run ends, and takes the smallest document of the places that match
+   each other over a whole window.
 4. The answers (runs of windows with one smallest document) meet the block's
    documents, where windows with a smaller document than their own are marked.
 
@@ -58,8 +59,10 @@ class RunLengthIndex:
 
     Strings end in end marks below all bytes, ordered by string number, so
     suffixes have one order. Kept are the runs (symbol, start, occurrences
-    before), the positions at run ends and end marks, and the interval borders:
-    ranks whose suffix shares fewer than ``depth`` bytes with the one before.
+    before), the positions at run ends, and for the suffix that is one byte longer
+    than each of these its rank and the bytes it shares with the next suffix. Within a
+    run neighbours stay neighbours, so every other match length is one more than
+    that of the place after it.
     """
 
     def __init__(self, strings: list[bytes], depth: int = SPAN):
@@ -71,6 +74,8 @@ class RunLengthIndex:
         self.text[self.ends] = 0
         self.starts = self.ends - lens
         self.n = len(self.text)
+        self.end = np.repeat(self.ends, lens + 1)  # of each place's string
+        self.keys, self.width = self._first_keys()
         order = self._sorted()
         before = self.text[order - 1]
         first = np.zeros(self.n, bool)
@@ -92,7 +97,11 @@ class RunLengthIndex:
         self.samples = np.append(start[1:], self.n).astype(np.int32) - np.int32(1)
         self.sample_at = order[self.samples]
         self.runs = len(start)
-        self.border = self._borders(order)
+        ends = self.run_start + length.astype(np.int32) - np.int32(1)  # in the order of the symbols
+        own = np.flatnonzero(head)  # before an end mark's run there is no suffix
+        self.lane_at = order[ends[own]] - np.int32(1)
+        self.lane_rank = self.run_rank[own] + (ends[own] - self.run_start[own])
+        self.lane_length = self._shared(self.lane_at, order[np.minimum(self.lane_rank + 1, self.n - 1)])
 
     def _first_keys(self) -> tuple[np.ndarray, int]:
         """The first symbols of each suffix as a number, zero from the end mark on, and how many they are."""
@@ -113,11 +122,27 @@ class RunLengthIndex:
             key[at] &= np.uint64(keep)
         return key, width
 
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at a and b share; nothing where they are the same place. End marks differ."""
+        key, width = self.keys, self.width
+        bits = 64 // width
+        most = np.where(a == b, 0, np.minimum(self.end[a] - a, self.end[b] - b))
+        out = np.zeros(len(a), np.int32)
+        active, p, q = slice(None), a, b
+        while len(p):
+            x = key[p] ^ key[q]
+            x &= ~(x >> np.uint64(1))  # the highest bit stays, and none behind it that a float would round up
+            high = (x.astype(np.float64).view(np.int64) >> 52).astype(np.int32) - np.int32(1022)  # bits up to the highest
+            out[active] += np.int32(width) - (np.maximum(high, 0) + np.int32(bits - 1)) // np.int32(bits)
+            go = np.flatnonzero((x == 0) & (out[active] < most[active]))
+            active = go if isinstance(active, slice) else active[go]
+            p, q = a[active] + out[active], b[active] + out[active]
+        return np.minimum(out, most)
+
     def _sorted(self) -> np.ndarray:
         """All suffixes in order, by doubling; only tied suffixes are sorted again."""
-        n = self.n
-        end = np.repeat(self.ends, self.ends - self.starts + 1)
-        key, step = self._first_keys()
+        n, end = self.n, self.end
+        key, step = self.keys, self.width
         order = np.argsort(key).astype(np.int32)
         ranked = key[order]
         rank = np.empty(n, np.uint32)
@@ -142,53 +167,51 @@ class RunLengthIndex:
             step *= 2
         return order
 
-    def _borders(self, order: np.ndarray) -> np.ndarray:
-        """True where an interval of suffixes that share ``depth`` bytes begins."""
-        n, d = self.n, self.depth
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.text.astype(np.uint64) * np.uint64(_BASE) * K.powers(_BASE, n), out=total[1:])
-        full = np.zeros(n, bool)
-        for_end = np.repeat(self.ends, self.ends - self.starts + 1)
-        full[: max(n - d + 1, 0)] = np.arange(max(n - d + 1, 0)) + d <= for_end[: max(n - d + 1, 0)]
-        inverse = K.powers(pow(_BASE, -1, 1 << 64), n)
-        h = np.arange(n).astype(np.uint64)
-        at = np.flatnonzero(full)
-        h[at] = (total[at + d] - total[at]) * inverse[at]
-        h, full = h[order], full[order]
-        return np.concatenate([[True], (h[1:] != h[:-1]) | ~full[1:] | ~full[:-1]])
-
     def backward(self, rank: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Rank of the suffix that begins one symbol earlier (the symbol that precedes it is given)."""
         run = np.searchsorted(self.run_key, symbol.astype(self.key_type) * self.key_type(self.n) + rank, "right") - 1
         return self.run_rank[run] + (rank - self.run_start[run])
 
-    def intervals(self) -> np.ndarray:
-        """For each place of the text the number of its suffix's interval, streamed backwards from the samples.
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the rank of its suffix and the bytes that it shares with the next one, streamed backwards.
 
-        Every stretch between two sampled places is walked by one lane, all
-        lanes at once. Suffixes of one interval share ``depth`` bytes, so a
-        place whose interval holds another string matches at least that long.
+        Every stretch before a sampled place is walked by one lane, all lanes at
+        once; each step back adds a byte to the match.
         """
-        number = np.cumsum(self.border, dtype=np.int32) - np.int32(1)
-        out = np.empty(self.n, np.int32)
-        known = np.full(self.n, -1, np.int32)
-        known[self.sample_at] = self.samples
-        known[self.ends] = np.arange(len(self.ends))
-        place = np.flatnonzero(known >= 0).astype(np.int32)
-        rank = known[place]
-        out[place] = number[rank]
-        left = np.diff(place, prepend=-1) - 1  # unsampled places before each sampled one
+        rank, shared = np.empty(self.n, np.int32), np.zeros(self.n, np.int32)
+        place = np.concatenate([self.ends, self.lane_at])
+        at = np.concatenate([np.arange(len(self.ends), dtype=np.int32), self.lane_rank])
+        length = np.concatenate([np.zeros(len(self.ends), np.int32), self.lane_length])
+        rank[place], shared[place] = at, length
+        by = np.argsort(place)
+        left = np.empty(len(place), np.int64)
+        left[by] = np.diff(place[by], prepend=-1) - 1  # unsampled places before each sampled one
         by = np.argsort(-left, kind="stable")
         by = by[: int((left > 0).sum())]
-        place, rank, left = place[by], rank[by], left[by]
+        place, at, length, left = place[by], at[by], length[by], left[by]
         step, active = 0, len(by)
         while active:
             place = place[:active] - np.int32(1)
-            rank = self.backward(rank[:active], self.text[place])
-            out[place] = number[rank]
+            at = self.backward(at[:active], self.text[place])
             step += 1
+            rank[place], shared[place] = at, length[:active] + np.int32(step)
             active = int(np.searchsorted(-left[:active], -step, "left"))
-        return out
+        return rank, shared
+
+    def statistics(self) -> np.ndarray:
+        """For each place the length of its longest match with any other place."""
+        rank, shared = self.matches()
+        ahead = np.empty(self.n, np.int32)
+        ahead[rank] = shared
+        return np.maximum(ahead, np.concatenate([[0], ahead[:-1]]))[rank]
+
+    def intervals(self) -> np.ndarray:
+        """For each place a number that is equal where places match over ``depth`` bytes or more, and only there."""
+        rank, shared = self.matches()
+        number = np.zeros(self.n, np.int32)
+        inner = rank < self.n - 1
+        number[rank[inner] + 1] = shared[inner] < self.depth
+        return np.cumsum(number, dtype=np.int32)[rank]
 
 
 def _segments(texts: list[bytes], most: int = 1 << 20):
@@ -438,7 +461,7 @@ def _least(index: RunLengthIndex, docs: np.ndarray):
     """Runs of windows of each string that have one smallest document: runs of a string, its first run, lengths, documents."""
     interval = index.intervals()
     string = np.repeat(np.arange(len(docs), dtype=np.int32), index.ends - index.starts + 1)
-    window = np.flatnonzero(np.arange(index.n, dtype=np.int32) + np.int32(SPAN) <= np.repeat(index.ends, index.ends - index.starts + 1))
+    window = np.flatnonzero(np.arange(index.n, dtype=np.int32) + np.int32(SPAN) <= index.end)
     owner, interval = string[window], interval[window]
     least = np.full(int(interval.max()) + 1, LAST)
     np.minimum.at(least, interval, docs[owner])

@@ -62,6 +62,24 @@ def test_index_orders_suffixes_and_walks_backwards():
         assert x.runs <= x.n and (order[x.samples] == x.sample_at).all()
 
 
+def test_streamed_lengths_are_those_of_plain_comparison():
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    r = random.Random(5)
+    for letters, longest in ((b"ab", 30), (b"ab\x00\xff", 12), (b"a", 40), (bytes(range(256)), 20)):
+        for _ in range(15):
+            strings = list({bytes(r.choice(letters) for _ in range(r.randint(1, longest))) for _ in range(r.randint(1, 9))})
+            x = R.RunLengthIndex(strings, depth=4)
+            order = x._sorted()
+            tail = {p: s[k:] for s, a in zip(strings, x.starts.tolist(), strict=True) for k, p in enumerate(range(a, a + len(s) + 1))}
+            rank, shared = x.matches()
+            assert (order[rank] == np.arange(x.n)).all()
+            after = [common(tail[int(order[k])], tail[int(order[k + 1])]) if k + 1 < x.n else 0 for k in rank.tolist()]
+            assert shared.tolist() == after
+            assert x.statistics().tolist() == [max((common(tail[p], tail[q]) for q in range(x.n) if q != p), default=0) for p in range(x.n)]
+
+
 def test_matches_brute_force(spark, write_sf):
     docs = make(1)
     sf = write_sf(documents=spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
