@@ -43,20 +43,23 @@ def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest doc_id of each group (5-word shingles, similarity 0.8).
 
-    Null, empty and word-free texts and null ids are in no group and stay. A doc_id stands for one document: rows
-    that repeat it stay or go together, and of those that stay one is kept, the least in the order of their JSON.
+    Null, empty and word-free texts are in no group and stay, and so do all rows with a null id. Rows that repeat a
+    doc_id are judged each by its own text; equal ones are one document, and of several of a group with the smallest
+    doc_id one stays.
     """
-    members = stored(neardup.NearDuplicates(docs).members().where("doc_id is not null"), "members")
-    gone = members.where(~F.col("kept")).select("doc_id").distinct()
-    out = docs.join(_checked(gone), "doc_id", "left_anti")
-    twice = members.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return out.select(*_all(docs))
-    twice = _checked(twice)  # rows that repeat a kept doc_id
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        members = stored(neardup.NearDuplicates(docs).members(), "members")
+        gone = members.where("not kept and doc_id is not null").select("doc_id")
+        return docs.join(_checked(gone), "doc_id", "left_anti").select(*_all(docs))
+    # ids do not tell these rows apart: the hash of a whole row takes their place
     row = F.struct(*_all(docs))
-    once = out.join(twice, "doc_id", "left_semi").select("doc_id", row.alias("c"), F.to_json(row).alias("j"))
-    once = once.groupBy("doc_id").agg(F.min_by("c", "j").alias("c")).select("c.*")
-    return out.join(twice, "doc_id", "left_anti").unionByName(once).select(*_all(docs))
+    rows = named.select(row.alias("c"), F.xxhash64(F.to_json(row)).alias("u"), F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
+    members = stored(neardup.NearDuplicates(rows.select("u", "t"), "u", "t").members(), "members").select(F.col("doc_id").alias("u"), "component_id")
+    owners = members.distinct().join(rows.select("u", "i").distinct(), "u")
+    kept = owners.groupBy("component_id").agg(F.min(F.struct("i", "u")).alias("m")).select("m.u")
+    once = rows.groupBy("u").agg(F.first("c").alias("c"))
+    return once.join(_checked(kept), "u", "left_semi").select("c.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,32 @@ def test_odd_rows_keep_their_columns(spark, odd_docs, write_sf):
     assert sorted(((r.doc_id, list(r.token_ids), r.decoded_sha256) for r in got), key=str) == plain(rows, items)
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark, write_sf):
+    text = {k: " ".join(f"{chr(97 + k)}{n}x" for n in range(40)) for k in range(6)}
+    rows = [
+        (7, text[0]),  # the copy of document 3 goes, the other texts of id 7 stay
+        (7, text[1]),
+        (7, text[1]),
+        (7, text[2]),
+        (7, text[2] + " and one word"),
+        (3, text[0] + " more"),
+        (9, text[2]),
+        (8, ""),
+        (8, None),
+        (None, text[0]),
+        (None, text[0]),
+        (2, text[4]),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, n_chars long").repartition(4)
+    docs = spark.read.parquet(write_sf(documents=docs) + "/documents.parquet")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    of_seven = [t for i, t in got if i == 7]
+    assert text[1] in of_seven and len(of_seven) == 2
+    assert len({text[2], text[2] + " and one word"} & set(of_seven)) == 1
+    rest = [(3, text[0] + " more"), (8, ""), (8, None), (None, text[0]), (None, text[0]), (2, text[4])]
+    assert sorted((x for x in got if x[0] != 7), key=str) == sorted(rest, key=str)
+
+
 def test_empty_table(spark, odd_docs, write_sf):
     none = spark.createDataFrame([], "item_id long, text string")
     assert corpus_pipeline.run(spark, write_sf(documents=odd_docs.limit(0), benchmark=none)).count() == 0
