@@ -258,7 +258,8 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Ranks:
     counts = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
     counts = stored(counts, "words")
     total, least = 0, None
-    for r in sorted(counts.groupBy("n").count().collect(), reverse=True):
+    # numbers of documents are as many as the input makes them; the first MOST_WORDS of them are all that is read
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
         total += r["count"]
         if total > MOST_WORDS:
             break
