@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import runtime as core
 from ..sources.store import filesystem
 
-#: Rows that an Arrow function works on at a time, and bytes of a batch on its way to it.
-ROWS, BATCH_BYTES = 512, 8 << 20
+#: Rows that an Arrow function works on at a time; ``core.ship`` bounds the bytes of a batch on its way to it.
+ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,8 +29,6 @@ def ship(spark: SparkSession) -> None:
     # held by the JVM and by every Python worker of a stage at once
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

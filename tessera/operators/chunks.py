@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..model import DTYPES, ImageMeta, Method
 from ..plans import levels
-from ..runtime import ship
+from ..runtime import BATCH_BYTES, ship
 from ..sources.tables import Image
 
 SCHEMA = "image_id string, level int, idx array<int>, origin array<long>, shape array<int>, dtype string, data binary"
@@ -65,6 +65,26 @@ def _table(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, ARROW)
 
 
+def each(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of Arrow batches, one at a time: a whole batch as Python objects would be held a second time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _batched(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    """Chunks as Arrow batches of some megabytes, however many there are."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r["data"])
+        if size >= BATCH_BYTES // 4:
+            yield from _table(held).to_batches()
+            held, size = [], 0
+    if held:
+        yield from _table(held).to_batches()
+
+
 def _all_indices(spark, grid: Sequence[int]) -> DataFrame:
     """One column ``idx``: every place of a grid of chunks."""
     place, left = [], math.prod(grid)
@@ -166,15 +186,14 @@ def to_voxels(image: Chunked) -> Image:
     kind = DTYPES[image.meta.dtype]
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                x = native(r["data"], r["dtype"], r["shape"])
-                at = np.indices(x.shape).reshape(len(dims), -1) + np.array(r["origin"])[:, None]
-                value = x.ravel()
-                cols = [pa.array(a) for a in at]
-                target = {"short": pa.int16(), "byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "decimal(20,0)": pa.decimal128(20, 0)}[kind]
-                values = pa.array([int(v) for v in value], target) if kind.startswith("decimal") else pa.array(value.astype(target.to_pandas_dtype()), target)
-                yield pa.RecordBatch.from_arrays([*cols, values], [*dims, "value"])
+        for r in each(batches):
+            x = native(r["data"], r["dtype"], r["shape"])
+            at = np.indices(x.shape).reshape(len(dims), -1) + np.array(r["origin"])[:, None]
+            value = x.ravel()
+            cols = [pa.array(a) for a in at]
+            target = {"short": pa.int16(), "byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "decimal(20,0)": pa.decimal128(20, 0)}[kind]
+            values = pa.array([int(v) for v in value], target) if kind.startswith("decimal") else pa.array(value.astype(target.to_pandas_dtype()), target)
+            yield pa.RecordBatch.from_arrays([*cols, values], [*dims, "value"])
 
     return Image(_mapped(image.chunks, run, ", ".join([*(f"{d} long" for d in dims), f"value {kind}"])), image.meta)
 
@@ -184,17 +203,16 @@ def rechunk(image: Chunked, chunk: Mapping[str, int]) -> Chunked:
     dims, shape, dtype = image.meta.dims, image.meta.shape, image.meta.dtype
     size, fill = [chunk[d] for d in dims], image.meta.fill
 
+    def pieces(r):
+        x, lo = native(r["data"], r["dtype"], r["shape"]), r["origin"]
+        spans = [range(o // n, (o + m - 1) // n + 1) for o, m, n in zip(lo, x.shape, size, strict=True)]
+        for idx in itertools.product(*spans):
+            a = [max(i * n, o) for i, n, o in zip(idx, size, lo, strict=True)]
+            b = [min((i + 1) * n, o + m) for i, n, o, m in zip(idx, size, lo, x.shape, strict=True)]
+            yield _row(r["image_id"], r["level"], idx, a, x[tuple(slice(p - o, q - o) for p, q, o in zip(a, b, lo, strict=True))], r["dtype"])
+
     def cut(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x, lo = native(r["data"], r["dtype"], r["shape"]), r["origin"]
-                spans = [range(o // n, (o + m - 1) // n + 1) for o, m, n in zip(lo, x.shape, size, strict=True)]
-                for idx in itertools.product(*spans):
-                    a = [max(i * n, o) for i, n, o in zip(idx, size, lo, strict=True)]
-                    b = [min((i + 1) * n, o + m) for i, n, o, m in zip(idx, size, lo, x.shape, strict=True)]
-                    rows.append(_row(r["image_id"], r["level"], idx, a, x[tuple(slice(p - o, q - o) for p, q, o in zip(a, b, lo, strict=True))], r["dtype"]))
-            yield from _table(rows).to_batches()
+        yield from _batched(piece for r in each(batches) for piece in pieces(r))
 
     def join(key, table):
         rows = table.to_pylist()

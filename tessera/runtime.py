@@ -10,16 +10,23 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch on its way to a Python worker. Spark's own 64 MB would be held by each worker of a
+#: stage, and again by each step of its work.
+BATCH_BYTES = 8 << 20
+
 _shipped: set[str] = set()
 _roots: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application.
+    """Give the executors this package, once per application, and bound the session's batches where they have Spark's own number.
 
     Functions of the package are pickled by reference, so a Python worker has
-    to be able to import it, also where the checkout is not at hand.
+    to be able to import it, also where the checkout is not at hand. The bound
+    stays in the session; what a user has set is left alone.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

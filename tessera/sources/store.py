@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..model import ImageMeta
-from ..operators.chunks import ARROW, SCHEMA, Chunked, native
+from ..operators.chunks import ARROW, SCHEMA, Chunked, each, native
 from ..plans import levels
 from ..runtime import ship
 
@@ -302,8 +302,11 @@ class Written(WriterCommitMessage):
     files: int
 
 
-class StoreWriter(DataSourceWriter):
-    """Rows are chunks, or, with a shard shape, all chunks of a shard in one task (see ``write``)."""
+class StoreWriter(DataSourceArrowWriter):
+    """Rows are chunks, or, with a shard shape, all chunks of a shard in one task (see ``write``).
+
+    They come as Arrow batches and are taken one at a time; Spark's own rows would hold a whole batch as Python objects.
+    """
 
     def __init__(self, options):
         self.root = options["path"].rstrip("/")
@@ -311,12 +314,12 @@ class StoreWriter(DataSourceWriter):
         self.nodes = json.loads(options["nodes"])
         self.codec = options.get("codec") or None
 
-    def write(self, rows):
+    def write(self, batches):
         files, open_shard, parts = 0, None, {}
-        for r in rows:
+        for r in each(batches):
             a = self.arrays[r["level"]]
             x = np.full(a["chunk"], _fill(a["fill"], a["dtype"]), np.dtype(a["dtype"]))
-            own = native(bytes(r["data"]), r["dtype"], r["shape"])
+            own = native(r["data"], r["dtype"], r["shape"])
             x[tuple(slice(0, n) for n in own.shape)] = own
             raw = compress(x.tobytes(), self.codec)
             info = ArrayInfo(a["shape"], a["chunk"], a["dtype"], 0, self.codec, a["version"], "/", a["shard"])
