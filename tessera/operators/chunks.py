@@ -70,6 +70,7 @@ def each(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+        batch = None  # goes before the next one comes
 
 
 def _batched(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +232,7 @@ def transpose(image: Chunked, dims: Sequence[str]) -> Chunked:
     order = [image.meta.dims.index(d) for d in dims]
 
     def run(batches):
-        for batch in batches:
-            rows = [_row(r["image_id"], r["level"], [r["idx"][i] for i in order], [r["origin"][i] for i in order], native(r["data"], r["dtype"], r["shape"]).transpose(order), r["dtype"]) for r in batch.to_pylist()]
-            yield from _table(rows).to_batches()
+        yield from _batched(_row(r["image_id"], r["level"], [r["idx"][i] for i in order], [r["origin"][i] for i in order], native(r["data"], r["dtype"], r["shape"]).transpose(order), r["dtype"]) for r in each(batches))
 
     return Chunked(_mapped(image.chunks, run), replace(image.meta, dims=tuple(dims)))
 
@@ -246,15 +245,14 @@ def hyperslab(image: Chunked, box: Mapping[str, tuple[int, int]]) -> Chunked:
         if d in box:
             df = df.where((F.get("origin", F.lit(i)) < box[d][1]) & (F.get("origin", F.lit(i)) + F.get("shape", F.lit(i)) > box[d][0]))
 
+    def cut(r):
+        a = [max(box.get(d, (0, o))[0], o) for d, o in zip(dims, r["origin"], strict=True)]
+        b = [min(box[d][1] if d in box else o + m, o + m) for d, o, m in zip(dims, r["origin"], r["shape"], strict=True)]
+        x = native(r["data"], r["dtype"], r["shape"])[tuple(slice(p - o, q - o) for p, q, o in zip(a, b, r["origin"], strict=True))]
+        return _row(r["image_id"], r["level"], r["idx"], a, x, r["dtype"])
+
     def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                a = [max(box.get(d, (0, o))[0], o) for d, o in zip(dims, r["origin"], strict=True)]
-                b = [min(box[d][1] if d in box else o + m, o + m) for d, o, m in zip(dims, r["origin"], r["shape"], strict=True)]
-                x = native(r["data"], r["dtype"], r["shape"])[tuple(slice(p - o, q - o) for p, q, o in zip(a, b, r["origin"], strict=True))]
-                rows.append(_row(r["image_id"], r["level"], r["idx"], a, x, r["dtype"]))
-            yield from _table(rows).to_batches()
+        yield from _batched(map(cut, each(batches)))
 
     return Chunked(_mapped(df, run), image.meta)
 
@@ -299,14 +297,14 @@ def nearest(image: Chunked, step: Mapping[str, int], level: int = 1) -> Chunked:
 def _chunkwise(image: Chunked, step, work, dtype, level) -> Chunked:
     k = _step_list(image, step)
 
+    def shrunk(rows):
+        for r in rows:
+            x = work(native(r["data"], r["dtype"], r["shape"]), k)
+            if x.size:  # a leftover of less than a bin makes no chunk
+                yield _row(r["image_id"], level, r["idx"], [o // f for o, f in zip(r["origin"], k, strict=True)], x, dtype)
+
     def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x = work(native(r["data"], r["dtype"], r["shape"]), k)
-                if x.size:  # a leftover of less than a bin makes no chunk
-                    rows.append(_row(r["image_id"], level, r["idx"], [o // f for o, f in zip(r["origin"], k, strict=True)], x, dtype))
-            yield from _table(rows).to_batches()
+        yield from _batched(shrunk(each(batches)))
 
     return Chunked(_mapped(image.chunks, run), _shrunk(image, step, dtype))
 
@@ -339,23 +337,23 @@ def mode(image: Chunked, step: Mapping[str, int], level: int = 1) -> Chunked:
             out = _halo(out, axis, d, -(k[axis] // 2), k[axis] - k[axis] // 2 - 1)
     dims, shape, chunk = image.meta.dims, image.meta.shape, image.meta.chunk
 
+    def voted(rows):
+        for r in rows:
+            x = native(r["data"], r["dtype"], r["shape"])
+            n = [min(chunk[d], shape[d] - o) // f for d, o, f in zip(dims, r["origin"], k, strict=True)]
+            if not math.prod(n):
+                continue
+            w = np.lib.stride_tricks.sliding_window_view(x, k)[tuple(slice(0, m * f, f) for m, f in zip(n, k, strict=True))]
+            w = np.sort(w.reshape(*n, -1), -1)
+            best, count = w[..., 0].copy(), np.zeros(n, int)
+            for i in range(w.shape[-1]):  # values ascend, so a later one has to be more frequent
+                c = (w == w[..., i : i + 1]).sum(-1)
+                better = c > count
+                best[better], count[better] = w[..., i][better], c[better]
+            yield _row(r["image_id"], level, r["idx"], [o // f for o, f in zip(r["origin"], k, strict=True)], best, r["dtype"])
+
     def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x = native(r["data"], r["dtype"], r["shape"])
-                n = [min(chunk[d], shape[d] - o) // f for d, o, f in zip(dims, r["origin"], k, strict=True)]
-                if not math.prod(n):
-                    continue
-                w = np.lib.stride_tricks.sliding_window_view(x, k)[tuple(slice(0, m * f, f) for m, f in zip(n, k, strict=True))]
-                w = np.sort(w.reshape(*n, -1), -1)
-                best, count = w[..., 0].copy(), np.zeros(n, int)
-                for i in range(w.shape[-1]):  # values ascend, so a later one has to be more frequent
-                    c = (w == w[..., i : i + 1]).sum(-1)
-                    better = c > count
-                    best[better], count[better] = w[..., i][better], c[better]
-                rows.append(_row(r["image_id"], level, r["idx"], [o // f for o, f in zip(r["origin"], k, strict=True)], best, r["dtype"]))
-            yield from _table(rows).to_batches()
+        yield from _batched(voted(each(batches)))
 
     return Chunked(_mapped(out.chunks, run), _shrunk(image, step, image.meta.dtype))
 
@@ -380,19 +378,19 @@ def _halo(image: Chunked, axis: int, dim: str, lo: int, hi: int) -> Chunked:
     n, c, fill = image.meta.shape[dim], image.meta.chunk[dim], image.meta.fill
     last = -(-n // c) - 1
 
+    def strips(rows):
+        for r in rows:
+            x, o = np.moveaxis(native(r["data"], r["dtype"], r["shape"]), axis, 0), r["origin"][axis]
+            m, own = len(x), r["idx"][axis]
+            for j in range(max(0, own - -(-hi // c) - 1), min(last, own + -(-(-lo) // c) + 1) + 1):
+                a, b = max(j * c + lo, o), min(min((j + 1) * c, n) + hi, o + m)
+                if a < b:
+                    idx, origin = list(r["idx"]), list(r["origin"])
+                    idx[axis], origin[axis] = j, a
+                    yield _row(r["image_id"], r["level"], idx, origin, np.moveaxis(x[a - o : b - o], 0, axis), r["dtype"])
+
     def send(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x, o = np.moveaxis(native(r["data"], r["dtype"], r["shape"]), axis, 0), r["origin"][axis]
-                m, own = len(x), r["idx"][axis]
-                for j in range(max(0, own - -(-hi // c) - 1), min(last, own + -(-(-lo) // c) + 1) + 1):
-                    a, b = max(j * c + lo, o), min(min((j + 1) * c, n) + hi, o + m)
-                    if a < b:
-                        idx, origin = list(r["idx"]), list(r["origin"])
-                        idx[axis], origin[axis] = j, a
-                        rows.append(_row(r["image_id"], r["level"], idx, origin, np.moveaxis(x[a - o : b - o], 0, axis), r["dtype"]))
-            yield from _table(rows).to_batches()
+        yield from _batched(strips(each(batches)))
 
     def join(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["origin"][axis])
@@ -417,16 +415,16 @@ def _halo_pass(image: Chunked, axis, dim, k, lo, hi, work, level) -> Chunked:
     n, c = image.meta.shape[dim], image.meta.chunk[dim]
     wide = _halo(image, axis, dim, lo, hi)
 
+    def weighed(rows):
+        for r in rows:
+            m = min(c, n - r["origin"][axis]) // k
+            if m:
+                origin = list(r["origin"])
+                origin[axis] //= k
+                yield _row(r["image_id"], level, r["idx"], origin, work(native(r["data"], r["dtype"], r["shape"]), m), "float64")
+
     def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                m = min(c, n - r["origin"][axis]) // k
-                if m:
-                    origin = list(r["origin"])
-                    origin[axis] //= k
-                    rows.append(_row(r["image_id"], level, r["idx"], origin, work(native(r["data"], r["dtype"], r["shape"]), m), "float64"))
-            yield from _table(rows).to_batches()
+        yield from _batched(weighed(each(batches)))
 
     return Chunked(_mapped(wide.chunks, run), _shrunk(image, {dim: k}, "float64"))
 

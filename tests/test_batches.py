@@ -38,7 +38,18 @@ def _of(monkeypatch, make):
     return out
 
 
-@pytest.mark.parametrize("make", [lambda im: C.rechunk(im, {"y": 30, "x": 30}), C.to_voxels], ids=["rechunk", "to_voxels"])
+MAKE = {
+    "rechunk": lambda im: C.rechunk(im, {"y": 30, "x": 30}),
+    "to_voxels": C.to_voxels,
+    "bin_shrink": lambda im: C.bin_shrink(im, {"y": 1, "x": 1}),
+    "nearest": lambda im: C.nearest(im, {"y": 1, "x": 1}),
+    "transpose": lambda im: C.transpose(im, ("x", "y")),
+    "hyperslab": lambda im: C.hyperslab(im, {}),
+    "halo": lambda im: C._halo(im, 0, "y", -1, 1),
+}
+
+
+@pytest.mark.parametrize("make", MAKE.values(), ids=MAKE)
 def test_functions_hold_few_chunks(monkeypatch, make):
     for fn in _of(monkeypatch, make):
         batches, rows = _batch(), 0
@@ -51,6 +62,18 @@ def test_functions_hold_few_chunks(monkeypatch, make):
         assert _peak(run) < 8 and rows >= N
 
 
+@pytest.mark.parametrize("make", [lambda im: C._halo_pass(im, 0, "y", 1, 0, 0, lambda x, n: x, 1), lambda im: C.mode(im, {"y": 2})], ids=["weighted", "mode"])
+def test_passes_after_a_halo_hold_few_chunks(monkeypatch, make):
+    fn, batches, rows = _of(monkeypatch, make)[-1], _batch(), 0
+
+    def run():
+        nonlocal rows
+        for b in fn(iter(batches)):
+            rows += b.num_rows
+
+    assert _peak(run) < 8 and rows == N
+
+
 def test_a_store_is_written_chunk_by_chunk(tmp_path):
     spec = dict(path="", shape=[N * SIDE, SIDE], chunk=[SIDE, SIDE], dtype="<i8", fill=0, version=2, shard=None)
     writer = store.StoreWriter({"path": str(tmp_path), "arrays": json.dumps({0: spec}), "nodes": "{}", "codec": "zstd"})
